@@ -102,17 +102,20 @@ def rank_table(
     partition_by: Sequence[str] = (),
     *,
     descending: bool = True,
-    nulls_last: bool = True,
+    nulls_last=True,
     n_ranges: int | None = None,
 ) -> DataFrame:
     """Per distinct ``(groups, value)``: SQL ``rank()`` and ``percent_rank()``.
 
     Columns: groups, ``value``, ``rank``, ``percent_rank``, ``group_rows``.
-    A NULL value is one more distinct entry, placed first or last.
+    A NULL value is one more distinct entry, placed first or last;
+    ``nulls_last`` may be a boolean column that is constant per group (so
+    groups with different NULL placement share one pass).
     """
     groups = list(partition_by)
     v = F.col(value)
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    nl = nulls_last if isinstance(nulls_last, Column) else F.lit(bool(nulls_last))
+    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"), F.first(nl).alias("_nl"))
     stats = counts.groupBy(*groups).agg(
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_c"))), F.lit(0)).alias("_nn"),
         F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_nulls"),
@@ -129,10 +132,10 @@ def rank_table(
     # ``stats`` has one row per group: broadcast only when there is no group
     # (one row); with groups AQE picks the strategy from its runtime size.
     lookup = lookup.join(stats, groups, "inner") if groups else lookup.crossJoin(F.broadcast(stats))
-    before_nulls = F.lit(0) if nulls_last else F.col("_nulls")
+    last = F.col("_nl")
     rank = (
-        F.when(v.isNull(), F.lit(1) if not nulls_last else F.col("_nn") + 1)
-        .otherwise(F.col("_cum") - F.col("_c") + 1 + before_nulls)
+        F.when(v.isNull(), F.when(last, F.col("_nn") + 1).otherwise(F.lit(1)))
+        .otherwise(F.col("_cum") - F.col("_c") + 1 + F.when(last, F.lit(0)).otherwise(F.col("_nulls")))
         .cast("long")
     )
     total = F.col("_nn") + F.col("_nulls")
@@ -153,7 +156,7 @@ def with_rank(
     partition_by: Sequence[str] = (),
     *,
     descending: bool = True,
-    nulls_last: bool = True,
+    nulls_last=True,
     rank_col: str = "rank",
     percent_col: str | None = None,
     n_ranges: int | None = None,

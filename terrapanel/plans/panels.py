@@ -136,15 +136,20 @@ def _latest_year(df: DataFrame, where=None):
     return d.select(F.max("ano")).scalar()
 
 
-def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS) -> DataFrame:
+def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS, *, live: bool = False) -> DataFrame:
     """``mv_painel_municipio``: one row per municipality of the dimension.
 
+    Returns the materialised panel when the star carries one built with the
+    same bands (unless ``live``); otherwise computes it.
+
     Latest population year, census, latest GDP year, latest year *with*
     sector value added (a different year on purpose), growth, and the
     population contemporary with GDP (nearest non-null year per entity,
     ties → earlier). Ratios are NULL on zero denominators; the sector total
     skips NULL parts and shares are NULL when it is not positive.
     """
+    if not live and star.mv_painel_municipio is not None and star.panel_bands == bands:
+        return star.mv_painel_municipio
     pop, pib = star.fato_populacao_municipio, star.fato_pib_municipio
     ano_pop = _latest_year(pop)
     ano_pib = _latest_year(pib)
@@ -348,73 +353,62 @@ RANK_INDICATORS = {
 }
 
 
+RANKS_IN_STATE = {"rank_populacao_uf": "populacao_atual", "rank_pib_uf": "pib_mil_reais"}
+PERCENTILES = {"percentil_pib_per_capita": "pib_per_capita", "percentil_crescimento": "cagr_pct"}
+
+
 def ranking_view(panel: DataFrame) -> DataFrame:
     """``vw_ranking_municipio``: national ranks (DESC NULLS LAST) of five
     indicators, ranks within the state for two, and two percentiles
     (``percent_rank`` ASC NULLS FIRST × 100, 2 decimals).
 
-    The five national ranks are computed in *one* distributed pass: the
-    indicators are unpivoted to ``(metric, value)``, ranked with the
-    metric as group, and pivoted back by id.
+    All nine orderings run in *one* distributed rank pass: the indicators
+    are unpivoted to ``(metric, group, value)`` — group is the state for the
+    in-state ranks, the value is negated for the ascending percentiles and
+    the NULL placement is a per-metric flag — and pivoted back by id.
     """
     ids = ["municipio_id"]
     base = panel.select(
         "municipio_id", "municipio_nome", "uf_sigla", "regiao_nome",
         "populacao_atual", "pib_mil_reais", "pib_per_capita", "densidade_atual", "cagr_pct",
     )
-    long = base.select(
-        *ids,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("metric"), as_double(c).alias("v"))
-                    for name, c in RANK_INDICATORS.items()
-                ]
-            )
-        ).alias("x"),
-    ).select(*ids, "x.metric", "x.v")
-    ranked = with_rank(long, "v", ["metric"], descending=True, nulls_last=True, rank_col="r")
-    national = ranked.groupBy(*ids).pivot("metric", list(RANK_INDICATORS)).agg(F.first("r"))
 
-    long_uf = base.select(
-        *ids, "uf_sigla",
-        F.explode(
-            F.array(
-                F.struct(F.lit("rank_populacao_uf").alias("metric"), as_double("populacao_atual").alias("v")),
-                F.struct(F.lit("rank_pib_uf").alias("metric"), as_double("pib_mil_reais").alias("v")),
-            )
-        ).alias("x"),
-    ).select(*ids, "uf_sigla", "x.metric", "x.v")
-    ranked_uf = with_rank(long_uf, "v", ["metric", "uf_sigla"], descending=True, nulls_last=True, rank_col="r")
-    in_uf = ranked_uf.groupBy(*ids).pivot("metric", ["rank_populacao_uf", "rank_pib_uf"]).agg(F.first("r"))
+    def item(metric: str, col: str, in_state: bool = False, ascending: bool = False):
+        v = as_double(col)
+        return F.struct(
+            F.lit(metric).alias("metric"),
+            (F.coalesce(F.col("uf_sigla"), F.lit("")) if in_state else F.lit("")).alias("grp"),
+            (-v if ascending else v).alias("v"),
+            F.lit(not ascending).alias("nl"),
+        )
 
-    long_pct = base.select(
-        *ids,
-        F.explode(
-            F.array(
-                F.struct(F.lit("percentil_pib_per_capita").alias("metric"), as_double("pib_per_capita").alias("v")),
-                F.struct(F.lit("percentil_crescimento").alias("metric"), as_double("cagr_pct").alias("v")),
-            )
-        ).alias("x"),
-    ).select(*ids, "x.metric", "x.v")
-    ranked_pct = with_rank(
-        long_pct, "v", ["metric"], descending=False, nulls_last=False, rank_col="_r", percent_col="p"
+    items = [item(m, c) for m, c in RANK_INDICATORS.items()]
+    items += [item(m, c, in_state=True) for m, c in RANKS_IN_STATE.items()]
+    items += [item(m, c, ascending=True) for m, c in PERCENTILES.items()]
+    long = base.select(*ids, "uf_sigla", F.explode(F.array(*items)).alias("x")).select(
+        *ids, "x.metric", "x.grp", "x.v", "x.nl"
     )
-    pct = ranked_pct.groupBy(*ids).pivot("metric", ["percentil_pib_per_capita", "percentil_crescimento"]).agg(
-        F.first(round_to(F.col("p") * F.lit(100.0), 2))
+    ranked = with_rank(
+        long, "v", ["metric", "grp"], descending=True, nulls_last=F.col("nl"), rank_col="r", percent_col="p"
     )
-    out = base.join(national, ids, "left").join(in_uf, ids, "left").join(pct, ids, "left")
+    metrics = [*RANK_INDICATORS, *RANKS_IN_STATE, *PERCENTILES]
+    wide = ranked.groupBy(*ids).pivot("metric", metrics).agg(F.first("r").alias("r"), F.first("p").alias("p"))
+    out = base.join(wide, ids, "left")
     return out.select(
         *base.columns,
-        *[F.col(c).cast("long").alias(c) for c in RANK_INDICATORS],
-        F.col("rank_populacao_uf").cast("long").alias("rank_populacao_uf"),
-        F.col("rank_pib_uf").cast("long").alias("rank_pib_uf"),
-        "percentil_pib_per_capita",
-        "percentil_crescimento",
+        *[F.col(f"{m}_r").cast("long").alias(m) for m in [*RANK_INDICATORS, *RANKS_IN_STATE]],
+        *[round_to(F.col(f"{m}_p") * F.lit(100.0), 2).alias(m) for m in PERCENTILES],
     )
 
 
-def concentration_table(panel: DataFrame, *, internals: bool = False) -> DataFrame:
+def concentration_for(star: Star, bands: Bands = registry.REAL_BANDS) -> DataFrame:
+    """The materialised Lorenz table when available, else computed."""
+    if star.mv_concentracao_municipio is not None and star.panel_bands == bands:
+        return star.mv_concentracao_municipio
+    return concentration_table(municipality_panel(star, bands))
+
+
+def concentration_table(panel: DataFrame) -> DataFrame:
     """``mv_concentracao_municipio``: the Lorenz table of population and GDP.
 
     Per metric, entities sorted by value DESC then id; position, running
@@ -458,5 +452,4 @@ def concentration_table(panel: DataFrame, *, internals: bool = False) -> DataFra
         _share_of_total("valor_acumulado", "_t_v", 6).alias("share_acumulado_pct"),
         round_to(as_double("posicao") * F.lit(100.0) / as_double("_n"), 6).alias("pct_municipios"),
         _share_of_total("area_acumulada", "_t_a", 6).alias("area_acumulada_pct"),
-        *([F.col("valor_acumulado").alias("_cum"), "_t_v", "_n"] if internals else []),
     )

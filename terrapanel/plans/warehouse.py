@@ -12,18 +12,45 @@ import os
 
 from pyspark.sql import SparkSession
 
-from ..session import scratch_path
-from ..sinks.snapshot import write_star
+from ..session import checkpoint, scratch_path
+from .. import registry
+from ..registry import Bands
+from ..sinks.snapshot import read_snapshot, write_snapshot, write_star
+from . import panels
 from ..sources.star import Star
 from ..sources.tpch import derive_star
 
 _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
 
 
-def build(spark: SparkSession, sf_dir: str, base: str | None = None) -> Star:
-    """Run the ETL for ``sf_dir`` and return the materialised star."""
+PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio")
+
+
+def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS) -> Star:
+    """Recompute the two materialised panels, in dependency order, into a
+    new snapshot and flip to it (readers keep the old one until then)."""
+    spark = star.spark
+    panel_base = f"{base.rstrip('/')}/panels"
+    live = Star(**star.tables())
+
+    def conc(written):
+        return panels.concentration_table(written["mv_painel_municipio"])
+
+    write_snapshot(
+        {"mv_painel_municipio": panels.municipality_panel(live, bands, live=True), "mv_concentracao_municipio": conc},
+        panel_base,
+        source="star",
+    )
+    mv = read_snapshot(spark, panel_base, PANEL_TABLES)
+    return Star(**star.tables(), **mv, panel_bands=bands)
+
+
+def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS) -> Star:
+    """Run the ETL for ``sf_dir``: derive and write the star, then refresh
+    the materialised panels. Returns the star reading the written tables."""
     base = base or scratch_path(spark, "star")
-    return write_star(derive_star(spark, sf_dir), base, source=sf_dir)
+    star = write_star(derive_star(spark, sf_dir, stage=checkpoint), base, source=sf_dir)
+    return refresh_panels(star, base, bands)
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:

@@ -69,12 +69,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/terrapanel/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df):
-    """Cut lineage reliably (written to the shared checkpoint folder).
+def checkpoint(df, name: str = "stage"):
+    """Cut lineage reliably: write ``df`` as a Parquet table in the shared
+    checkpoint folder and return a DataFrame reading it.
 
-    Used where a later step must see exactly the same rows and partition
-    layout as an earlier one (sampled range boundaries are not stable under
-    recomputation). Never a local checkpoint: those die with the executor.
+    Used where later steps must see exactly the same rows (sampled range
+    bounds are not stable under recomputation) or where a heavy plan feeds
+    several outputs. Unlike ``Dataset.checkpoint`` on an unpersisted plan,
+    the plan runs once; the written table is columnar and carries size
+    statistics for later join planning. Never a local checkpoint: those
+    die with the executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -14,6 +14,7 @@ import datetime as _dt
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def current_snapshot(spark: SparkSession, base: str) -> str | None:
 
 
 def write_snapshot(
-    tables: dict[str, DataFrame],
+    tables: dict,
     base: str,
     *,
     partition_by: dict[str, list[str]] | None = None,
@@ -87,21 +88,39 @@ def write_snapshot(
     Returns the snapshot folder. A load-log row per table is appended to
     ``<base>/carga_log`` (append-only; survives later snapshots).
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = next(v for v in tables.values() if isinstance(v, DataFrame)).sparkSession
     snap_id = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:6]
     folder = f"{base.rstrip('/')}/snapshot={snap_id}"
-    order = [t for t in DIM_TABLES if t in tables] + [t for t in tables if t not in DIM_TABLES]
-    log_rows = []
+    written: dict[str, DataFrame] = {}
+    log: dict[str, tuple] = {}
     user = spark.sparkContext.sparkUser()
-    for name in order:
+
+    def write_one(name: str) -> None:
         started = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         t0 = time.perf_counter()
-        writer = tables[name].write.mode("errorifexists")
+        df = tables[name]
+        if callable(df) and not isinstance(df, DataFrame):
+            df = df(written)  # a table that depends on tables written before it
+        writer = df.write.mode("errorifexists")
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(f"{folder}/{name}.parquet")
-        rows = read_table(spark, folder, name).count()
-        log_rows.append((snap_id, name, source, rows, started, int((time.perf_counter() - t0) * 1000), user))
+        written[name] = read_table(spark, folder, name)
+        rows = written[name].count()
+        log[name] = (snap_id, name, source, rows, started, int((time.perf_counter() - t0) * 1000), user)
+
+    # Dimensions, then facts, then tables derived from written ones. Tables
+    # of one batch are independent: their jobs are submitted concurrently.
+    dims = [t for t in tables if t in DIM_TABLES]
+    derived = [t for t in tables if callable(tables[t]) and not isinstance(tables[t], DataFrame)]
+    facts = [t for t in tables if t not in dims and t not in derived]
+    for batch in (dims, facts):
+        if batch:
+            with ThreadPoolExecutor(max_workers=min(8, len(batch))) as pool:
+                list(pool.map(write_one, batch))
+    for name in derived:
+        write_one(name)
+    log_rows = [log[n] for n in (*dims, *facts, *derived)]
     if validate is not None:
         validate(spark, folder)
     _write_text(spark, f"{base.rstrip('/')}/_current.json", json.dumps({"snapshot": f"snapshot={snap_id}"}))

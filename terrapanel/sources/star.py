@@ -19,6 +19,7 @@ Holes in a series are absent rows, never NULL-valued rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -75,9 +76,15 @@ class Star:
     fato_censo_uf: DataFrame
     fato_pib_municipio: DataFrame
     fato_pib_uf: DataFrame
+    # Materialised panels (``plans.warehouse.refresh_panels``) and the band
+    # parameters they were built with; None until refreshed.
+    mv_painel_municipio: DataFrame | None = None
+    mv_concentracao_municipio: DataFrame | None = None
+    panel_bands: Any = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """The base tables (dimensions and facts)."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name in (*DIM_TABLES, *FACT_TABLES)}
 
     @property
     def spark(self):

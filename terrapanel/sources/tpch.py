@@ -83,8 +83,13 @@ def customer_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derive_star(spark: SparkSession, sf_dir: str) -> Star:
-    """Lazily defined star schema (materialise it with ``sinks.snapshot``)."""
+def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
+    """Lazily defined star schema (materialise it with ``sinks.snapshot``).
+
+    ``stage(df) -> df`` materialises the customer-year aggregate that every
+    fact reads (e.g. a reliable checkpoint), so writing seven facts runs
+    the big join once.
+    """
     region = read_table(spark, sf_dir, "region")
     nation = read_table(spark, sf_dir, "nation")
     customer = read_table(spark, sf_dir, "customer")
@@ -115,6 +120,8 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
         customer.select("c_custkey", F.col("c_nationkey").cast("int").alias("uf_id")),
         cy.o_custkey == customer.c_custkey,
     ).select(pad_id("o_custkey").alias("municipio_id"), "uf_id", "ano", *cy.columns[2:])
+    if stage is not None:
+        cy = stage(cy)
 
     pop_mun = cy.filter(~F.col("ano").isin(*POPULATION_HOLES)).select(
         "municipio_id", "ano", F.col("qty").cast("long").alias("populacao")
