@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import named
+from .operators import ORACLE as _OPERATORS
 from .sql import CONC_CTE, GROWTH_CTE, PANEL_CTE, RANKING_CTE, REGION_CTE, UF_PANEL_CTE, with_ctes
 
 ORACLE = {
@@ -35,3 +36,5 @@ UNION ALL SELECT 'censo', 'municipio', ano, count(*) FROM fcm GROUP BY ano"""),
     "ranking_view": lambda: with_ctes(GROWTH_CTE, PANEL_CTE, RANKING_CTE, body="SELECT * FROM ranking"),
     "concentration_table": lambda: with_ctes(GROWTH_CTE, PANEL_CTE, CONC_CTE, body="SELECT * EXCLUDE (n) FROM conc"),
 }
+
+ORACLE.update(_OPERATORS)

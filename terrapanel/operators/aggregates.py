@@ -82,13 +82,23 @@ def band_subset_share(distribution: DataFrame, band_col: str, bands: Sequence[st
 # --------------------------------------------------------------------------
 
 
-def growth_by_region(growth: DataFrame) -> DataFrame:
+def _median(col: str, decimals: int | None):
+    """Exact median; with ``decimals`` it runs on fixed-point integers of the
+    rounded measure (order-independent, reproducible across engines)."""
+    if decimals is None:
+        return F.median(col)
+    from .growth import fixed_point_stats
+
+    return fixed_point_stats(F.col(col), decimals)[1]
+
+
+def growth_by_region(growth: DataFrame, decimals: int | None = None) -> DataFrame:
     """Per region: entities, shrinking ones, median CAGR, summed initial and
     final values, % shrinking and growth of the summed values."""
     g = growth.filter(F.col("regiao_nome").isNotNull()).groupBy("regiao_nome").agg(
         F.count("municipio_id").alias("n_municipios"),
         F.count_if(F.col("variacao_absoluta") < 0).alias("n_perdendo"),
-        F.median("cagr_pct").alias("cagr_mediano"),
+        _median("cagr_pct", decimals).alias("cagr_mediano"),
         F.sum("valor_inicial").alias("populacao_inicial"),
         F.sum("valor_final").alias("populacao_final"),
     )
@@ -100,7 +110,7 @@ def growth_by_region(growth: DataFrame) -> DataFrame:
     )
 
 
-def decline_summary(growth: DataFrame) -> DataFrame:
+def decline_summary(growth: DataFrame, decimals: int | None = None) -> DataFrame:
     """Total entities, shrinking ones, their %, people lost (positive) and
     the median CAGR — one row; an empty input gives zeros."""
     shrinking = F.col("variacao_absoluta") < 0
@@ -110,7 +120,7 @@ def decline_summary(growth: DataFrame) -> DataFrame:
         F.coalesce(as_double(F.count_if(shrinking)) / as_double(nullif_zero(F.count(F.lit(1)))) * F.lit(100.0),
                    F.lit(0.0)).alias("pct_perdendo"),
         F.coalesce(-F.sum(F.when(shrinking, F.col("variacao_absoluta"))), F.lit(0)).alias("populacao_perdida"),
-        F.median("cagr_pct").alias("cagr_mediano"),
+        _median("cagr_pct", decimals).alias("cagr_mediano"),
     )
 
 
@@ -271,9 +281,9 @@ def headline(panel: DataFrame, growth: DataFrame) -> DataFrame:
     )
 
 
-def min_median_max(df: DataFrame, col: str) -> DataFrame:
+def min_median_max(df: DataFrame, col: str, decimals: int | None = None) -> DataFrame:
     """Count of non-NULL values, min, median and max of an indicator."""
-    return df.agg(F.count(col).alias("n"), F.min(col).alias("minimo"), F.median(col).alias("mediana"),
+    return df.agg(F.count(col).alias("n"), F.min(col).alias("minimo"), _median(col, decimals).alias("mediana"),
                   F.max(col).alias("maximo"))
 
 

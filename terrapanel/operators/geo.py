@@ -116,22 +116,19 @@ def square_meshes(entities: DataFrame, key: str, area: str, *, ccw: Column, hole
     ``(x0, y0)``), counter-clockwise when ``ccw``, with a same-orientation
     hole of half the side when ``hole`` — a mesh derived from a table, for
     exercising the geometry operators on data of any size."""
-    s = F.sqrt(F.col(area).cast("double"))
-    x0, y0 = F.col("_x0"), F.col("_y0")
-
-    def square(x, y, side, counter_clockwise):
-        pts_ccw = F.array(
-            F.array(x, y), F.array(x + side, y), F.array(x + side, y + side), F.array(x, y + side), F.array(x, y)
-        )
-        return F.when(counter_clockwise, pts_ccw).otherwise(F.reverse(pts_ccw))
-
-    outer = square(x0, y0, s, ccw)
-    inner = square(x0 + s / 4, y0 + s / 4, s / 2, ccw)
     base = entities.filter(F.col(area) > 0).select(
         F.col(key).cast("string").alias("codarea"),
         (F.col(key).cast("long") % 100).cast("double").alias("_x0"),
         F.floor(F.col(key).cast("long") / 100).cast("double").alias("_y0"),
-        ccw.alias("_ccw"), hole.alias("_hole"), s.alias("lado"),
+        ccw.alias("_ccw"), hole.alias("_hole"), F.sqrt(F.col(area).cast("double")).alias("lado"),
     )
+    x0, y0, side, counter_clockwise = F.col("_x0"), F.col("_y0"), F.col("lado"), F.col("_ccw")
+
+    def square(x, y, d):
+        pts = F.array(F.array(x, y), F.array(x + d, y), F.array(x + d, y + d), F.array(x, y + d), F.array(x, y))
+        return F.when(counter_clockwise, pts).otherwise(F.reverse(pts))
+
+    outer = square(x0, y0, side)
+    inner = square(x0 + side / 4, y0 + side / 4, side / 2)
     poly = F.when(F.col("_hole"), F.array(outer, inner)).otherwise(F.array(outer))
     return base.select("codarea", F.lit("MultiPolygon").alias("geom_type"), F.array(poly).alias("coordinates"), "lado")

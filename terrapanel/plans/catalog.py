@@ -67,3 +67,7 @@ QUERIES: dict[str, Builder] = {
     "concentration_table": lambda s, d: panels.concentration_table(panels.municipality_panel(star_for(s, d), BANDS)),
     "mv_concentration_refresh": lambda s, d: star_for(s, d).mv_concentracao_municipio,
 }
+
+from .operator_queries import QUERIES as _OPERATOR_QUERIES  # noqa: E402
+
+QUERIES.update(_OPERATOR_QUERIES)
