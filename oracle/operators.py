@@ -371,20 +371,22 @@ SELECT count(*) AS total_municipios, count(*) FILTER (WHERE variacao_absoluta <
 FROM vw_cresc""")
 
 
-def _dist(band_expr: str, label_col: str, labels, cols: str, shares: dict[str, str], where: str = "") -> str:
+def _dist(band_expr: str, label_col: str, labels, cols: str, shares: dict[str, str], where: str = "",
+          rounded: bool = True) -> str:
+    rnd = R6 if rounded else (lambda x: x)
     share_sql = ", ".join(
-        f"{R6(f'{D(c)} * {_PCT100} / {D(f"NULLIF((SELECT sum({c}) FROM g), 0)")}')} AS {o}" for o, c in shares.items())
+        f"{rnd(f'{D(c)} * {_PCT100} / {D(f"NULLIF((SELECT sum({c}) FROM g), 0)")}')} AS {o}" for o, c in shares.items())
     return f"""
 , b AS (SELECT populacao_atual, area_km2, densidade_atual, {band_expr} AS {label_col} FROM painel {where}),
 g AS (SELECT {label_col}, {cols} FROM b WHERE {label_col} IS NOT NULL GROUP BY {label_col})
 SELECT *, {share_sql}, list_position({_list(labels)}, {label_col}) AS ordem FROM g"""
 
 
-def size_bands() -> str:
+def size_bands(rounded: bool = True) -> str:
     return W(GROWTH_CTE, PANEL_CTE, body=_dist(
         left_bands("populacao_atual", SIZE, SIZE_LABELS), "porte", SIZE_LABELS,
         "count(*) AS n_municipios, CAST(sum(populacao_atual) AS BIGINT) AS populacao",
-        {"pct_municipios": "n_municipios", "pct_populacao": "populacao"}))
+        {"pct_municipios": "n_municipios", "pct_populacao": "populacao"}, rounded=rounded))
 
 
 def density_bands() -> str:
@@ -405,7 +407,7 @@ FROM g""")
 
 def band_subset() -> str:
     labels = ", ".join(f"'{x}'" for x in SIZE_LABELS[:3])
-    inner = size_bands()
+    inner = size_bands(rounded=False)
     return f"""
 SELECT {R6('coalesce(sum(pct_municipios), 0.0)')} AS pct_municipios,
        {R6('coalesce(sum(pct_populacao), 0.0)')} AS pct_populacao
