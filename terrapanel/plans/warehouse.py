@@ -40,6 +40,7 @@ def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS) ->
         {"mv_painel_municipio": panels.municipality_panel(live, bands, live=True), "mv_concentracao_municipio": conc},
         panel_base,
         source="star",
+        bucket_by={"mv_painel_municipio": ["municipio_id"]},
     )
     mv = read_snapshot(spark, panel_base, PANEL_TABLES)
     return Star(**star.tables(), **mv, panel_bands=bands)

@@ -66,7 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base}/terrapanel/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    return f"{base}/terrapanel/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def checkpoint(df, name: str = "stage"):

@@ -68,9 +68,31 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(lines)
 
 
-def current_snapshot(spark: SparkSession, base: str) -> str | None:
+def _manifest(spark: SparkSession, base: str) -> dict | None:
     text = _read_text(spark, f"{base.rstrip('/')}/_current.json")
-    return json.loads(text)["snapshot"] if text else None
+    return json.loads(text) if text else None
+
+
+def current_snapshot(spark: SparkSession, base: str) -> str | None:
+    m = _manifest(spark, base)
+    return m["snapshot"] if m else None
+
+
+def _bucketed_table(spark: SparkSession, spec: dict, path: str) -> DataFrame:
+    """The catalog table of a bucketed snapshot table, registered again
+    (external, explicit columns) when this session does not know it."""
+    name = spec["table"]
+    if not spark.catalog.tableExists(name):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        part = f" PARTITIONED BY ({', '.join(spec['partition'])})" if spec.get("partition") else ""
+        by = ", ".join(spec["cols"])
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{part} "
+            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {spec['n']} BUCKETS LOCATION '{path}'"
+        )
+        if spec.get("partition"):
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
 
 
 def write_snapshot(
@@ -78,6 +100,8 @@ def write_snapshot(
     base: str,
     *,
     partition_by: dict[str, list[str]] | None = None,
+    bucket_by: dict[str, list[str]] | None = None,
+    buckets: int | None = None,
     validate=None,
     source: str = "",
 ) -> str:
@@ -87,13 +111,22 @@ def write_snapshot(
     raise to abort; the manifest is only replaced after it returns.
     Returns the snapshot folder. A load-log row per table is appended to
     ``<base>/carga_log`` (append-only; survives later snapshots).
+
+    Tables named in ``bucket_by`` are written bucketed (and sorted) on those
+    columns into ``buckets`` buckets (default: the shuffle partitions) and
+    registered as external catalog tables: joins and aggregations on the
+    bucket key between tables of one snapshot then need no exchange.
+    ``partition_by`` adds directory partitions (e.g. the year) so filters
+    on them prune files.
     """
     spark = next(v for v in tables.values() if isinstance(v, DataFrame)).sparkSession
     snap_id = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:6]
     folder = f"{base.rstrip('/')}/snapshot={snap_id}"
     written: dict[str, DataFrame] = {}
     log: dict[str, tuple] = {}
+    bucketed: dict[str, dict] = {}
     user = spark.sparkContext.sparkUser()
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write_one(name: str) -> None:
         started = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -101,11 +134,24 @@ def write_snapshot(
         df = tables[name]
         if callable(df) and not isinstance(df, DataFrame):
             df = df(written)  # a table that depends on tables written before it
-        writer = df.write.mode("errorifexists")
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(f"{folder}/{name}.parquet")
-        written[name] = read_table(spark, folder, name)
+        if bucket_by and name in bucket_by:
+            # one writer task per bucket → one file per bucket (and year)
+            df = df.repartition(n_buckets, *bucket_by[name])
+        writer = df.write.mode("errorifexists").format("parquet")
+        parts = list((partition_by or {}).get(name, []))
+        if parts:
+            writer = writer.partitionBy(*parts)
+        path = f"{folder}/{name}.parquet"
+        if bucket_by and name in bucket_by:
+            cols = list(bucket_by[name])
+            spec = {"table": f"terrapanel_{snap_id.replace('-', '_')}_{name}", "n": n_buckets, "cols": cols,
+                    "partition": parts}
+            writer.bucketBy(n_buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(spec["table"])
+            bucketed[name] = spec
+            written[name] = spark.table(spec["table"])
+        else:
+            writer.save(path)
+            written[name] = read_table(spark, folder, name)
         rows = written[name].count()
         log[name] = (snap_id, name, source, rows, started, int((time.perf_counter() - t0) * 1000), user)
 
@@ -123,23 +169,40 @@ def write_snapshot(
     log_rows = [log[n] for n in (*dims, *facts, *derived)]
     if validate is not None:
         validate(spark, folder)
-    _write_text(spark, f"{base.rstrip('/')}/_current.json", json.dumps({"snapshot": f"snapshot={snap_id}"}))
+    manifest = {"snapshot": f"snapshot={snap_id}", "bucketed": bucketed}
+    _write_text(spark, f"{base.rstrip('/')}/_current.json", json.dumps(manifest))
     spark.createDataFrame(log_rows, LOG_SCHEMA).write.mode("append").parquet(f"{base.rstrip('/')}/carga_log")
     return folder
 
 
 def read_snapshot(spark: SparkSession, base: str, names=None) -> dict[str, DataFrame]:
-    snap = current_snapshot(spark, base)
-    if snap is None:
+    m = _manifest(spark, base)
+    if m is None:
         raise FileNotFoundError(f"no snapshot published under {base}")
-    folder = f"{base.rstrip('/')}/{snap}"
+    folder = f"{base.rstrip('/')}/{m['snapshot']}"
     names = names or (*DIM_TABLES, *FACT_TABLES)
-    return {n: read_table(spark, folder, n) for n in names}
+    bucketed = m.get("bucketed", {})
+    return {
+        n: _bucketed_table(spark, bucketed[n], f"{folder}/{n}.parquet") if n in bucketed else read_table(spark, folder, n)
+        for n in names
+    }
+
+
+#: Municipal tables are co-located on the entity key; facts are also
+#: partitioned by year (latest-year selections read one directory).
+MUNICIPAL_BUCKETS = {
+    "dim_municipio": ["municipio_id"],
+    "fato_populacao_municipio": ["municipio_id"],
+    "fato_censo_municipio": ["municipio_id"],
+    "fato_pib_municipio": ["municipio_id"],
+}
+YEAR_PARTITIONS = {"fato_populacao_municipio": ["ano"], "fato_pib_municipio": ["ano"]}
 
 
-def write_star(star: Star, base: str, *, source: str = "") -> Star:
+def write_star(star: Star, base: str, *, source: str = "", buckets: int | None = None) -> Star:
     """Materialise a star (ETL output) and return it re-read from storage."""
-    write_snapshot(star.tables(), base, source=source)
+    write_snapshot(star.tables(), base, source=source, bucket_by=MUNICIPAL_BUCKETS, partition_by=YEAR_PARTITIONS,
+                   buckets=buckets)
     return Star(**read_snapshot(star.spark, base))
 
 
