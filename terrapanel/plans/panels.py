@@ -40,10 +40,15 @@ MONEY = "decimal(38,4)"
 
 
 def hierarchy(star: Star) -> DataFrame:
-    """``vw_municipio``: municipality → state → region in one row (inner joins)."""
+    """``vw_municipio``: municipality → state → region in one row (inner joins).
+
+    The state and region dimensions are bounded by the territory (tens of
+    rows, independent of data volume): they are broadcast, so the large
+    municipality dimension keeps its bucketing on ``municipio_id``.
+    """
     m = star.dim_municipio
-    u = star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id")
-    r = star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome")
+    u = F.broadcast(star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id"))
+    r = F.broadcast(star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome"))
     return m.join(u, "uf_id").join(r, "regiao_id").select(
         "municipio_id",
         "municipio_nome",
