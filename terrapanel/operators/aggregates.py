@@ -287,11 +287,18 @@ def min_median_max(df: DataFrame, col: str, decimals: int | None = None) -> Data
                   F.max(col).alias("maximo"))
 
 
-def quantile_breaks(df: DataFrame, col: str, n: int = registry.QUANTILE_CLASSES, decimals: int = 6) -> DataFrame:
+def quantile_breaks(df: DataFrame, col: str, n: int = registry.QUANTILE_CLASSES, decimals: int = 6,
+                    *, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Distinct sorted quantile cut points (0, 1/n, …, 1), exact with linear
-    interpolation; rounded (half-up) to ``decimals``."""
+    interpolation; rounded (half-up) to ``decimals``.
+
+    The exact percentile of a whole column merges one value→count map in a
+    single task (bounded by the number of distinct values — small for a
+    rounded measure). ``exact=False`` switches to ``percentile_approx``
+    (bounded memory, relative rank error 1/accuracy) for columns with
+    billions of distinct values."""
     fracs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    q = F.percentile(as_double(col), fracs)
+    q = F.percentile(as_double(col), fracs) if exact else F.percentile_approx(as_double(col), fracs, accuracy)
     m = float(10**decimals)
     rounded = F.transform(q, lambda x: F.floor(x * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m))
     return df.filter(F.col(col).isNotNull()).agg(F.array_sort(F.array_distinct(rounded)).alias("quebras"))

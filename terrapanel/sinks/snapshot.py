@@ -152,8 +152,7 @@ def write_snapshot(
         else:
             writer.save(path)
             written[name] = read_table(spark, folder, name)
-        rows = written[name].count()
-        log[name] = (snap_id, name, source, rows, started, int((time.perf_counter() - t0) * 1000), user)
+        log[name] = (snap_id, name, source, None, started, int((time.perf_counter() - t0) * 1000), user)
 
     # Dimensions, then facts, then tables derived from written ones. Tables
     # of one batch are independent: their jobs are submitted concurrently.
@@ -166,7 +165,13 @@ def write_snapshot(
                 list(pool.map(write_one, batch))
     for name in derived:
         write_one(name)
-    log_rows = [log[n] for n in (*dims, *facts, *derived)]
+    # Row counts of every written table in one job (footer-only scans).
+    counts = None
+    for name, df in written.items():
+        c = df.groupBy().count().select(F.lit(name).alias("t"), F.col("count").alias("n"))
+        counts = c if counts is None else counts.unionByName(c)
+    n_rows = {r.t: r.n for r in counts.collect()}
+    log_rows = [(*log[n][:3], n_rows[n], *log[n][4:]) for n in (*dims, *facts, *derived)]
     if validate is not None:
         validate(spark, folder)
     manifest = {"snapshot": f"snapshot={snap_id}", "bucketed": bucketed}

@@ -1,0 +1,59 @@
+"""The original API names work on the miniature country."""
+
+from __future__ import annotations
+
+import pytest
+
+from terrapanel import compat, registry
+from terrapanel.plans import panels
+
+
+@pytest.fixture(scope="module")
+def painel(mini_star):
+    return panels.municipality_panel(mini_star, registry.REAL_BANDS).cache()
+
+
+def test_rankings(painel):
+    top = compat.ranking_municipios(painel, n=3).orderBy("posicao").collect()
+    assert [r.municipio_nome for r in top] == ["São Paulo", "Rio de Janeiro", "Fortaleza"]
+    bottom = compat.ranking_municipios(painel, n=1, ascendente=True).collect()
+    assert bottom[0].municipio_nome == "Alta Floresta D'Oeste"
+
+
+def test_size_and_density(painel):
+    d = {r.porte: r for r in compat.distribuicao_por_porte(painel).collect()}
+    assert d["Mais de 500 mil"].n_municipios == 6 and d["10 a 20 mil"].n_municipios == 1
+    assert sum(r.pct_municipios for r in d.values()) == pytest.approx(100.0)
+    dens = compat.distribuicao(painel).collect()
+    assert sum(r.n_municipios for r in dens) == 7
+
+
+def test_concentration_metrics(painel):
+    m = compat.metricas_concentracao(painel).collect()[0]
+    assert 0 < m.gini < 1 and m.n == 7
+    r = compat.resumo_concentracao_municipal(painel).collect()[0]
+    assert r.n_municipios_metade_pib == 1
+    t = compat.concentracao_territorial(painel).collect()[0]
+    assert t.n_municipios_metade_pop >= 1 and 0 < t.pct_area_metade_pop < 100
+    assert compat.curva_lorenz(painel).count() == 7
+
+
+def test_growth_family(mini_star):
+    g = panels.growth_view(mini_star, registry.REAL_BANDS)
+    assert {r.municipio_nome for r in compat.municipios_em_declinio(g).collect()} == {
+        "Alta Floresta D'Oeste", "Porto Alegre"}
+    s = compat.resumo_declinio(g).collect()[0]
+    assert s.total_municipios == 7 and s.n_perdendo == 2 and s.populacao_perdida == 2500 + 40000
+    assert compat.top_crescimento(g, n=2, populacao_minima=1_000_000).count() == 2
+    assert compat.crescimento_por_regiao(g).count() == 5
+    idx = compat.serie_indexada(mini_star.fato_populacao_uf, "uf_id").collect()
+    assert all(r.indice == 100.0 for r in idx if r.ano == 2020)
+
+
+def test_gdp_family(mini_star):
+    u = panels.uf_panel(mini_star)
+    assert compat.ranking_ufs(u).orderBy("posicao").first().uf_sigla == "SP"
+    long = compat.estrutura_setorial(u).collect()
+    assert {r.setor for r in long} <= set(registry.SECTORS.values())
+    part = compat.evolucao_participacao(mini_star.fato_pib_uf).groupBy("ano").sum("part_pib_brasil").collect()
+    assert all(r[1] == pytest.approx(100.0) for r in part)

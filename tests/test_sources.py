@@ -157,3 +157,12 @@ def test_clip_and_attach(spark, tmp_dir):
     data = spark.createDataFrame([(1, "um", 1234567.0)], "id long, nome string, v double")
     out = {r.codarea: r for r in geo.attach_data(f, data, "id", "nome", "v").collect()}
     assert out["1"].valor_fmt == "1.234.567" and out["2"].valor_fmt == "—"
+
+
+def test_feature_sink_roundtrip(spark, tmp_dir):
+    from terrapanel.sinks.loads import write_features
+
+    f = features(spark, tmp_dir, [("1", "Polygon", [CCW])], name="c.json")
+    write_features(geo.reorient_features(f), f"{tmp_dir}/mesh")
+    back = spark.read.json(f"{tmp_dir}/mesh")
+    assert back.count() == 1 and back.first().codarea == "1"
