@@ -38,3 +38,8 @@ UNION ALL SELECT 'censo', 'municipio', ano, count(*) FROM fcm GROUP BY ano"""),
 }
 
 ORACLE.update(_OPERATORS)
+
+# Inventory ids exercised by another registered query share its oracle.
+from terrapanel.plans.operator_queries import ALIASES  # noqa: E402
+
+ORACLE.update({alias: ORACLE[target] for alias, target in ALIASES.items()})

@@ -759,3 +759,30 @@ ORACLE = {
     "panel_refresh": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT * FROM painel"),
     "mv_concentration_refresh": lambda: W(GROWTH_CTE, PANEL_CTE, CONC_CTE, body="SELECT * EXCLUDE (n) FROM conc"),
 }
+
+
+def sink_csv() -> str:
+    from .named import declinio_populacional
+
+    return declinio_populacional()
+
+
+ORACLE.update({
+    "sink_parquet": lambda: W(body="SELECT * FROM fpm"),
+    "sink_csv": sink_csv,
+    "sink_geojson": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id AS codarea, 'MultiPolygon' AS geom_type "
+                                                          "FROM painel WHERE area_km2 > 0"),
+    "load_snapshot": lambda: W(body="SELECT * FROM fpib"),
+    "load_append": lambda: W(body="SELECT * FROM fpm"),
+    "join_nearest_year": lambda: W(body="""
+SELECT municipio_id, ano AS ano_populacao_pib, populacao AS populacao_ano_pib FROM (
+  SELECT *, row_number() OVER (PARTITION BY municipio_id ORDER BY abs(ano - (SELECT max(ano) FROM fpib)), ano) AS rn
+  FROM fpm WHERE populacao IS NOT NULL) WHERE rn = 1"""),
+    "agg_ordered_array": lambda: W(body="""
+SELECT municipio_id, list(CAST(ano AS VARCHAR) || ':' || CAST(populacao AS VARCHAR) ORDER BY ano) AS serie_populacao
+FROM fpm WHERE populacao IS NOT NULL GROUP BY municipio_id"""),
+    "agg_distinct_years": lambda: W(body="""
+SELECT 'populacao' AS serie, count(DISTINCT ano) AS anos FROM fpm
+UNION ALL SELECT 'pib', count(DISTINCT ano) FROM fpib
+UNION ALL SELECT 'censo', count(DISTINCT ano) FROM fcm"""),
+})

@@ -68,6 +68,8 @@ QUERIES: dict[str, Builder] = {
     "mv_concentration_refresh": lambda s, d: star_for(s, d).mv_concentracao_municipio,
 }
 
+from .operator_queries import ALIASES  # noqa: E402
 from .operator_queries import QUERIES as _OPERATOR_QUERIES  # noqa: E402
 
 QUERIES.update(_OPERATOR_QUERIES)
+QUERIES.update({alias: QUERIES[target] for alias, target in ALIASES.items()})

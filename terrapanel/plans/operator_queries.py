@@ -406,3 +406,126 @@ def lorenz(spark, sf_dir):
 
 __all__ = ["QUERIES", "payloads", "tidy", "hierarchy_docs", "meshes", "feature_collections", "as_double",
            "SECTOR_COLUMNS"]
+
+
+# --------------------------------------------------------------------------
+# Sinks and loads (round trips through storage) and a few more operators
+# --------------------------------------------------------------------------
+
+
+def _sink_parquet(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sinks.loads import write_parquet
+
+    path = scratch_path(spark, "sink-parquet")
+    write_parquet(star_for(spark, sf_dir).fato_populacao_municipio, path, partition_by=["ano"])
+    return spark.read.parquet(path).select("municipio_id", F.col("ano").cast("int").alias("ano"), "populacao")
+
+
+def _sink_csv(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sinks.loads import write_csv
+
+    path = scratch_path(spark, "sink-csv")
+    write_csv(nq_run("declinio_populacional", spark, sf_dir), path)
+    schema = "uf_sigla string, uf_nome string, regiao_nome string, n_municipios long, n_em_declinio long, " \
+             "pct_em_declinio double, n_perda_acentuada long, populacao_perdida long, populacao_ganha long, " \
+             "saldo_liquido long, cagr_medio double, cagr_mediano double"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def _sink_geojson(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sinks.loads import write_features
+
+    path = scratch_path(spark, "sink-geojson")
+    write_features(geo.reorient_features(meshes(spark, sf_dir)), path)
+    return spark.read.json(path).select("codarea", "geom_type")
+
+
+def _load_snapshot(spark, sf_dir):
+    from ..sinks.snapshot import read_snapshot
+
+    return read_snapshot(spark, base_for(spark, sf_dir), ["fato_pib_municipio"])["fato_pib_municipio"]
+
+
+def _load_append(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sinks.snapshot import append_rows
+
+    fpm = star_for(spark, sf_dir).fato_populacao_municipio
+    path = scratch_path(spark, "append")
+    first = fpm.select(F.min("ano")).scalar()
+    fpm.filter(F.col("ano") == first).write.parquet(path)
+    append_rows(spark.read.parquet(path), fpm.filter(F.col("ano") != first), ["municipio_id", "ano"], path)
+    return spark.read.parquet(path)
+
+
+def _nearest_per_entity(spark, sf_dir):
+    from ..operators.nearest import nearest_year_per_key
+
+    s = star_for(spark, sf_dir)
+    return nearest_year_per_key(s.fato_populacao_municipio, "municipio_id",
+                                s.fato_pib_municipio.select(F.max("ano")).scalar(),
+                                year_alias="ano_populacao_pib", value_alias="populacao_ano_pib")
+
+
+def _ordered_arrays(spark, sf_dir):
+    f = star_for(spark, sf_dir).fato_populacao_municipio.filter(F.col("populacao").isNotNull())
+    g = f.groupBy("municipio_id").agg(F.array_sort(F.collect_list(F.struct("ano", "populacao"))).alias("_s"))
+    return g.select("municipio_id", F.transform(
+        "_s", lambda x: F.concat(x["ano"].cast("string"), F.lit(":"), x["populacao"].cast("string"))
+    ).alias("serie_populacao"))
+
+
+def _distinct_years(spark, sf_dir):
+    s = star_for(spark, sf_dir)
+    parts = [("populacao", s.fato_populacao_municipio), ("pib", s.fato_pib_municipio),
+             ("censo", s.fato_censo_municipio)]
+    out = None
+    for name, df in parts:
+        r = df.agg(F.countDistinct("ano").alias("anos")).select(F.lit(name).alias("serie"), "anos")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def nq_run(name, spark, sf_dir, **params):
+    from . import queries as nq
+
+    return nq.run(name, star_for(spark, sf_dir), BANDS, **params)
+
+
+QUERIES.update({
+    "sink_parquet": _sink_parquet,
+    "sink_csv": _sink_csv,
+    "sink_geojson": _sink_geojson,
+    "load_snapshot": _load_snapshot,
+    "load_append": _load_append,
+    "join_nearest_year": _nearest_per_entity,
+    "agg_ordered_array": _ordered_arrays,
+    "agg_distinct_years": _distinct_years,
+})
+
+#: Inventory ids whose operator is exercised by another registered query.
+ALIASES = {
+    "filter_optional_param": "serie_uf", "filter_id_or_name": "perfil_municipio_by_name",
+    "filter_xor": "descolamento_pib_populacao", "project_existing": "rank_ufs", "drop_nulls": "topk",
+    "join_growth_dim": "growth_first_last", "join_full_outer_series": "serie_uf",
+    "join_self_endpoints": "descolamento_pib_populacao", "join_cross_thresholds": "concentracao",
+    "join_semi_in": "perfil_municipio", "join_using_rank": "perfil_municipio", "join_map_lookup": "index_base100",
+    "safe_denominator": "density", "nullif_ratio": "join_panel_municipality", "pct_change": "agg_national_series",
+    "share_of_total": "agg_uf_panel", "location_quotient": "quociente_locacional",
+    "divergence_pp": "descolamento_pib_populacao", "common_window": "descolamento_pib_populacao",
+    "abs_rel_tolerance_check": "qualidade", "bucketize": "growth_pandas_path", "band_growth": "growth_first_last",
+    "band_size": "agg_size_bands", "band_density": "agg_density_bands", "band_quotient": "quociente_locacional",
+    "quality_status": "qualidade", "agg_uf_series": "serie_uf_one_state", "agg_decline_by_uf": "declinio_populacional",
+    "gini": "gini_top_share", "top_share": "gini_top_share", "population_concentration": "gini_top_share",
+    "concentration_cutoffs": "concentracao", "win_lag": "growth_step", "win_first_last": "growth_first_last",
+    "win_rank": "ranking_view", "win_percent_rank": "ranking_view", "win_row_number": "concentration_table",
+    "win_running_sum": "concentration_table", "win_running_sum_ties": "top_municipios_pib",
+    "win_total": "agg_uf_panel", "win_transform_sum": "share_of_group", "win_cumsum": "lorenz_curve",
+    "topk_metric_param": "top_municipios_pib_per_capita", "extremes_union": "densidade_extremos",
+    "canonical_sort": "agg_region_sum", "distinct_on": "concentracao", "pivot_wide": "src_series_wide",
+    "union_all": "agg_available_years", "regions_comparison": "regioes", "profile": "perfil_municipio",
+    "geo_signed_area": "geo_reorient", "quality_checks": "qualidade", "coverage_gap_report": "coverage_gap",
+}
