@@ -31,6 +31,12 @@ from ..session import checkpoint
 
 _PID = "_range_id"
 
+#: Inputs with at most this many rows take the single-window path: one task
+#: sorts them comfortably, so range partitioning + staging would only add
+#: jobs. The size is checked at run time (``limit(n + 1).count()``), beyond
+#: it the distributed path is used. Set to 0 to force the distributed path.
+LOCAL_MAX_ROWS = 1_000_000
+
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
     if n_ranges:
@@ -46,6 +52,7 @@ def running_totals(
     *,
     row_number: str = "row_number",
     n_ranges: int | None = None,
+    local_max_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running count (``row_number``) and running sums.
 
@@ -55,6 +62,16 @@ def running_totals(
     """
     sums = dict(sums or {})
     groups = list(partition_by)
+    limit = LOCAL_MAX_ROWS if local_max_rows is None else local_max_rows
+    if limit > 0 and df.limit(limit + 1).count() <= limit:
+        # Proven small: one window (per group), no staging.
+        w = Window.partitionBy(*groups).orderBy(*order_by)
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            "*",
+            F.row_number().over(w).cast("long").alias(row_number),
+            *[F.sum(expr).over(frame).alias(name) for name, expr in sums.items()],
+        )
     tmp = {name: f"_v_{i}" for i, name in enumerate(sums)}
     base = df.select("*", *[expr.alias(tmp[name]) for name, expr in sums.items()])
     ranged = base.repartitionByRange(_n_ranges(df, n_ranges), *[F.col(g) for g in groups], *order_by)
@@ -161,8 +178,22 @@ def with_rank(
     percent_col: str | None = None,
     n_ranges: int | None = None,
 ) -> DataFrame:
-    """``df`` plus SQL-style ``rank()`` (and optionally ``percent_rank()``)."""
+    """``df`` plus SQL-style ``rank()`` (and optionally ``percent_rank()``).
+
+    A proven-small input (``LOCAL_MAX_ROWS``) is ranked with the built-in
+    window functions directly; otherwise per-value counts go through the
+    distributed prefix and are joined back.
+    """
     groups = list(partition_by)
+    if LOCAL_MAX_ROWS > 0 and df.limit(LOCAL_MAX_ROWS + 1).count() <= LOCAL_MAX_ROWS:
+        v = F.col(value)
+        nl = nulls_last if isinstance(nulls_last, Column) else F.lit(bool(nulls_last))
+        # NULL placement may differ per group: a leading key puts NULLs last
+        # (flag true) or first (flag false); ties among NULLs are preserved.
+        null_key = F.when(v.isNull(), F.when(nl, 1).otherwise(0)).otherwise(F.when(nl, 0).otherwise(1))
+        w = Window.partitionBy(*groups).orderBy(null_key.asc(), v.desc() if descending else v.asc())
+        out = df.withColumn(rank_col, F.rank().over(w).cast("long"))
+        return out.withColumn(percent_col, F.percent_rank().over(w)) if percent_col else out
     lk = rank_table(df, value, groups, descending=descending, nulls_last=nulls_last, n_ranges=n_ranges)
     lk = lk.select(
         *[F.col(g).alias(f"_k_{g}") for g in groups],

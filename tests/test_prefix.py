@@ -5,12 +5,21 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terrapanel.operators import prefix
 from terrapanel.operators.prefix import range_running_sum, rank_table, running_totals, with_rank
 
 
+@pytest.fixture(autouse=True, params=["distributed", "single-window"])
+def prefix_mode(request, monkeypatch):
+    """Run every test through both paths of the prefix operators."""
+    monkeypatch.setattr(prefix, "LOCAL_MAX_ROWS", 0 if request.param == "distributed" else 1_000_000)
+    return request.param
+
+
 def data(spark, n=600, seed=7, nulls=True):
     rnd = random.Random(seed)
     rows = []
