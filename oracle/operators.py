@@ -767,7 +767,22 @@ def sink_csv() -> str:
     return declinio_populacional()
 
 
+def compact() -> str:
+    def fmt(x: str) -> str:
+        def br(v: str, d: int) -> str:
+            return f"translate(format('{{:,.{d}f}}', {v}), ',.', '.,')"
+
+        v = D(x)
+        return (f"CASE WHEN {v} IS NULL THEN '—' WHEN abs({v}) >= 1e9 THEN {br(f'{v} / 1e9', 1)} || ' bi' "
+                f"WHEN abs({v}) >= 1e6 THEN {br(f'{v} / 1e6', 1)} || ' mi' "
+                f"WHEN abs({v}) >= 1e3 THEN {br(f'{v} / 1e3', 1)} || ' mil' ELSE {br(v, 0)} END")
+
+    return W(GROWTH_CTE, PANEL_CTE, body=f"""
+SELECT municipio_id, {fmt('pib_mil_reais')} AS pib_fmt, {fmt('populacao_atual')} AS populacao_fmt FROM painel""")
+
+
 ORACLE.update({
+    "fmt_compact_br": compact,
     "sink_parquet": lambda: W(body="SELECT * FROM fpm"),
     "sink_csv": sink_csv,
     "sink_geojson": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id AS codarea, 'MultiPolygon' AS geom_type "

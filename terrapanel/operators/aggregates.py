@@ -134,14 +134,17 @@ def declining(growth: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def share_of_group(df: DataFrame, value: str, group: str = "ano", out: str = "part_pib_brasil") -> DataFrame:
+def share_of_group(df: DataFrame, value: str, group: str = "ano", out: str = "part_pib_brasil",
+                   *, small_groups: bool = True) -> DataFrame:
     """``value / sum(value) per group * 100`` (rows with NULL value dropped).
 
-    Per-group totals are a grouped aggregate joined back (AQE broadcasts it
-    when small, e.g. one row per year)."""
+    Per-group totals are a grouped aggregate joined back. With
+    ``small_groups`` (years, states, sectors: domains bounded by the
+    calendar or the territory) the totals are broadcast, so the large side
+    is never shuffled on a handful of keys; otherwise the planner decides."""
     d = df.filter(F.col(value).isNotNull())
     tot = d.groupBy(group).agg(F.sum(value).alias("_t"))
-    return d.join(tot, group).withColumn(out, _pct(value, "_t")).drop("_t")
+    return d.join(F.broadcast(tot) if small_groups else tot, group).withColumn(out, _pct(value, "_t")).drop("_t")
 
 
 def region_year_share(pib_uf_enriched: DataFrame, value: str = "pib_mil_reais") -> DataFrame:

@@ -495,7 +495,16 @@ def nq_run(name, spark, sf_dir, **params):
     return nq.run(name, star_for(spark, sf_dir), BANDS, **params)
 
 
+def _compact(spark, sf_dir):
+    from ..functions import fmt_compact_br
+
+    p = star_for(spark, sf_dir).mv_painel_municipio
+    return p.select("municipio_id", fmt_compact_br(F.col("pib_mil_reais")).alias("pib_fmt"),
+                    fmt_compact_br(F.col("populacao_atual")).alias("populacao_fmt"))
+
+
 QUERIES.update({
+    "fmt_compact_br": _compact,
     "sink_parquet": _sink_parquet,
     "sink_csv": _sink_csv,
     "sink_geojson": _sink_geojson,
