@@ -54,33 +54,54 @@ def _sector(p_type) -> F.Column:
     return expr
 
 
+def _cents(c) -> F.Column:
+    """Exact integer hundredths of a 2-decimal amount stored as DOUBLE."""
+    return F.round(F.col(c) * F.lit(100.0)).cast("long")
+
+
+def money(units: F.Column, scale: int) -> F.Column:
+    """Integer units of 10^-scale → DECIMAL(38,4), exactly."""
+    return (units.cast("decimal(38,0)") / F.lit(10**scale)).cast(MONEY)
+
+
 def customer_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (customer, order year) with quantity and money sums."""
+    """One row per (customer, order year) with quantity and money sums.
+
+    Money is carried as exact integers (cents; cents × tax-hundredths for
+    taxes) through the aggregations — LONG sums are vectorised, DECIMAL
+    sums above 18 digits are not — and converted to DECIMAL at the end.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_partkey",
         "l_quantity",
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_tax").cast("decimal(18,2)").alias("tax"),
+        _cents("l_extendedprice").alias("price_c"),
+        _cents("l_tax").alias("tax_c"),
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", _sector(F.col("p_type")).alias("sector"))
     li = li.join(part, li.l_partkey == part.p_partkey, "left")
     per_order = li.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("qty"),
-        F.sum("price").alias("price"),
-        F.sum(F.col("price") * F.col("tax")).alias("taxes"),
-        *[F.sum(F.when(F.col("sector") == F.lit(s), F.col("price"))).alias(s) for s in SECTOR_COLUMNS],
+        F.sum("price_c").alias("price_c"),
+        F.sum(F.col("price_c") * F.col("tax_c")).alias("taxes_e4"),
+        *[F.sum(F.when(F.col("sector") == F.lit(s), F.col("price_c"))).alias(s) for s in SECTOR_COLUMNS],
     )
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("ano")
     )
     joined = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
-    return joined.groupBy("o_custkey", "ano").agg(
+    cy = joined.groupBy("o_custkey", "ano").agg(
         F.sum("qty").alias("qty"),
-        F.sum("price").alias("price"),
-        F.sum("taxes").alias("taxes"),
+        F.sum("price_c").alias("price_c"),
+        F.sum("taxes_e4").alias("taxes_e4"),
         *[F.sum(s).alias(s) for s in SECTOR_COLUMNS],
     )
+    return cy.select(
+        "o_custkey", "ano", "qty",
+        money(F.col("price_c"), 2).alias("price"),
+        money(F.col("taxes_e4"), 4).alias("taxes"),
+        *[money(F.col(s), 2).alias(s) for s in SECTOR_COLUMNS],
+    )
 
 
 def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
