@@ -26,7 +26,7 @@ _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
 PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio")
 
 
-def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS) -> Star:
+def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS, buckets: int | None = None) -> Star:
     """Recompute the two materialised panels, in dependency order, into a
     new snapshot and flip to it (readers keep the old one until then)."""
     spark = star.spark
@@ -41,17 +41,37 @@ def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS) ->
         panel_base,
         source="star",
         bucket_by={"mv_painel_municipio": ["municipio_id"]},
+        buckets=buckets,
     )
     mv = read_snapshot(spark, panel_base, PANEL_TABLES)
     return Star(**star.tables(), **mv, panel_bands=bands)
 
 
-def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS) -> Star:
+BUCKET_BYTES = 128 * 1024 * 1024
+
+
+def source_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the input folder (file-system metadata, no job)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def choose_buckets(spark: SparkSession, sf_dir: str) -> int:
+    """About ``BUCKET_BYTES`` of input per bucket, at least 1, at most the
+    shuffle partitions (a bucket is one task of every co-located join)."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-source_bytes(spark, sf_dir) // BUCKET_BYTES)))
+
+
+def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS,
+          buckets: int | None = None) -> Star:
     """Run the ETL for ``sf_dir``: derive and write the star, then refresh
     the materialised panels. Returns the star reading the written tables."""
     base = base or scratch_path(spark, "star")
-    star = write_star(derive_star(spark, sf_dir, stage=checkpoint), base, source=sf_dir)
-    return refresh_panels(star, base, bands)
+    n = buckets or choose_buckets(spark, sf_dir)
+    star = write_star(derive_star(spark, sf_dir, stage=checkpoint), base, source=sf_dir, buckets=n)
+    return refresh_panels(star, base, bands, buckets=n)
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
