@@ -61,7 +61,7 @@ QUERIES: dict[str, Builder] = {
     "growth_step": lambda s, d: panels.population_view(star_for(s, d)),
     "join_panel_municipality": lambda s, d: panels.municipality_panel(star_for(s, d), BANDS, live=True),
     "panel_refresh": lambda s, d: star_for(s, d).mv_painel_municipio,
-    "agg_uf_panel": lambda s, d: panels.uf_panel(star_for(s, d)),
+    "agg_uf_panel": lambda s, d: panels.uf_panel(star_for(s, d), live=True),
     "agg_region_panel": lambda s, d: panels.region_panel(star_for(s, d)),
     "ranking_view": lambda s, d: panels.ranking_view(panels.municipality_panel(star_for(s, d), BANDS)),
     "concentration_table": lambda s, d: panels.concentration_table(panels.municipality_panel(star_for(s, d), BANDS)),

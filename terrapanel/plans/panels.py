@@ -230,8 +230,11 @@ def _share_of_total(col: str, total_col: str, decimals: int):
     return round_to(as_double(col) * F.lit(100.0) / as_double(nullif_zero(F.col(total_col))), decimals)
 
 
-def uf_panel(star: Star) -> DataFrame:
-    """``vw_painel_uf``: state panel with shares of the national totals."""
+def uf_panel(star: Star, *, live: bool = False) -> DataFrame:
+    """``vw_painel_uf``: state panel with shares of the national totals
+    (the materialised copy when the star carries one, unless ``live``)."""
+    if not live and star.mv_painel_uf is not None:
+        return star.mv_painel_uf
     pop, pib = star.fato_populacao_uf, star.fato_pib_uf
     ano_pop, ano_pib = _latest_year(pop), _latest_year(pib)
     ano_vab = _latest_year(pib, F.col("vab_industria").isNotNull())

@@ -23,7 +23,7 @@ from ..sources.tpch import derive_star
 _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
 
 
-PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio")
+PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio", "mv_painel_uf")
 
 
 def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS, buckets: int | None = None) -> Star:
@@ -37,7 +37,11 @@ def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS, bu
         return panels.concentration_table(written["mv_painel_municipio"])
 
     write_snapshot(
-        {"mv_painel_municipio": panels.municipality_panel(live, bands, live=True), "mv_concentracao_municipio": conc},
+        {
+            "mv_painel_municipio": panels.municipality_panel(live, bands, live=True),
+            "mv_painel_uf": panels.uf_panel(live, live=True),
+            "mv_concentracao_municipio": conc,
+        },
         panel_base,
         source="star",
         bucket_by={"mv_painel_municipio": ["municipio_id"]},

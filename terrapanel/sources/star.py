@@ -80,6 +80,7 @@ class Star:
     # parameters they were built with; None until refreshed.
     mv_painel_municipio: DataFrame | None = None
     mv_concentracao_municipio: DataFrame | None = None
+    mv_painel_uf: DataFrame | None = None
     panel_bands: Any = None
 
     def tables(self) -> dict[str, DataFrame]:
