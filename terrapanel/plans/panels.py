@@ -409,6 +409,13 @@ def ranking_view(panel: DataFrame) -> DataFrame:
     )
 
 
+def ranking_for(star: Star, bands: Bands = registry.REAL_BANDS) -> DataFrame:
+    """The materialised ranking view when available, else computed."""
+    if star.mv_ranking_municipio is not None and star.panel_bands == bands:
+        return star.mv_ranking_municipio
+    return ranking_view(municipality_panel(star, bands))
+
+
 def concentration_for(star: Star, bands: Bands = registry.REAL_BANDS) -> DataFrame:
     """The materialised Lorenz table when available, else computed."""
     if star.mv_concentracao_municipio is not None and star.panel_bands == bands:

@@ -23,7 +23,7 @@ from ..sources.tpch import derive_star
 _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
 
 
-PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio", "mv_painel_uf")
+PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio", "mv_painel_uf", "mv_ranking_municipio")
 
 
 def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS, buckets: int | None = None) -> Star:
@@ -36,15 +36,19 @@ def refresh_panels(star: Star, base: str, bands: Bands = registry.REAL_BANDS, bu
     def conc(written):
         return panels.concentration_table(written["mv_painel_municipio"])
 
+    def ranks(written):
+        return panels.ranking_view(written["mv_painel_municipio"])
+
     write_snapshot(
         {
             "mv_painel_municipio": panels.municipality_panel(live, bands, live=True),
             "mv_painel_uf": panels.uf_panel(live, live=True),
             "mv_concentracao_municipio": conc,
+            "mv_ranking_municipio": ranks,
         },
         panel_base,
         source="star",
-        bucket_by={"mv_painel_municipio": ["municipio_id"]},
+        bucket_by={"mv_painel_municipio": ["municipio_id"], "mv_ranking_municipio": ["municipio_id"]},
         buckets=buckets,
     )
     mv = read_snapshot(spark, panel_base, PANEL_TABLES)

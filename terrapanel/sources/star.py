@@ -81,6 +81,7 @@ class Star:
     mv_painel_municipio: DataFrame | None = None
     mv_concentracao_municipio: DataFrame | None = None
     mv_painel_uf: DataFrame | None = None
+    mv_ranking_municipio: DataFrame | None = None
     panel_bands: Any = None
 
     def tables(self) -> dict[str, DataFrame]:
