@@ -14,6 +14,7 @@ import datetime as _dt
 import json
 import time
 import uuid
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,25 +147,31 @@ def write_snapshot(
             cols = list(bucket_by[name])
             spec = {"table": f"terrapanel_{snap_id.replace('-', '_')}_{name}", "n": n_buckets, "cols": cols,
                     "partition": parts}
-            writer.bucketBy(n_buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(spec["table"])
-            bucketed[name] = spec
-            written[name] = spark.table(spec["table"])
+            try:
+                writer.bucketBy(n_buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(spec["table"])
+                bucketed[name] = spec
+                written[name] = spark.table(spec["table"])
+            except Exception as exc:  # noqa: BLE001 — a catalog without bucketed tables
+                # Same rows without co-location: plain files at the same place.
+                warnings.warn(f"bucketed write of {name} unavailable ({type(exc).__name__}); writing plain Parquet")
+                w = df.write.mode("overwrite").format("parquet")
+                (w.partitionBy(*parts) if parts else w).save(path)
+                written[name] = read_table(spark, folder, name)
         else:
             writer.save(path)
             written[name] = read_table(spark, folder, name)
         log[name] = (snap_id, name, source, None, started, int((time.perf_counter() - t0) * 1000), user)
 
-    # Dimensions, then facts, then tables derived from written ones. Tables
+    # Dimensions, then facts, then tables derived from written ones (a
+    # derived table may read any non-derived table of the snapshot). Tables
     # of one batch are independent: their jobs are submitted concurrently.
     dims = [t for t in tables if t in DIM_TABLES]
     derived = [t for t in tables if callable(tables[t]) and not isinstance(tables[t], DataFrame)]
     facts = [t for t in tables if t not in dims and t not in derived]
-    for batch in (dims, facts):
+    for batch in (dims, facts, derived):
         if batch:
             with ThreadPoolExecutor(max_workers=min(8, len(batch))) as pool:
                 list(pool.map(write_one, batch))
-    for name in derived:
-        write_one(name)
     # Row counts of every written table in one job (footer-only scans).
     counts = None
     for name, df in written.items():
