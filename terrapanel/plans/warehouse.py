@@ -99,3 +99,25 @@ def base_for(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the star's snapshots and load log."""
     star_for(spark, sf_dir)
     return _STARS[_key(spark, sf_dir)][1]
+
+
+def register_views(star: Star, bands: Bands = registry.REAL_BANDS) -> list[str]:
+    """Expose the star and its views/panels to SQL under their usual names
+    (session temp views): ``spark.sql("SELECT … FROM mv_painel_municipio")``."""
+    views = dict(star.tables())
+    views.update(
+        {
+            "vw_municipio": panels.hierarchy(star),
+            "vw_anos_disponiveis": panels.available_years(star),
+            "vw_populacao_municipio": panels.population_view(star),
+            "vw_crescimento_municipio": panels.growth_view(star, bands),
+            "mv_painel_municipio": panels.municipality_panel(star, bands),
+            "mv_concentracao_municipio": panels.concentration_for(star, bands),
+            "vw_painel_uf": panels.uf_panel(star),
+            "vw_painel_regiao": panels.region_panel(star, registry.REGION_ORDER),
+            "vw_ranking_municipio": panels.ranking_for(star, bands),
+        }
+    )
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

@@ -28,6 +28,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # catalog tables are external (explicit paths); keep the local
+        # catalog's own folder out of the working directory
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="terrapanel-warehouse-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -120,3 +120,14 @@ def test_serie_uf(mini_star):
     assert set(rows) == {2020, 2021, 2023, 2024, 2025}     # full outer join keeps both ends
     assert rows[2023].populacao is None and rows[2023].pib_mil_reais is not None
     assert rows[2020].uf == "SP"
+
+
+def test_sql_surface(spark, mini_star):
+    from terrapanel.plans.warehouse import register_views
+
+    names = register_views(mini_star, BANDS)
+    assert "mv_painel_municipio" in names and "vw_ranking_municipio" in names
+    r = spark.sql("SELECT municipio_nome FROM vw_crescimento_municipio WHERE cagr_pct < 0 ORDER BY municipio_nome")
+    assert [x.municipio_nome for x in r.collect()] == ["Alta Floresta D'Oeste", "Porto Alegre"]
+    n = spark.sql("SELECT count(*) AS n FROM mv_painel_municipio p JOIN vw_ranking_municipio r USING (municipio_id)")
+    assert n.collect()[0].n == 7
