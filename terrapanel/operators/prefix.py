@@ -99,7 +99,9 @@ def running_totals(
     # no groups, so it is broadcast; with groups AQE decides from its size.
     if not groups:
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, [*groups, _PID], "left")
+    offsets = offsets.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col(_PID).alias("_o_pid"),
+                             *[c for c in offsets.columns if c.startswith("_off_")])
+    joined = local.join(offsets, _null_safe_keys(groups, "_o_", extra=[(_PID, "_o_pid")]), "left")
     out_cols = [F.col(c) for c in df.columns]
     out_cols.append((F.col("_rn_local") + F.col("_off_n")).alias(row_number))
     for name, t in tmp.items():
@@ -107,6 +109,17 @@ def running_totals(
     return joined.select(*out_cols)
 
 
+def _null_safe_keys(groups, prefix: str, extra=()) -> Column:
+    """Join condition: each group column equals its prefixed copy, NULL
+    matching NULL (a NULL group is a group, as in a window partition)."""
+    cond = F.lit(True)
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
+    for left, right in extra:
+        cond = cond & (F.col(left) == F.col(right))
+    return cond
+
+
 def _order(c: Column, descending: bool, nulls_last: bool) -> Column:
     if descending:
         return c.desc_nulls_last() if nulls_last else c.desc_nulls_first()
@@ -148,7 +161,11 @@ def rank_table(
     lookup = non_null.unionByName(nulls)
     # ``stats`` has one row per group: broadcast only when there is no group
     # (one row); with groups AQE picks the strategy from its runtime size.
-    lookup = lookup.join(stats, groups, "inner") if groups else lookup.crossJoin(F.broadcast(stats))
+    if groups:
+        stats = stats.select(*[F.col(g).alias(f"_s_{g}") for g in groups], "_nn", "_nulls")
+        lookup = lookup.join(stats, _null_safe_keys(groups, "_s_"), "inner").drop(*[f"_s_{g}" for g in groups])
+    else:
+        lookup = lookup.crossJoin(F.broadcast(stats))
     last = F.col("_nl")
     rank = (
         F.when(v.isNull(), F.when(last, F.col("_nn") + 1).otherwise(F.lit(1)))
@@ -201,9 +218,7 @@ def with_rank(
         F.col("rank").alias(rank_col),
         *([F.col("percent_rank").alias(percent_col)] if percent_col else []),
     )
-    cond = F.col(value).eqNullSafe(F.col("_k_v"))
-    for g in groups:
-        cond = cond & (F.col(g) == F.col(f"_k_{g}"))
+    cond = F.col(value).eqNullSafe(F.col("_k_v")) & _null_safe_keys(groups, "_k_")
     out = df.join(lk, cond, "left")
     return out.drop("_k_v", *[f"_k_{g}" for g in groups])
 
@@ -229,7 +244,5 @@ def range_running_sum(
     pref = running_totals(
         per_value, [_order(v, descending, True)], {out: F.col("_s")}, groups, n_ranges=n_ranges
     ).select(*[F.col(g).alias(f"_k_{g}") for g in groups], F.col(value).alias("_k_v"), F.col(out))
-    cond = v == F.col("_k_v")
-    for g in groups:
-        cond = cond & (F.col(g) == F.col(f"_k_{g}"))
+    cond = (v == F.col("_k_v")) & _null_safe_keys(groups, "_k_")
     return df.join(pref, cond, "left").drop("_k_v", *[f"_k_{g}" for g in groups])

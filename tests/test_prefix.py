@@ -82,3 +82,13 @@ def test_range_running_sum_ties_share(spark):
     w = Window.orderBy(F.col("v").desc())  # default RANGE frame
     exp = {r.id: r.c for r in df.select("id", F.sum("w").over(w).alias("c")).collect()}
     assert got == exp
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(1, None, 3.0), (2, None, 5.0), (3, "a", 1.0), (4, "a", 2.0)],
+                               "id long, g string, v double")
+    got = {r.id: r.rk for r in with_rank(df, "v", ["g"], rank_col="rk").collect()}
+    assert got == {1: 2, 2: 1, 3: 2, 4: 1}
+    rt = {r.id: (r.row_number, r.c) for r in running_totals(df, [F.col("v").asc(), F.col("id").asc()],
+                                                          {"c": F.col("v")}, ["g"]).collect()}
+    assert rt == {1: (1, 3.0), 2: (2, 8.0), 3: (1, 1.0), 4: (2, 3.0)}
