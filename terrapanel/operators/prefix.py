@@ -7,9 +7,11 @@ distributed:
 1. ``repartitionByRange(N, *groups, *order)`` — the range partitioner
    splits on the *full* key (order columns + id tiebreak), so one hot value
    or one big group is spread over many ranges;
-2. the tagged layout (``spark_partition_id``) is checkpointed to the shared
-   checkpoint folder: sampled range bounds are not stable under
-   recomputation, and both later steps must see the same layout;
+2. the tagged layout (``spark_partition_id``) is written to the shared
+   checkpoint folder, bucketed on ``(groups, range)``: sampled range bounds
+   are not stable under recomputation, both later steps must see the same
+   layout, and the bucketing satisfies their distribution (no second
+   shuffle of the large side);
 3. local running sums: a window partitioned by ``(groups, range)``;
 4. per-range totals (at most ``N`` rows per group) → exclusive offsets
    with a window partitioned by group;
@@ -27,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import stage_bucketed
 
 _PID = "_range_id"
 
@@ -73,11 +75,23 @@ def running_totals(
             *[F.sum(expr).over(frame).alias(name) for name, expr in sums.items()],
         )
     tmp = {name: f"_v_{i}" for i, name in enumerate(sums)}
-    base = df.select("*", *[expr.alias(tmp[name]) for name, expr in sums.items()])
-    ranged = base.repartitionByRange(_n_ranges(df, n_ranges), *[F.col(g) for g in groups], *order_by)
-    ranged = checkpoint(ranged.withColumn(_PID, F.spark_partition_id()))
+    # Non-null surrogate group keys (NULL flag + value as text): plain
+    # equality joins on them keep the window's partitioning, and a NULL
+    # group stays a group.
+    keys = []
+    surrogate = []
+    for i, g in enumerate(groups):
+        keys += [f"_gn{i}", f"_gv{i}"]
+        surrogate += [F.col(g).isNull().alias(f"_gn{i}"), F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_gv{i}")]
+    base = df.select("*", *surrogate, *[expr.alias(tmp[name]) for name, expr in sums.items()])
+    n = _n_ranges(df, n_ranges)
+    ranged = base.repartitionByRange(n, *[F.col(g) for g in groups], *order_by)
+    # Stage the tagged layout bucketed on (group keys, range): the window,
+    # the per-range totals and the offsets join below read it without an
+    # exchange of the large side.
+    ranged = stage_bucketed(ranged.withColumn(_PID, F.spark_partition_id()), [*keys, _PID], n, "prefix")
 
-    local_w = Window.partitionBy(*groups, _PID).orderBy(*order_by)
+    local_w = Window.partitionBy(*keys, _PID).orderBy(*order_by)
     local_frame = local_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select(
         "*",
@@ -85,12 +99,12 @@ def running_totals(
         *[F.sum(F.col(t)).over(local_frame).alias(f"_cum_{t}") for t in tmp.values()],
     )
 
-    totals = ranged.groupBy(*groups, _PID).agg(
+    totals = ranged.groupBy(*keys, _PID).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(t)).alias(f"_s_{t}") for t in tmp.values()]
     )
-    before = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *groups,
+        *keys,
         _PID,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         *[F.sum(f"_s_{t}").over(before).alias(f"_off_{t}") for t in tmp.values()],
@@ -99,9 +113,7 @@ def running_totals(
     # no groups, so it is broadcast; with groups AQE decides from its size.
     if not groups:
         offsets = F.broadcast(offsets)
-    offsets = offsets.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col(_PID).alias("_o_pid"),
-                             *[c for c in offsets.columns if c.startswith("_off_")])
-    joined = local.join(offsets, _null_safe_keys(groups, "_o_", extra=[(_PID, "_o_pid")]), "left")
+    joined = local.join(offsets, [*keys, _PID], "left")
     out_cols = [F.col(c) for c in df.columns]
     out_cols.append((F.col("_rn_local") + F.col("_off_n")).alias(row_number))
     for name, t in tmp.items():

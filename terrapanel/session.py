@@ -88,3 +88,20 @@ def checkpoint(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def stage_bucketed(df, cols, n: int, name: str = "stage"):
+    """Like ``checkpoint`` but the written table is bucketed on ``cols``
+    (``n`` buckets) and registered in the catalog, so later windows,
+    aggregations and joins keyed on ``cols`` need no exchange. Falls back
+    to a plain written table when the catalog cannot hold bucketed tables.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "terrapanel_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    try:
+        df.write.format("parquet").bucketBy(n, *cols).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    except Exception:  # noqa: BLE001 — catalog without bucketed tables
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
