@@ -24,12 +24,13 @@ then join the small per-value lookup back with null-safe equality.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_bucketed
+from ..session import checkpoint, stage_bucketed
 
 _PID = "_range_id"
 
@@ -37,7 +38,7 @@ _PID = "_range_id"
 #: sorts them comfortably, so range partitioning + staging would only add
 #: jobs. The size is checked at run time (``limit(n + 1).count()``), beyond
 #: it the distributed path is used. Set to 0 to force the distributed path.
-LOCAL_MAX_ROWS = 1_000_000
+LOCAL_MAX_ROWS = int(os.environ.get("TERRAPANEL_LOCAL_MAX_ROWS", "1000000"))
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
@@ -157,7 +158,11 @@ def rank_table(
     groups = list(partition_by)
     v = F.col(value)
     nl = nulls_last if isinstance(nulls_last, Column) else F.lit(bool(nulls_last))
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"), F.first(nl).alias("_nl"))
+    # Per-value counts feed three branches below; stage them once (they are
+    # far smaller than the rows: one per distinct value and group).
+    counts = checkpoint(
+        df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"), F.first(nl).alias("_nl")), "rank-counts"
+    )
     stats = counts.groupBy(*groups).agg(
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_c"))), F.lit(0)).alias("_nn"),
         F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_nulls"),

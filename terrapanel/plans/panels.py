@@ -399,14 +399,16 @@ def ranking_view(panel: DataFrame) -> DataFrame:
     ranked = with_rank(
         long, "v", ["metric", "grp"], descending=True, nulls_last=F.col("nl"), rank_col="r", percent_col="p"
     )
-    metrics = [*RANK_INDICATORS, *RANKS_IN_STATE, *PERCENTILES]
-    wide = ranked.groupBy(*ids).pivot("metric", metrics).agg(F.first("r").alias("r"), F.first("p").alias("p"))
-    out = base.join(wide, ids, "left")
-    return out.select(
-        *base.columns,
-        *[F.col(f"{m}_r").cast("long").alias(m) for m in [*RANK_INDICATORS, *RANKS_IN_STATE]],
-        *[round_to(F.col(f"{m}_p") * F.lit(100.0), 2).alias(m) for m in PERCENTILES],
+    # Back to one row per entity with conditional aggregates (one shuffle on
+    # the id, partial aggregation), then joined to the panel on its bucket key.
+    wide = ranked.groupBy(*ids).agg(
+        *[F.max(F.when(F.col("metric") == F.lit(m), F.col("r"))).cast("long").alias(m)
+          for m in [*RANK_INDICATORS, *RANKS_IN_STATE]],
+        *[round_to(F.max(F.when(F.col("metric") == F.lit(m), F.col("p"))) * F.lit(100.0), 2).alias(m)
+          for m in PERCENTILES],
     )
+    out = base.join(wide, ids, "left")
+    return out.select(*base.columns, *[*RANK_INDICATORS, *RANKS_IN_STATE], *PERCENTILES)
 
 
 def ranking_for(star: Star, bands: Bands = registry.REAL_BANDS) -> DataFrame:

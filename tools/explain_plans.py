@@ -56,7 +56,19 @@ def main() -> None:
            "and the distributed prefix path forced, to show the large-input plan shapes. Explicit broadcasts "
            "left in the plans are size-proven (one-row totals, per-range offsets, the territory-bounded "
            "state/region dimensions). Ranking and Lorenz plans start from tables staged by the prefix "
-           "operator (written during plan construction).", ""]
+           "operator (written during plan construction).", "",
+           "What to look for:", "",
+           "* ETL: `lineitem` is shuffled once on `partkey` (for `part`) and the per-order aggregate is hash-"
+           "partitioned on `orderkey`, which the `orders` join reuses; the customer-year aggregate is partial "
+           "before its exchange.",
+           "* Municipality panel: six sort-merge joins over bucketed scans of the star with no hash exchange; "
+           "year partitions pruned by the scalar-subquery partition filter; only single-partition exchanges "
+           "inside the tiny max-year subqueries.",
+           "* Lorenz table: the staged, range-tagged rows (bucketed on group keys + range) feed the window "
+           "without an exchange; only the per-range totals (≤ N rows per group) move.",
+           "* Ranking view: per-value counts staged once; one shuffle of the long rows for the join-back and one "
+           "on the id for the conditional-aggregate pivot; the final join uses the panel's bucketing.",
+           ""]
     for title, make in items:
         out += [f"## {title}", "", "```", plan(make()), "```", ""]
     os.makedirs(os.path.join(ROOT, "docs"), exist_ok=True)
