@@ -207,7 +207,7 @@ def quality_status(ok: Column, failure: str = registry.STATUS_FAIL) -> Column:
 
 def ordinal(c, order: Sequence[str]) -> Column:
     """1-based position in a literal list (0 when absent) for canonical sorts."""
-    return F.array_position(F.array(*[F.lit(v) for v in order]), col_of(c))
+    return F.array_position(F.array(*[F.lit(v) for v in order]), col_of(c)).cast("int")
 
 
 def abs_rel_mismatch(published, computed, rel: float = 0.01, absolute: float = 0.005) -> Column:

@@ -52,7 +52,7 @@ def density_distribution(panel: DataFrame, edges=registry.DENSITY_EDGES, density
     )
     g = d.groupBy("faixa_densidade").agg(
         F.count(F.lit(1)).alias("n_municipios"),
-        F.sum("area_km2").alias("area_km2"),
+        F.sum("area_km2").cast("decimal(38,3)").alias("area_km2"),
         F.sum("populacao_atual").alias("populacao"),
     )
     out = with_total_shares(g, {"pct_area": "area_km2", "pct_populacao": "populacao"})
@@ -177,7 +177,7 @@ def topk(df: DataFrame, col: str, n: int = 20, *, ascending: bool = False, key:
     """Top/bottom ``n`` by ``col`` (NULLs dropped, id tiebreak), with ``posicao``."""
     order = [F.col(col).asc() if ascending else F.col(col).desc(), F.col(key).asc()]
     top = df.filter(F.col(col).isNotNull()).orderBy(*order).limit(int(n))
-    top = top.withColumn("posicao", F.row_number().over(Window.orderBy(*order)))
+    top = top.withColumn("posicao", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return top.select("posicao", *(cols or top.columns[:-1]))
 
 
@@ -265,7 +265,7 @@ def headline(panel: DataFrame, growth: DataFrame) -> DataFrame:
     p = panel.agg(
         F.sum("populacao_atual").alias("populacao_total"),
         F.sum("pib_mil_reais").alias("pib_total"),
-        F.sum("area_km2").alias("area_total"),
+        F.sum("area_km2").cast("decimal(38,3)").alias("area_total"),
         F.count(F.lit(1)).alias("n_municipios"),
         F.max_by("municipio_nome", F.struct(F.col("populacao_atual"), -F.col("municipio_id").cast("long")))
         .alias("maior_municipio"),

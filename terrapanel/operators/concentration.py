@@ -139,7 +139,7 @@ def territorial_half(df: DataFrame, density: str, population: str, area: str, ke
     at_cut = j.join(F.broadcast(cut.select("_cut")), F.col("_i") == F.col("_cut")).select("_cut", "_ca")
     return at_cut.crossJoin(F.broadcast(tot)).select(
         F.col("_cut").cast("long").alias("n_entidades_metade_pop"),
-        F.col("_ca").alias("area_metade_pop"),
+        F.col("_ca").cast("decimal(38,3)").alias("area_metade_pop"),
         (as_double("_ca") / as_double(nullif_zero(F.col("_ta"))) * F.lit(100.0)).alias("pct_area_metade_pop"),
-        F.col("_ta").alias("area_total"),
+        F.col("_ta").cast("decimal(38,3)").alias("area_total"),
     )
