@@ -105,3 +105,25 @@ def stage_bucketed(df, cols, n: int, name: str = "stage"):
     except Exception:  # noqa: BLE001 — catalog without bucketed tables
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove everything this application staged: the ``terrapanel_*``
+    catalog tables and the folders under ``<checkpoint dir>/terrapanel/<app
+    id>`` (stage tables, warehouse snapshots). Call it when the job is done
+    with its results; DataFrames reading them become invalid. Returns the
+    number of folders removed.
+    """
+    base = ensure_checkpoint_dir(spark)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("terrapanel_") and not t.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/terrapanel/{spark.sparkContext.applicationId}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    removed = 0
+    for status in fs.listStatus(root):
+        fs.delete(status.getPath(), True)
+        removed += 1
+    return removed
