@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..functions import as_double, band_density, band_size, nullif_zero, ordinal, round_to
-from .growth import index_base100  # noqa: F401  (re-exported for the analysis API)
+from ..functions import as_double, band_density, band_size, nullif_zero, ordinal
 
 
 def _pct(col: str, total: str) -> F.Column:
@@ -357,5 +356,3 @@ def choropleth_input(panel: DataFrame, value: str, *, log10: bool = False, key:
         "codarea", "nome", "valor", F.log10(F.greatest(F.col("valor"), F.col("_m"))).alias("valor_log10")
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["round_to"]
