@@ -9,6 +9,7 @@ executor re-reads files instead of recomputing the derivation.
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,7 @@ from ..sources.star import Star
 from ..sources.tpch import derive_star
 
 _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
+_LOCK = threading.Lock()
 
 
 PANEL_TABLES = ("mv_painel_municipio", "mv_concentracao_municipio", "mv_painel_uf", "mv_ranking_municipio")
@@ -89,9 +91,10 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def star_for(spark: SparkSession, sf_dir: str) -> Star:
     """The materialised star of ``sf_dir`` for this application (built once)."""
     key = _key(spark, sf_dir)
-    if key not in _STARS:
-        base = scratch_path(spark, "star")
-        _STARS[key] = (build(spark, sf_dir, base), base)
+    with _LOCK:  # concurrent callers share one ETL run
+        if key not in _STARS:
+            base = scratch_path(spark, "star")
+            _STARS[key] = (build(spark, sf_dir, base), base)
     return _STARS[key][0]
 
 
