@@ -131,3 +131,46 @@ def test_sql_surface(spark, mini_star):
     assert [x.municipio_nome for x in r.collect()] == ["Alta Floresta D'Oeste", "Porto Alegre"]
     n = spark.sql("SELECT count(*) AS n FROM mv_painel_municipio p JOIN vw_ranking_municipio r USING (municipio_id)")
     assert n.collect()[0].n == 7
+
+
+def test_sql_and_pandas_paths_agree(mini_star):
+    """The rounded (SQL-layer) and unrounded (pandas-path) growth agree
+    within the rounding, and so do their bands away from the cut points."""
+    from terrapanel.operators.growth import growth_first_last
+
+    pop = mini_star.fato_populacao_municipio
+    sql = {r.municipio_id: r for r in growth_first_last(pop, "municipio_id", decimals=4,
+                                                         growth_edges=BANDS.growth).collect()}
+    py = {r.municipio_id: r for r in growth_first_last(pop, "municipio_id", growth_edges=BANDS.growth).collect()}
+    assert sql.keys() == py.keys()
+    for k in sql:
+        assert abs(sql[k].cagr_pct - py[k].cagr_pct) <= 5e-5 + 1e-12
+        assert sql[k].faixa_crescimento == py[k].faixa_crescimento
+
+
+def test_registry_contract():
+    """Every named query declares exactly the parameters its builder takes."""
+    import inspect
+
+    for q in nq.QUERIES.values():
+        params = set(inspect.signature(q.builder).parameters) - {"star", "bands"}
+        required = {p for p, v in inspect.signature(q.builder).parameters.items()
+                    if v.default is inspect.Parameter.empty} - {"star"}
+        assert set(q.params) <= params, q.name
+        assert not required, q.name
+    assert {q.name for q in nq.QUERIES.values()} == {
+        "top_municipios", "concentracao", "declinio_populacional", "porte_populacional", "quociente_locacional",
+        "regioes", "serie_uf", "descolamento_pib_populacao", "densidade_extremos", "perfil_municipio", "qualidade"}
+
+
+def test_panel_invariants(mini_star, panel):
+    from terrapanel.operators.quality import coverage_gap, panel_invariants
+
+    inv = {r.invariante: r.valor for r in panel_invariants(
+        mini_star, panel, panels.uf_panel(mini_star), panels.region_panel(mini_star)).collect()}
+    assert inv["soma part_pop_brasil (UF)"] == pytest.approx(100.0, abs=1e-3)
+    assert inv["soma part_pop_brasil (região)"] == pytest.approx(100.0, abs=1e-3)
+    assert inv["população municípios - UFs"] == 0.0 and inv["população UFs - regiões"] == 0.0
+    assert inv["PIB municípios - UFs"] == 0.0
+    assert inv["densidade recalculada ≠ armazenada"] == 0.0
+    assert [r.municipio_nome for r in coverage_gap(panel).collect()] == ["Campinas"]
