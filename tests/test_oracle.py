@@ -73,3 +73,29 @@ def test_multi_bucket_warehouse_matches_oracle(spark, duck):
         dcols = [d[0] for d in res.description]
         idx = [dcols.index(c) for c in cols]
         assert collections.Counter(srows) == collections.Counter(tuple(norm(r[i]) for i in idx) for r in res.fetchall())
+
+
+def test_panel_plan_has_no_hash_exchange(spark):
+    """Co-location: over the bucketed star the panel's joins and per-entity
+    aggregations need no hash exchange, even when nothing may be broadcast
+    automatically (large-table behaviour)."""
+    from terrapanel import registry
+    from terrapanel.plans import panels
+    from terrapanel.plans.warehouse import build
+
+    star = build(spark, SF, bands=registry.TPCH_BANDS, buckets=4)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                                "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        plan = panels.municipality_panel(star, registry.TPCH_BANDS, live=True)._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan
+    assert "Exchange hashpartitioning" not in plan
