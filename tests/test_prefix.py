@@ -92,3 +92,24 @@ def test_null_group_is_a_group(spark):
     rt = {r.id: (r.row_number, r.c) for r in running_totals(df, [F.col("v").asc(), F.col("id").asc()],
                                                           {"c": F.col("v")}, ["g"]).collect()}
     assert rt == {1: (1, 3.0), 2: (2, 8.0), 3: (1, 1.0), 4: (2, 3.0)}
+
+
+def _parent(lines, i):
+    """The plan line of the parent operator of line ``i`` (tree text)."""
+    depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    for j in range(i - 1, -1, -1):
+        d = len(lines[j]) - len(lines[j].lstrip(" :+-"))
+        if d < depth:
+            return lines[j]
+    return ""
+
+
+def test_distributed_prefix_reads_staged_rows_without_exchange(spark, prefix_mode):
+    if prefix_mode != "distributed":
+        pytest.skip("plan shape of the distributed path")
+    df = data(spark, nulls=False)
+    out = running_totals(df, [F.col("v").desc(), F.col("id").asc()], {"c": F.col("w")}, ["g"], n_ranges=4)
+    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "terrapanel_prefix" in line]
+    assert scans, "the staged table is read"
+    assert all("Exchange" not in _parent(lines, i) for i in scans)
