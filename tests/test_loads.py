@@ -79,3 +79,27 @@ def test_csv_sink(spark, tmp_dir):
     write_csv(df, f"{tmp_dir}/out")
     back = spark.read.option("header", True).csv(f"{tmp_dir}/out")
     assert back.select(F.col("nome")).collect()[0][0] == "São Paulo"
+
+
+def test_plain_parquet_fallback_without_bucketed_tables(spark, tmp_dir, monkeypatch):
+    """A catalog that cannot hold bucketed tables still gets the same rows."""
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import Window
+
+    from terrapanel.operators import prefix
+
+    def refuse(self, *args, **kwargs):
+        raise RuntimeError("no bucketed tables here")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 5)) for i in range(40)],
+                               "id long, municipio_id string, v double")
+    with pytest.warns(UserWarning):
+        write_snapshot({"fato_populacao_municipio": df}, f"{tmp_dir}/wh", bucket_by={"fato_populacao_municipio":
+                                                                                 ["municipio_id"]})
+    assert read_snapshot(spark, f"{tmp_dir}/wh", ["fato_populacao_municipio"])["fato_populacao_municipio"].count() == 40
+    monkeypatch.setattr(prefix, "LOCAL_MAX_ROWS", 0)
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = {r.id: r.c for r in prefix.running_totals(df, order, {"c": F.col("v")}, ["municipio_id"], n_ranges=3).collect()}
+    w = Window.partitionBy("municipio_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    assert got == {r.id: r.c for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
