@@ -40,6 +40,12 @@ _PID = "_range_id"
 #: it the distributed path is used. Set to 0 to force the distributed path.
 LOCAL_MAX_ROWS = int(os.environ.get("TERRAPANEL_LOCAL_MAX_ROWS", "1000000"))
 
+#: A per-value rank lookup with at most this many rows (checked at run time)
+#: is broadcast for the join back: the long side is then not shuffled at
+#: all and a hot value cannot skew it. Larger lookups use a shuffle join
+#: (AQE splits a skewed partition).
+BROADCAST_LOOKUP_MAX_ROWS = 1_000_000
+
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
     if n_ranges:
@@ -235,6 +241,8 @@ def with_rank(
         F.col("rank").alias(rank_col),
         *([F.col("percent_rank").alias(percent_col)] if percent_col else []),
     )
+    if BROADCAST_LOOKUP_MAX_ROWS > 0 and lk.limit(BROADCAST_LOOKUP_MAX_ROWS + 1).count() <= BROADCAST_LOOKUP_MAX_ROWS:
+        lk = F.broadcast(lk)
     cond = F.col(value).eqNullSafe(F.col("_k_v")) & _null_safe_keys(groups, "_k_")
     out = df.join(lk, cond, "left")
     return out.drop("_k_v", *[f"_k_{g}" for g in groups])

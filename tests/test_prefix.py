@@ -70,6 +70,16 @@ def test_rank_and_percent_rank_match_sql(spark):
             assert abs(got[k][1] - exp[k][1]) < 1e-12
 
 
+def test_rank_without_broadcast_lookup(spark, monkeypatch):
+    """The shuffle-join path of the rank join-back gives the same ranks."""
+    monkeypatch.setattr(prefix, "BROADCAST_LOOKUP_MAX_ROWS", 0)
+    df = data(spark)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+    exp = {r.id: r.rk for r in df.select("id", F.rank().over(w).alias("rk")).collect()}
+    got = {r.id: r.rk for r in with_rank(df, "v", ["g"], rank_col="rk", n_ranges=4).collect()}
+    assert got == exp
+
+
 def test_rank_table_counts(spark):
     df = data(spark)
     t = rank_table(df, "v", ["g"])
