@@ -66,8 +66,9 @@ def main() -> None:
            "inside the tiny max-year subqueries.",
            "* Lorenz table: the staged, range-tagged rows (bucketed on group keys + range) feed the window "
            "without an exchange; only the per-range totals (≤ N rows per group) move.",
-           "* Ranking view: per-value counts staged once; one shuffle of the long rows for the join-back and one "
-           "on the id for the conditional-aggregate pivot; the final join uses the panel's bucketing.",
+           "* Ranking view: per-value counts staged once; the per-value lookup is broadcast to the long rows when "
+           "it is provably small (≤ 1M rows, else a shuffle join with AQE skew handling); one shuffle on the id "
+           "for the conditional-aggregate pivot; the final join uses the panel's bucketing.",
            ""]
     for title, make in items:
         out += [f"## {title}", "", "```", plan(make()), "```", ""]
