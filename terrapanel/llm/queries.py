@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import packing, simhash
+from terrapanel.llm import packing, simhash, token_counts, warc
 from terrapanel.llm.common import table
 
 
@@ -23,6 +23,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, normalised and read back."""
+    back = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    id_ = lambda c: F.col(c).cast("long").alias(c)
+    return back.select(id_("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded whole."""
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, by_line=True)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-copy component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -31,6 +46,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_warc": op7_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
