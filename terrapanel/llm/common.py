@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from terrapanel.session import checkpoint, scratch_path
 #: Largest stored table, in bytes, that is ever marked for broadcast.
 BROADCAST_LIMIT_BYTES = 48 << 20
 
-__all__ = ["BROADCAST_LIMIT_BYTES", "ascii_lower", "checkpoint", "scratch_path", "small_side", "stored_bytes", "table"]
+__all__ = ["BROADCAST_LIMIT_BYTES", "ascii_lower", "bind", "checkpoint", "scratch_path", "small_side", "stored_bytes", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,12 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often
+    ``use`` names it, also within the functions it hands to ``transform``."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stored_bytes(stored: DataFrame) -> int:
     """Size in bytes of the files behind a table written by ``checkpoint``."""
     spark = stored.sparkSession

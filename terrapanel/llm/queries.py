@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import langid, packing, simhash, token_counts, toxicity, warc
+from terrapanel.llm import langid, packing, quality, simhash, token_counts, toxicity, warc
 from terrapanel.llm.common import table
 
 
@@ -33,6 +33,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Documents that are labelled good: the target of the quality ratio."""
+    return labels.where(F.col("quality") == 1).select("doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, trusted_ids(table(spark, sf_dir, "labels"))).select("doc_id", "quality.*")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, normalised and read back."""
     back = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
@@ -58,6 +69,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
