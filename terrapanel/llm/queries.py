@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import langid, packing, quality, simhash, token_counts, toxicity, warc
+from terrapanel.llm import credentials, decontamination, langid, packing, quality, simhash, token_counts, toxicity, warc
 from terrapanel.llm.common import table
 
 
@@ -28,6 +28,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
+    c = F.col("contamination")
+    return found.select(
+        "doc_id",
+        c["n_words"].alias("n_words"),
+        c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"),
+        (c["n_hit"] > 0).alias("contaminated"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,6 +66,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(id_("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = credentials.credential_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(credentials.listed(F.col("base")), 256)
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), base.alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded whole."""
     import public_tokenizers
@@ -68,9 +91,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
+    "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
