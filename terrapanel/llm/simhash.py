@@ -55,15 +55,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id column, ``fp`` long) of every row; a null text counts as empty (0)."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """(id column, ``text_hash``, ``fp`` long) of every row; a null text
+    counts as empty (0)."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
+            fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def _cut(width: int, parts: int) -> list[tuple[int, int]]:
@@ -150,8 +151,9 @@ def _meet_twice(sub: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT
 ) -> DataFrame:
-    """(id column, ``fp``, ``component_id``) of every row: the smallest id
-    that can be reached over links, its own included.
+    """(id column, ``text_hash``, ``fp``, ``class``, ``component_id``) of
+    every row: the component's smallest fingerprint, and the smallest id that
+    can be reached over links, its own included.
 
     Null texts count as empty; empty texts have fingerprint 0 and link like
     any other. Null ids take part and never become a component's id unless
@@ -164,5 +166,18 @@ def near_duplicates(
     # the planner can split a fingerprint that very many documents share
     grouped = checkpoint(distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class")), "fingerprint-classes")
     smallest = checkpoint(grouped.groupBy("class").agg(F.min("first_id").alias("component_id")), "class-ids")
-    by_fp = checkpoint(grouped.join(smallest, "class").select("fp", "component_id"), "fingerprint-ids")
-    return stored.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_fp = checkpoint(grouped.join(smallest, "class").select("fp", "class", "component_id"), "fingerprint-ids")
+    return stored.join(by_fp, "fp").select(id_col, "text_hash", "fp", "class", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row of each near-duplicate component, with all columns: the one
+    with the smallest id (null ids last), of equal ids the one whose text
+    hashes lowest, of rows with equal id and text any one.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("kept"))
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    kept = checkpoint(first.select(key(F.col("kept.id")).alias("_key"), F.col("kept.text_hash").alias("_hash")), "kept-documents")
+    keyed = docs.select("*", key(F.col(id_col)).alias("_key"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    return keyed.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(docs.columns)
