@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import credentials, decontamination, packing, quality, simhash
-from terrapanel.llm.common import checkpoint, table
+from terrapanel.llm.common import checkpoint, fresh, table
 from terrapanel.llm.queries import tokenizer_path, trusted_ids
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio against
     the documents labelled good."""
-    judged = quality.with_quality(docs, trusted_ids(table(spark, sf_dir, "labels")), into="_quality")
-    return judged.where(F.col("_quality.kept")).drop("_quality")
+    into = fresh(docs, "_quality")[0]
+    judged = quality.with_quality(docs, trusted_ids(table(spark, sf_dir, "labels")), into=into)
+    return judged.where(F.col(into)["kept"]).drop(into)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontamination.with_contamination(docs, table(spark, sf_dir, "benchmark"), into="_contamination")
-    return found.where(F.col("_contamination.n_hit") == 0).drop("_contamination")
+    into = fresh(docs, "_contamination")[0]
+    found = decontamination.with_contamination(docs, table(spark, sf_dir, "benchmark"), into=into)
+    return found.where(F.col(into)["n_hit"] == 0).drop(into)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

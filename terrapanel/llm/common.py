@@ -12,7 +12,7 @@ from terrapanel.session import checkpoint, scratch_path
 #: Largest stored table, in bytes, that is ever marked for broadcast.
 BROADCAST_LIMIT_BYTES = 48 << 20
 
-__all__ = ["BROADCAST_LIMIT_BYTES", "ascii_lower", "bind", "checkpoint", "scratch_path", "small_side", "stored_bytes", "table"]
+__all__ = ["BROADCAST_LIMIT_BYTES", "ascii_lower", "bind", "checkpoint", "fresh", "scratch_path", "small_side", "stored_bytes", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as keep it from
+    clashing with a column of ``df`` (upper and lower case alike)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, however often
     ``use`` names it, also within the functions it hands to ``transform``."""

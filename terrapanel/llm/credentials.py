@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import bind, checkpoint
+from terrapanel.llm.common import checkpoint, fresh
 
 SCOPE = 200
 #: Kinds in the order of reports, with their pattern, the group
@@ -140,8 +140,9 @@ def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the reported spans of ``text_col`` replaced; all columns
     stay. Texts without a span, nulls included, stay as they are."""
-    found = credential_spans(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "spans").distinct()
-    found = checkpoint(found.withColumnRenamed("spans", "_spans"), "spans-to-redact")
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))
+    own_id, own_hash, own_spans = fresh(docs, "_id", "_hash", "_spans")
+    found = credential_spans(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
+    found = checkpoint(found.select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash), F.col("spans").alias(own_spans)).distinct(), "spans-to-redact")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_hash)), "left")
+    new = F.when(F.col(own_spans).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col(own_spans)))
     return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))

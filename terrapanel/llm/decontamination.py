@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import ascii_lower, bind, checkpoint, small_side
+from terrapanel.llm.common import ascii_lower, bind, checkpoint, fresh, small_side
 
 WINDOW = 10
 SHINGLE = 5
@@ -99,12 +99,13 @@ def with_contamination(
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash")]
     slim = docs.select(*key, F.col(text_col).alias("_body"))
     found = checkpoint(_candidates(slim, item_windows(items, id_col=item_id_col, text_col=item_text_col, window=window), ["_id", "_hash"]), "candidates")
-    found = found.select(F.col("_id").alias("_found_id"), F.col("_hash").alias("_found_hash"), F.col("found").alias("_found"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.col(text_col)) == F.col("_found_hash")), "left")
+    own_id, own_hash, own_found = fresh(docs, "_found_id", "_found_hash", "_found")
+    found = found.select(F.col("_id").alias(own_id), F.col("_hash").alias(own_hash), F.col("found").alias(own_found))
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_hash)), "left")
 
     def verified(text_words: Column) -> Column:
         fits = lambda c: F.slice(text_words, c["start"] + 1, F.size(c["words"])) == c["words"]
-        return F.filter(F.coalesce(F.col("_found"), F.array()), fits)
+        return F.filter(F.coalesce(F.col(own_found), F.array()), fits)
 
     def result(text_words: Column) -> Column:
         def counted(occurring: Column) -> Column:

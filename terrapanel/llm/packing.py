@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import checkpoint
+from terrapanel.llm.common import checkpoint, fresh
 
 CAPACITY = 2048
 GROUP_SIZE = 32_768
@@ -43,19 +43,15 @@ def sum_of_squares(lengths: Iterable[int], capacity: int) -> tuple[np.ndarray, n
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     used = 0
     for i, size in enumerate(lengths.tolist()):
-        if open_per_gap[size]:
-            # filling a gap exactly only lowers the sum, by the most of any
-            # choice that leaves no gap behind
-            gap = size
-        else:
-            here = open_per_gap[size + 1 : capacity]
-            gap = 0
-            if len(here):
-                # taking a gap g off and putting g - size in its place
-                change = np.where(here > 0, open_per_gap[1 : capacity - size] - here, np.iinfo(np.int64).max)
-                best = int(change.argmin())
-                if here[best] > 0:
-                    gap = size + 1 + best
+        # a gap g is taken off and g - size comes in its place; an exactly
+        # filled gap leaves none behind
+        here = open_per_gap[size:capacity]
+        change = 2 * (open_per_gap[: capacity - size] - here) + 2
+        if len(here):
+            change[0] = 1 - 2 * here[0]
+        change[here == 0] = np.iinfo(np.int64).max
+        best = int(change.argmin()) if len(here) else 0
+        gap = size + best if len(here) and here[best] else 0
         if gap:
             bin_ = waiting[gap].pop()
             open_per_gap[gap] -= 1
@@ -116,20 +112,21 @@ def pack(pieces: DataFrame, *, length_col: str = "length", capacity: int = CAPAC
 
     ``pieces`` must be stored (written and reread): its rows are numbered to
     deal them into groups, and a recomputed task has to number them alike.
-    Lengths are 1 to ``capacity``; an empty table stays empty.
+    Lengths are 1 to ``capacity``; an empty table stays empty. Columns named
+    like the new ones are replaced.
     """
-    if clash := {"sequence_id", "offset", "_group"} & set(pieces.columns):
-        raise ValueError(f"columns to be added exist already: {sorted(clash)}")
+    pieces = pieces.drop("sequence_id", "offset")
+    group = fresh(pieces, "_group")[0]
     groups = max(1, -(-pieces.count() // group_size))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_group").sort_values(length_col, ascending=False, kind="stable")
+        rows = rows.drop(columns=group).sort_values(length_col, ascending=False, kind="stable")
         sequence, offset = sum_of_squares(rows[length_col].to_numpy(), capacity)
         return rows.assign(sequence_id=sequence + int(key[0]) * _GROUP_SPAN, offset=offset)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    dealt = pieces.withColumn(group, F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    return dealt.groupBy(group).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, keep_ids: bool = False, **columns) -> DataFrame:

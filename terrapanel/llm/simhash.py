@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import checkpoint
+from terrapanel.llm.common import checkpoint, fresh
 from terrapanel.llm.components import connected_components
 
 BITS = 64
@@ -178,6 +178,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
     first = found.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("kept"))
     key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    kept = checkpoint(first.select(key(F.col("kept.id")).alias("_key"), F.col("kept.text_hash").alias("_hash")), "kept-documents")
-    keyed = docs.select("*", key(F.col(id_col)).alias("_key"), F.xxhash64(F.col(text_col)).alias("_hash"))
-    return keyed.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(docs.columns)
+    names = fresh(docs, "_key", "_hash")
+    kept = checkpoint(first.select(key(F.col("kept.id")).alias(names[0]), F.col("kept.text_hash").alias(names[1])), "kept-documents")
+    keyed = docs.select("*", key(F.col(id_col)).alias(names[0]), F.xxhash64(F.col(text_col)).alias(names[1]))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)
