@@ -192,7 +192,8 @@ class KneserNey:
                 key, n = np.unique(low(key, order), return_counts=True)
                 orders.append((key, n.astype(np.float64)))
             per_order.append(orders[::-1])
-        seen = [np.unique(np.concatenate([o[k][0] for o in per_order])) for k in range(ORDER)]
+        none = np.empty(0, np.uint64)
+        seen = [np.unique(np.concatenate([none, *(o[k][0] for o in per_order)])) for k in range(ORDER)]
         self.uniform = 1.0 / (len(seen[0]) + 1)
         #: by order: probabilities; by the order they lead to: back-off weights
         self.prob: list[HashArray] = []
@@ -251,7 +252,7 @@ class KneserNey:
             here = slice(at, at + len(part))
             letters[here] = has
             full = counts > 0
-            if full.any():
+            if full.any() and self.langs:
                 starts = (np.cumsum(counts) - counts)[full]
                 sums = np.add.reduceat(self.log2(grams(sequence, counts)), starts, axis=0, dtype=np.float64)
                 part_out = out[here]

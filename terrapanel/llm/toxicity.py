@@ -146,7 +146,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = np.array([sum(sorted(map(weights.__getitem__, features(t or "") & vocabulary))) for t in batch.column(2).to_pylist()], np.float64) + bias
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            score = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     chosen = rows.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), "text")
