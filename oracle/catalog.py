@@ -21,7 +21,7 @@ ORACLE = {
     "densidade_extremos": lambda: named.densidade_extremos(15),
     "perfil_municipio": lambda: named.perfil_municipio("0000007"),
     "perfil_municipio_by_name": lambda: named.perfil_municipio("CUSTOMER#000000042"),
-    "qualidade": named.qualidade_sql,
+    "qualidade": named.qualidade,
     "join_hierarchy": lambda: with_ctes(body="SELECT * FROM hier"),
     "agg_available_years": lambda: with_ctes(body="""
 SELECT 'populacao' AS serie, 'municipio' AS nivel, ano, count(*) AS linhas FROM fpm GROUP BY ano

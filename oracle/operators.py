@@ -263,7 +263,7 @@ def per_capita() -> str:
     return W(body=f"""
 SELECT g.*, c.populacao_censo,
        {R6(f"{D('g.pib_mil_reais')} * CAST(1000.0 AS DOUBLE) / {D('CASE WHEN c.populacao_censo > 0 THEN c.populacao_censo END')}")} AS pib_per_capita
-FROM fpib g JOIN fcm c ON c.municipio_id = g.municipio_id WHERE g.ano = 1997""")
+FROM fpib g JOIN fcm c ON c.municipio_id = g.municipio_id""")
 
 
 def sector_structure() -> str:

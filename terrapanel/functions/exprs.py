@@ -51,23 +51,32 @@ def ratio(num, den, *, mask: str = "positive") -> Column:
     return as_double(num) / d
 
 
+#: From here on a double has no fraction left to round.
+_INTEGRAL = float(2**52)
+
+
+def _scaled(x: Column, decimals: int) -> Column:
+    """``x * 10^decimals`` rounded half away from zero, as a double."""
+    units = F.abs(x) * F.lit(float(10**decimals))
+    whole = F.floor(F.least(units, F.lit(_INTEGRAL)) + F.lit(0.5)).cast("double")
+    return F.signum(x) * F.when(units < F.lit(_INTEGRAL), whole).otherwise(units)
+
+
 def round_to(c, decimals: int) -> Column:
-    """Half-up rounding on the binary value: ``floor(x*10^n + 0.5) / 10^n``.
+    """Half away from zero on the binary value scaled by ``10^decimals``.
 
     Unlike ``round`` (which rounds the shortest decimal rendering of a
     double), this is bit-for-bit reproducible by any engine that follows
     IEEE-754, so published numbers do not flip at exact halves between
-    Spark and another engine. NULL and NaN propagate.
+    Spark and another engine. Values too large to have decimals stay as they
+    are; NULL and NaN propagate; there is no negative zero.
     """
-    m = float(10**decimals)
-    x = col_of(c).cast("double")
-    return (F.floor(x * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m))
+    return _scaled(col_of(c).cast("double"), decimals) / F.lit(float(10**decimals)) + F.lit(0.0)
 
 
 def fixed_point(c, decimals: int) -> Column:
     """Integer ``round_to(c, n) * 10^n`` (exact sums, medians and averages)."""
-    m = float(10**decimals)
-    return F.floor(col_of(c).cast("double") * F.lit(m) + F.lit(0.5)).cast("long")
+    return _scaled(col_of(c).cast("double"), decimals).cast("long")
 
 
 def from_fixed_point(c, decimals: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import registry
 from ..functions import as_double, band_density, band_size, nullif_zero, ordinal
+from .prefix import running_totals
 
 
 def _pct(col: str, total: str) -> F.Column:
@@ -124,8 +125,9 @@ def decline_summary(growth: DataFrame, decimals: int | None = None) -> DataFrame
 
 
 def declining(growth: DataFrame) -> DataFrame:
-    """Entities that lost population over their whole series, by CAGR."""
-    return growth.filter(F.col("variacao_absoluta") < 0)
+    """Entities that lost population over their whole series, the steepest
+    loss by CAGR first."""
+    return growth.filter(F.col("variacao_absoluta") < 0).orderBy(F.col("cagr_pct").asc_nulls_last())
 
 
 # --------------------------------------------------------------------------
@@ -133,17 +135,15 @@ def declining(growth: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def share_of_group(df: DataFrame, value: str, group: str = "ano", out: str = "part_pib_brasil",
-                   *, small_groups: bool = True) -> DataFrame:
+def share_of_group(df: DataFrame, value: str, group: str = "ano", out: str = "part_pib_brasil") -> DataFrame:
     """``value / sum(value) per group * 100`` (rows with NULL value dropped).
 
-    Per-group totals are a grouped aggregate joined back. With
-    ``small_groups`` (years, states, sectors: domains bounded by the
-    calendar or the territory) the totals are broadcast, so the large side
-    is never shuffled on a handful of keys; otherwise the planner decides."""
+    Per-group totals are a grouped aggregate joined back; the planner
+    broadcasts them by their run-time size, or splits a group that holds
+    many of the rows."""
     d = df.filter(F.col(value).isNotNull())
     tot = d.groupBy(group).agg(F.sum(value).alias("_t"))
-    return d.join(F.broadcast(tot) if small_groups else tot, group).withColumn(out, _pct(value, "_t")).drop("_t")
+    return d.join(tot, group).withColumn(out, _pct(value, "_t")).drop("_t")
 
 
 def region_year_share(pib_uf_enriched: DataFrame, value: str = "pib_mil_reais") -> DataFrame:
@@ -207,10 +207,12 @@ def extremes(panel: DataFrame, n: int = 15) -> DataFrame:
 
 
 def rank_ufs(uf_panel: DataFrame, col: str = "pib_mil_reais") -> DataFrame:
-    """States sorted by an indicator (``posicao`` 1 = largest)."""
+    """Every state with its position by an indicator (``posicao`` 1 =
+    largest; states without the indicator come last), sorted."""
     cols = [c for c in ["uf_sigla", "uf_nome", "regiao_nome", col, "part_pib_brasil", "pib_per_capita"]
             if c in uf_panel.columns]
-    return topk(uf_panel, col, 10**6, key="uf_sigla", cols=cols)
+    order = [F.col(col).desc_nulls_last(), F.col("uf_sigla").asc()]
+    return running_totals(uf_panel.select(*cols), order, row_number="posicao").orderBy("posicao")
 
 
 def gdp_pop_ratio(uf_panel: DataFrame) -> DataFrame:
@@ -219,7 +221,7 @@ def gdp_pop_ratio(uf_panel: DataFrame) -> DataFrame:
         "uf_sigla", "uf_nome", "regiao_nome", "part_pib_brasil", "part_pop_brasil",
         (F.col("part_pib_brasil") / nullif_zero(F.col("part_pop_brasil"))).alias("razao_pib_pop"),
         "pib_per_capita",
-    )
+    ).orderBy(F.col("razao_pib_pop").desc_nulls_last())
 
 
 def sector_structure_long(panel: DataFrame, key: str = "uf_sigla") -> DataFrame:

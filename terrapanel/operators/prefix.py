@@ -24,33 +24,26 @@ then join the small per-value lookup back with null-safe equality.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, stage_bucketed
+from ..session import checkpoint, input_bytes, stage_bucketed
 
 _PID = "_range_id"
 
-#: Inputs with at most this many rows take the single-window path: one task
-#: sorts them comfortably, so range partitioning + staging would only add
-#: jobs. The size is checked at run time (``limit(n + 1).count()``), beyond
-#: it the distributed path is used. Set to 0 to force the distributed path.
-LOCAL_MAX_ROWS = int(os.environ.get("TERRAPANEL_LOCAL_MAX_ROWS", "1000000"))
-
-#: A per-value rank lookup with at most this many rows (checked at run time)
-#: is broadcast for the join back: the long side is then not shuffled at
-#: all and a hot value cannot skew it. Larger lookups use a shuffle join
-#: (AQE splits a skewed partition).
-BROADCAST_LOOKUP_MAX_ROWS = 1_000_000
+#: Bytes of input files per range.
+RANGE_BYTES = 64 << 20
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
+    """As many ranges as shuffle partitions, more if the input files hold
+    more than ``RANGE_BYTES`` for each; there is no upper bound."""
     if n_ranges:
         return n_ranges
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-input_bytes(df) // RANGE_BYTES))
 
 
 def running_totals(
@@ -61,26 +54,16 @@ def running_totals(
     *,
     row_number: str = "row_number",
     n_ranges: int | None = None,
-    local_max_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running count (``row_number``) and running sums.
 
     ``order_by`` must be a *total* order within each group (append an id
     tiebreak); the frame is ROWS UNBOUNDED PRECEDING..CURRENT ROW. ``sums``
-    maps output column → value expression.
+    maps output column → value expression. As in a window, NULL values add
+    nothing and a sum is NULL until the first value.
     """
     sums = dict(sums or {})
     groups = list(partition_by)
-    limit = LOCAL_MAX_ROWS if local_max_rows is None else local_max_rows
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
-        # Proven small: one window (per group), no staging.
-        w = Window.partitionBy(*groups).orderBy(*order_by)
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            F.row_number().over(w).cast("long").alias(row_number),
-            *[F.sum(expr).over(frame).alias(name) for name, expr in sums.items()],
-        )
     tmp = {name: f"_v_{i}" for i, name in enumerate(sums)}
     # Non-null surrogate group keys (NULL flag + value as text): plain
     # equality joins on them keep the window's partitioning, and a NULL
@@ -124,7 +107,8 @@ def running_totals(
     out_cols = [F.col(c) for c in df.columns]
     out_cols.append((F.col("_rn_local") + F.col("_off_n")).alias(row_number))
     for name, t in tmp.items():
-        out_cols.append((F.col(f"_cum_{t}") + F.coalesce(F.col(f"_off_{t}"), F.lit(0))).alias(name))
+        here, before_here = F.col(f"_cum_{t}"), F.col(f"_off_{t}")
+        out_cols.append(F.when(before_here.isNull(), here).when(here.isNull(), before_here).otherwise(here + before_here).alias(name))
     return joined.select(*out_cols)
 
 
@@ -220,20 +204,9 @@ def with_rank(
 ) -> DataFrame:
     """``df`` plus SQL-style ``rank()`` (and optionally ``percent_rank()``).
 
-    A proven-small input (``LOCAL_MAX_ROWS``) is ranked with the built-in
-    window functions directly; otherwise per-value counts go through the
-    distributed prefix and are joined back.
+    Per-value counts go through the distributed prefix and are joined back.
     """
     groups = list(partition_by)
-    if LOCAL_MAX_ROWS > 0 and df.limit(LOCAL_MAX_ROWS + 1).count() <= LOCAL_MAX_ROWS:
-        v = F.col(value)
-        nl = nulls_last if isinstance(nulls_last, Column) else F.lit(bool(nulls_last))
-        # NULL placement may differ per group: a leading key puts NULLs last
-        # (flag true) or first (flag false); ties among NULLs are preserved.
-        null_key = F.when(v.isNull(), F.when(nl, 1).otherwise(0)).otherwise(F.when(nl, 0).otherwise(1))
-        w = Window.partitionBy(*groups).orderBy(null_key.asc(), v.desc() if descending else v.asc())
-        out = df.withColumn(rank_col, F.rank().over(w).cast("long"))
-        return out.withColumn(percent_col, F.percent_rank().over(w)) if percent_col else out
     lk = rank_table(df, value, groups, descending=descending, nulls_last=nulls_last, n_ranges=n_ranges)
     lk = lk.select(
         *[F.col(g).alias(f"_k_{g}") for g in groups],
@@ -241,8 +214,6 @@ def with_rank(
         F.col("rank").alias(rank_col),
         *([F.col("percent_rank").alias(percent_col)] if percent_col else []),
     )
-    if BROADCAST_LOOKUP_MAX_ROWS > 0 and lk.limit(BROADCAST_LOOKUP_MAX_ROWS + 1).count() <= BROADCAST_LOOKUP_MAX_ROWS:
-        lk = F.broadcast(lk)
     cond = F.col(value).eqNullSafe(F.col("_k_v")) & _null_safe_keys(groups, "_k_")
     out = df.join(lk, cond, "left")
     return out.drop("_k_v", *[f"_k_{g}" for g in groups])

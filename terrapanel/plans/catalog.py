@@ -26,15 +26,14 @@ def _named(name: str, **params) -> Builder:
 
 
 def _qualidade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with the orders as its load log, at a fixed moment: the
+    age of the newest is computed, whenever the query runs."""
     from pyspark.sql import functions as F
 
-    from ..sinks.snapshot import load_log
-    from .warehouse import base_for
+    from ..sources.tables import read_table
 
-    star = star_for(spark, sf_dir)
-    log = load_log(spark, base_for(spark, sf_dir))
-    as_of = log.select(F.max("iniciado_em")).scalar()
-    return nq.qualidade(star, BANDS, load_log=log, as_of=as_of)
+    log = read_table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("iniciado_em"))
+    return nq.qualidade(star_for(spark, sf_dir), BANDS, load_log=log, as_of=F.lit(registry.QUALITY_AS_OF).cast("timestamp"))
 
 
 QUERIES: dict[str, Builder] = {

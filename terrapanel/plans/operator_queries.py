@@ -332,7 +332,7 @@ QUERIES = {
     # derived metrics
     "density": lambda s, d: r6(density(star_for(s, d).fato_censo_municipio)),
     "gdp_per_capita": lambda s, d: r6(gdp_per_capita(
-        star_for(s, d).fato_pib_municipio.filter(F.col("ano") == 1997).join(
+        star_for(s, d).fato_pib_municipio.join(
             star_for(s, d).fato_censo_municipio.select("municipio_id", "populacao_censo"), "municipio_id"))),
     "sector_structure": lambda s, d: r6(sector_structure(star_for(s, d).fato_pib_municipio)),
     "growth_pandas_path": _growth_pandas_path,

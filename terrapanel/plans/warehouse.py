@@ -68,10 +68,9 @@ def source_bytes(spark: SparkSession, path: str) -> int:
 
 
 def choose_buckets(spark: SparkSession, sf_dir: str) -> int:
-    """About ``BUCKET_BYTES`` of input per bucket, at least 1, at most the
-    shuffle partitions (a bucket is one task of every co-located join)."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, -(-source_bytes(spark, sf_dir) // BUCKET_BYTES)))
+    """About ``BUCKET_BYTES`` of input per bucket, at least 1 (a bucket is
+    one task of every co-located join)."""
+    return max(1, -(-source_bytes(spark, sf_dir) // BUCKET_BYTES))
 
 
 def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS,

@@ -91,6 +91,32 @@ TOP_METRICS = {
 }
 ADDITIVE_METRICS = {"populacao", "pib"}
 
+# Label of the whole country in the state series.
+NATION = "BR"
+
+# Quality report: limits, then name and expectation of every check, in order.
+QUALITY_LIMITS = {
+    "municipios": (5500, 5600), "ufs": 27, "regioes": 5, "anos": 20, "sem_pib": 5, "sem_area": 5, "cagr": 10.0,
+    "cagr_fora": 20, "pib_negativo": 5,
+}
+QUALITY_CHECKS = {
+    "municipios": ("municípios na dimensão", "5.571 (malha vigente)"),
+    "ufs": ("UFs na dimensão", "27"),
+    "regioes": ("regiões na dimensão", "5"),
+    "anos": ("anos na série de população", "21 (2001-2025 sem 2007, 2010, 2022, 2023)"),
+    "sem_pib": ("municípios sem PIB no último ano", "0 a 5 (instalados após o fim da série do PIB)"),
+    "sem_area": ("municípios sem área (Censo 2022)", "0 a 5 (instalados após o Censo)"),
+    "sem_populacao": ("municípios sem população no último ano", "0"),
+    "soma_ufs": ("soma dos municípios vs. total das UFs (população)", "divergência < 0,01%"),
+    "soma_regioes": ("soma das UFs vs. agregado regional (população)", "diferença de 0 habitantes"),
+    "densidade": ("densidade publicada vs. recalculada (divergência real)", "0"),
+    "cagr": ("municípios com CAGR fora de ±10% a.a.", "0 a 20 (municípios novos, com série curta)"),
+    "pib_zero": ("PIB municipal zerado", "0"),
+    "pib_negativo": ("PIB municipal negativo", "0 a 5 (VAB setorial negativo é possível)"),
+    "colunas_nulas": ("colunas 100% nulas em mv_painel_municipio", "0 (coluna toda nula = buscada no ano errado)"),
+    "carga": ("horas desde a última carga", "a carga já rodou ao menos uma vez"),
+}
+
 # Number of quantile classes of a choropleth.
 QUANTILE_CLASSES = 7
 
@@ -108,6 +134,9 @@ class Bands:
     density: list = field(default_factory=lambda: list(DENSITY_EDGES))
 
 
+#: The moment at which the registered quality report measures freshness.
+QUALITY_AS_OF = "2002-01-01 00:00:00"
+
 #: Real-world magnitudes (the defaults).
 REAL_BANDS = Bands()
 

@@ -4,9 +4,12 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -90,6 +93,19 @@ def checkpoint(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def input_bytes(df) -> int:
+    """Bytes of the files that ``df`` reads."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, df.inputFiles()))
+
+
+def _table_prefix(spark: SparkSession) -> str:
+    """Names of this application's staged tables begin with this."""
+    return "terrapanel_" + re.sub(r"\W", "_", spark.sparkContext.applicationId) + "_"
+
+
 def stage_bucketed(df, cols, n: int, name: str = "stage"):
     """Like ``checkpoint`` but the written table is bucketed on ``cols``
     (``n`` buckets) and registered in the catalog, so later windows,
@@ -98,17 +114,18 @@ def stage_bucketed(df, cols, n: int, name: str = "stage"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    table = "terrapanel_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    table = _table_prefix(spark) + path.rsplit("/", 1)[-1].replace("-", "_")
     try:
         df.write.format("parquet").bucketBy(n, *cols).option("path", path).saveAsTable(table)
         return spark.table(table)
-    except Exception:  # noqa: BLE001 — catalog without bucketed tables
+    except AnalysisException as unsupported:  # a catalog without bucketed tables
+        warnings.warn(f"bucketed staging unavailable ({unsupported.getCondition()}); writing plain Parquet")
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Remove everything this application staged: the ``terrapanel_*``
+    """Remove everything this application staged: its own staged
     catalog tables and the folders under ``<checkpoint dir>/terrapanel/<app
     id>`` (stage tables, warehouse snapshots). Call it when the job is done
     with its results; DataFrames reading them become invalid. Returns the
@@ -116,7 +133,7 @@ def drop_scratch(spark: SparkSession) -> int:
     """
     base = ensure_checkpoint_dir(spark)
     for t in spark.catalog.listTables():
-        if t.name.startswith("terrapanel_") and not t.isTemporary:
+        if t.name.startswith(_table_prefix(spark)) and not t.isTemporary:
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/terrapanel/{spark.sparkContext.applicationId}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -31,19 +31,22 @@ def prepare(df: DataFrame, source: Source) -> DataFrame:
     """Derive the level key from ``localidade_id`` (municipality → zero-padded
     7-char string, other levels → int), check the columns (error names the
     file), project, and round integer columns half-even before the cast
-    (NULLs kept)."""
-    missing = [c for c in ["localidade_id", *source.columns] if c not in df.columns]
+    (NULLs kept, text that is no number becomes NULL). A table without
+    ``localidade_id`` brings its level key itself, as the dimensions do."""
+    origin = "localidade_id" if "localidade_id" in df.columns or not source.key else source.key
+    missing = [c for c in ([origin] if source.key else []) + list(source.columns) if c not in df.columns]
     if missing:
         raise MissingColumnsError(f"{source.file}: missing columns {missing}")
     if source.key == "municipio_id":
-        key = [pad_id(F.col("localidade_id")).alias("municipio_id")]
+        key = [pad_id(F.col(origin)).alias("municipio_id")]
     elif source.key:
-        key = [F.trim(F.col("localidade_id").cast("string")).cast("int").alias(source.key)]
+        key = [F.trim(F.col(origin).cast("string")).try_cast("int").alias(source.key)]
     else:
         key = []
     cols = [
-        F.bround(F.col(c).cast("double")).cast("long").alias(c) if c in source.integers else F.col(c)
+        F.bround(F.col(c).try_cast("double")).try_cast("long").alias(c) if c in source.integers else F.col(c)
         for c in source.columns
+        if c != source.key
     ]
     return df.select(*key, *cols)
 

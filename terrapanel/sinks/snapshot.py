@@ -17,10 +17,12 @@ import uuid
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
 from ..sources.star import DIM_TABLES, FACT_TABLES, PRIMARY_KEYS, Star
 from ..sources.tables import read_table
 
@@ -50,8 +52,12 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    # one atomic step: readers see the old text or the new one
+    fc = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fc.rename(fc.makeQualified(tmp), fc.makeQualified(p), how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -151,7 +157,7 @@ def write_snapshot(
                 writer.bucketBy(n_buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(spec["table"])
                 bucketed[name] = spec
                 written[name] = spark.table(spec["table"])
-            except Exception as exc:  # noqa: BLE001 — a catalog without bucketed tables
+            except AnalysisException as exc:  # a catalog without bucketed tables
                 # Same rows without co-location: plain files at the same place.
                 warnings.warn(f"bucketed write of {name} unavailable ({type(exc).__name__}); writing plain Parquet")
                 w = df.write.mode("overwrite").format("parquet")
@@ -232,9 +238,13 @@ def latest_loads(log: DataFrame) -> DataFrame:
 def append_rows(existing: DataFrame, new: DataFrame, key: list[str], path: str) -> int:
     """Append ``new`` to the table at ``path`` unless any key already exists.
 
-    A single colliding key aborts the whole append (nothing is written);
-    otherwise the rows are appended. Returns the number of rows appended.
+    A single colliding key, in the table or within ``new``, aborts the whole
+    append (nothing is written). The rows are staged first, so the checks
+    and the append see the same ones. Returns the number of rows appended.
     """
+    new = checkpoint(new, "append")
+    if new.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():
+        raise ValueError(f"append aborted: key {key} repeated in the rows for {path}")
     collisions = new.join(existing.select(*key), key, "left_semi").limit(1).count()
     if collisions:
         raise ValueError(f"append aborted: key {key} already present in {path}")

@@ -119,9 +119,17 @@ def read_series(spark: SparkSession, path: str, level: str | None = None) -> Dat
     return flatten_variables(read_json(spark, path, VARIABLE), level)
 
 
-def dedupe_series(tidy: DataFrame) -> DataFrame:
-    """Drop re-delivered observations: one row per (locality, year, variable)."""
-    return tidy.dropDuplicates(["localidade_id", "ano", "variavel_id"])
+def dedupe_series(tidy: DataFrame, delivery: str | None = None) -> DataFrame:
+    """Drop re-delivered observations: one row per (locality, year, variable).
+
+    With ``delivery`` (a column that numbers the deliveries) the first one is
+    kept; rows that tie, or all without it, are settled by their other
+    columns in order, so every run keeps the same row."""
+    key = ["localidade_id", "ano", "variavel_id"]
+    rest = [c for c in tidy.columns if c not in key and c != delivery]
+    lead = [delivery] if delivery else []
+    kept = tidy.groupBy(*key).agg(F.min(F.struct(*lead, *rest)).alias("_row"))
+    return kept.select(*key, "_row.*").select(*tidy.columns)
 
 
 def select_series(
@@ -131,15 +139,16 @@ def select_series(
     level: str | None = None,
     localities: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Filter of the landed long table (pushed down to the Parquet scan)."""
+    """Filter of the landed long table (pushed down to the Parquet scan).
+    ``None`` asks for all, an empty list for nothing."""
     out = tidy
-    if variables:
+    if variables is not None:
         out = out.filter(F.col("variavel_id").isin(list(variables)))
-    if years:
+    if years is not None:
         out = out.filter(F.col("ano").isin(list(years)))
-    if level:
+    if level is not None:
         out = out.filter(F.col("nivel") == F.lit(level))
-    if localities:
+    if localities is not None:
         out = out.filter(F.col("localidade_id").isin(list(localities)))
     return out
 
@@ -155,7 +164,7 @@ def series_wide(tidy: DataFrame, names: dict[int, str], keys: Sequence[str] = ("
     mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(int(k)), F.lit(v))])
     d = tidy.filter(F.col("valor").isNotNull()).withColumn("_var", mapping[F.col("variavel_id")])
     d = d.filter(F.col("_var").isNotNull())
-    return d.groupBy(*keys).pivot("_var", list(names.values())).agg(F.first("valor", ignorenulls=True))
+    return d.groupBy(*keys).pivot("_var", list(names.values())).agg(F.min("valor"))
 
 
 def published_years(tidy: DataFrame, requested: Sequence[int] | None = None, year: str = "ano"):
@@ -173,7 +182,7 @@ def window_years(tidy: DataFrame, level_col: str = "nivel", municipal_level: str
                  years: Sequence[int] | None = None) -> DataFrame:
     """Per-level year window: the municipal level from ``first_year`` on,
     aggregate levels whole; an explicit ``years`` list overrides both."""
-    if years:
+    if years is not None:
         return tidy.filter(F.col("ano").isin(list(years)))
     return tidy.filter((F.col(level_col) != F.lit(municipal_level)) | (F.col("ano") >= F.lit(first_year)))
 

@@ -4,14 +4,11 @@ Mapping (see README): region → region dim, nation → state (UF) dim,
 customer → municipality dim. Facts come from ``orders ⋈ lineitem ⋈ part``
 aggregated per customer and order year:
 
-* population = ``sum(l_quantity)``; years 1998 and 2000 are left out so the
-  series has holes (2000 is the last GDP year, so the nearest population
-  year to it is a 1999/2001 tie);
+* population = ``sum(l_quantity)`` of every order year;
 * sector value added = ``sum(l_extendedprice)`` split by ``p_type`` (first
-  word), net taxes = ``sum(l_extendedprice * l_tax)``, GDP = both; GDP stops
-  at 2000 and the sector split / taxes at 1999 (the value-added lag);
-* census (year 1997): area = ``greatest(c_acctbal, 0)`` (zero areas on
-  purpose), census population = the 1997 population, published density =
+  word), net taxes = ``sum(l_extendedprice * l_tax)``, GDP = both, every year;
+* census (the first order year): area = ``greatest(c_acctbal, 0)`` (zero areas on
+  purpose), census population = that year's population, published density =
   population / area rounded to 2 decimals.
 
 Plan shape: ``lineitem ⋈ part`` (part is broadcast when its file statistics
@@ -39,10 +36,6 @@ SECTOR_BY_TYPE = {
     "SMALL": "vab_servicos",
     "STANDARD": "vab_administracao_publica",
 }
-POPULATION_HOLES = (1998, 2000)
-LAST_GDP_YEAR = 2000
-LAST_VAB_YEAR = 1999
-CENSUS_YEAR = 1997
 MONEY = "decimal(38,4)"
 
 
@@ -144,17 +137,19 @@ def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
     if stage is not None:
         cy = stage(cy)
 
-    pop_mun = cy.filter(~F.col("ano").isin(*POPULATION_HOLES)).select(
+    pop_mun = cy.select(
         "municipio_id", "ano", F.col("qty").cast("long").alias("populacao")
     )
     pib_cols = [
         (F.col("price") + F.col("taxes")).cast(MONEY).alias("pib_mil_reais"),
-        F.when(F.col("ano") <= LAST_VAB_YEAR, F.col("taxes")).cast(MONEY).alias("impostos_liquidos"),
-        *[F.when(F.col("ano") <= LAST_VAB_YEAR, F.col(s)).cast(MONEY).alias(s) for s in SECTOR_COLUMNS],
+        F.col("taxes").cast(MONEY).alias("impostos_liquidos"),
+        *[F.col(s).cast(MONEY).alias(s) for s in SECTOR_COLUMNS],
     ]
-    pib_mun = cy.filter(F.col("ano") <= LAST_GDP_YEAR).select("municipio_id", "ano", *pib_cols)
+    pib_mun = cy.select("municipio_id", "ano", *pib_cols)
 
-    census_pop = pop_mun.filter(F.col("ano") == CENSUS_YEAR).select(
+    # one row: the first year of the series
+    census_year = cy.agg(F.min("ano").alias("ano"))
+    census_pop = pop_mun.join(F.broadcast(census_year), "ano").select(
         "municipio_id", F.col("populacao").alias("populacao_censo")
     )
     area = customer.select(
@@ -162,10 +157,10 @@ def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
         F.col("c_nationkey").cast("int").alias("uf_id"),
         F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast("decimal(14,3)").alias("area_km2"),
     )
-    censo_mun_uf = area.join(census_pop, "municipio_id", "left")
+    censo_mun_uf = area.join(census_pop, "municipio_id", "left").crossJoin(F.broadcast(census_year))
     censo_mun = censo_mun_uf.select(
         "municipio_id",
-        F.lit(CENSUS_YEAR).alias("ano"),
+        "ano",
         "populacao_censo",
         "area_km2",
         F.when(
@@ -176,8 +171,7 @@ def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
 
     # Upper levels are sums of the municipalities (they close by construction).
     pop_uf = (
-        cy.filter(~F.col("ano").isin(*POPULATION_HOLES))
-        .groupBy("uf_id", "ano")
+        cy.groupBy("uf_id", "ano")
         .agg(F.sum(F.col("qty").cast("long")).alias("populacao"))
     )
     pop_reg = (
@@ -186,14 +180,12 @@ def derive_star(spark: SparkSession, sf_dir: str, stage=None) -> Star:
         .agg(F.sum("populacao").alias("populacao"))
     )
     pib_uf = (
-        cy.filter(F.col("ano") <= LAST_GDP_YEAR)
-        .select("uf_id", "ano", *pib_cols)
+        cy.select("uf_id", "ano", *pib_cols)
         .groupBy("uf_id", "ano")
         .agg(*[F.sum(c).cast(MONEY).alias(c) for c in ["pib_mil_reais", "impostos_liquidos", *SECTOR_COLUMNS]])
     )
     censo_uf = (
-        censo_mun_uf.withColumn("ano", F.lit(CENSUS_YEAR))
-        .groupBy("uf_id", "ano")
+        censo_mun_uf.groupBy("uf_id", "ano")
         .agg(
             F.sum("populacao_censo").alias("populacao_censo"),
             F.sum("area_km2").cast("decimal(38,3)").alias("area_km2"),

@@ -4,17 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from terrapanel.operators import prefix
 from terrapanel.operators.concentration import concentration, gini, half_of_total, lorenz_curve, territorial_half
 
 
-@pytest.fixture(autouse=True, params=["distributed", "single-window"])
-def prefix_mode(request, monkeypatch):
-    """Run every test through both paths of the prefix operators."""
-    monkeypatch.setattr(prefix, "LOCAL_MAX_ROWS", 0 if request.param == "distributed" else 1_000_000)
-    return request.param
-
-
 def values(spark, vals):
     return spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
 

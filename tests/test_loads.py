@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from terrapanel.operators.quality import all_null_columns, constraint_checks
@@ -89,7 +90,7 @@ def test_plain_parquet_fallback_without_bucketed_tables(spark, tmp_dir, monkeypa
     from terrapanel.operators import prefix
 
     def refuse(self, *args, **kwargs):
-        raise RuntimeError("no bucketed tables here")
+        raise AnalysisException("no bucketed tables here")
 
     monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
     df = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 5)) for i in range(40)],
@@ -98,7 +99,6 @@ def test_plain_parquet_fallback_without_bucketed_tables(spark, tmp_dir, monkeypa
         write_snapshot({"fato_populacao_municipio": df}, f"{tmp_dir}/wh", bucket_by={"fato_populacao_municipio":
                                                                                  ["municipio_id"]})
     assert read_snapshot(spark, f"{tmp_dir}/wh", ["fato_populacao_municipio"])["fato_populacao_municipio"].count() == 40
-    monkeypatch.setattr(prefix, "LOCAL_MAX_ROWS", 0)
     order = [F.col("v").desc(), F.col("id").asc()]
     got = {r.id: r.c for r in prefix.running_totals(df, order, {"c": F.col("v")}, ["municipio_id"], n_ranges=3).collect()}
     w = Window.partitionBy("municipio_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

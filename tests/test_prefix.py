@@ -9,17 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrapanel.operators import prefix
 from terrapanel.operators.prefix import range_running_sum, rank_table, running_totals, with_rank
 
 
-@pytest.fixture(autouse=True, params=["distributed", "single-window"])
-def prefix_mode(request, monkeypatch):
-    """Run every test through both paths of the prefix operators."""
-    monkeypatch.setattr(prefix, "LOCAL_MAX_ROWS", 0 if request.param == "distributed" else 1_000_000)
-    return request.param
-
-
 def data(spark, n=600, seed=7, nulls=True):
     rnd = random.Random(seed)
     rows = []
@@ -70,9 +62,27 @@ def test_rank_and_percent_rank_match_sql(spark):
             assert abs(got[k][1] - exp[k][1]) < 1e-12
 
 
-def test_rank_without_broadcast_lookup(spark, monkeypatch):
-    """The shuffle-join path of the rank join-back gives the same ranks."""
-    monkeypatch.setattr(prefix, "BROADCAST_LOOKUP_MAX_ROWS", 0)
+def test_nulls_at_the_start_of_a_range(spark):
+    """A range that begins with NULLs carries the sum so far, as a window does;
+    before the first value the sum is NULL."""
+    rows = [(i, None if i in (1, 4, 5, 6) else float(i)) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    exp = {r.id: r.c for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
+    for n in (1, 4, 12):
+        got = {r.id: r.c for r in running_totals(df, [F.col("id").asc()], {"c": F.col("v")}, n_ranges=n).collect()}
+        assert got == exp
+
+
+def test_no_single_partition_exchange_of_rows(spark):
+    """Nothing but per-range totals meets in one task."""
+    df = data(spark)
+    plan = running_totals(df, [F.col("id").asc()], {"c": F.col("w")}, n_ranges=4)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and plan.count("SinglePartition") <= 1
+
+
+def test_rank_without_broadcast_lookup(spark):
+    """The join-back of the per-value ranks gives the window's ranks."""
     df = data(spark)
     w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
     exp = {r.id: r.rk for r in df.select("id", F.rank().over(w).alias("rk")).collect()}
@@ -120,6 +130,6 @@ def test_distributed_prefix_reads_staged_rows_without_exchange(spark, prefix_mod
     df = data(spark, nulls=False)
     out = running_totals(df, [F.col("v").desc(), F.col("id").asc()], {"c": F.col("w")}, ["g"], n_ranges=4)
     lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
-    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "terrapanel_prefix" in line]
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "_prefix_" in line]
     assert scans, "the staged table is read"
     assert all("Exchange" not in _parent(lines, i) for i in scans)

@@ -2,7 +2,7 @@
 
 Large-table behaviour is emulated on the small tables: automatic
 broadcasts are disabled (only explicit, size-proven broadcast hints
-remain) and the prefix operators are forced onto their distributed path.
+remain), and the prefix operators have one distributed path.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from terrapanel import registry  # noqa: E402
-from terrapanel.operators import prefix  # noqa: E402
 from terrapanel.plans import panels  # noqa: E402
 from terrapanel.plans import queries as nq  # noqa: E402
 from terrapanel.plans.warehouse import build  # noqa: E402
@@ -39,7 +38,6 @@ def main() -> None:
     star = build(spark, sf, bands=BANDS, buckets=8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    prefix.LOCAL_MAX_ROWS = 0
     items = [
         ("ETL: customer-year aggregate (lineitem ⋈ part ⋈ orders)", lambda: customer_years(spark, sf)),
         ("Municipality panel over the bucketed star (live)",
@@ -53,7 +51,7 @@ def main() -> None:
     ]
     out = ["# Physical plans", "",
            "Generated by `tools/explain_plans.py` on the sf0.01 tables with automatic broadcasts disabled "
-           "and the distributed prefix path forced, to show the large-input plan shapes. Explicit broadcasts "
+           "to show the large-input plan shapes. Explicit broadcasts "
            "left in the plans are size-proven (one-row totals, per-range offsets, the territory-bounded "
            "state/region dimensions). Ranking and Lorenz plans start from tables staged by the prefix "
            "operator (written during plan construction).", "",
