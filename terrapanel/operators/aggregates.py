@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..functions import as_double, band_density, band_size, nullif_zero, ordinal
+from ..functions import as_double, band_density, band_size, fixed_point, from_fixed_point, nullif_zero, ordinal, round_to
 from .prefix import running_totals
+from .quantiles import exact_quantiles, with_median
 
 
 def _pct(col: str, total: str) -> F.Column:
@@ -82,28 +83,28 @@ def band_subset_share(distribution: DataFrame, band_col: str, bands: Sequence[st
 # --------------------------------------------------------------------------
 
 
-def _median(col: str, decimals: int | None):
-    """Exact median; with ``decimals`` it runs on fixed-point integers of the
-    rounded measure (order-independent, reproducible across engines)."""
+def _add_median(grouped: DataFrame, df: DataFrame, col: str, decimals: int | None, out: str, groups: Sequence[str] = ()):
+    """``grouped`` with the exact median of ``col``; with ``decimals`` it runs
+    on fixed-point integers of the rounded measure (reproducible across
+    engines)."""
     if decimals is None:
-        return F.median(col)
-    from .growth import fixed_point_stats
-
-    return fixed_point_stats(F.col(col), decimals)[1]
+        return with_median(grouped, df, F.col(col), out, groups)
+    publish = lambda c: round_to(from_fixed_point(c, decimals), decimals)
+    return with_median(grouped, df, fixed_point(F.col(col), decimals), out, groups, publish)
 
 
 def growth_by_region(growth: DataFrame, decimals: int | None = None) -> DataFrame:
     """Per region: entities, shrinking ones, median CAGR, summed initial and
     final values, % shrinking and growth of the summed values."""
-    g = growth.filter(F.col("regiao_nome").isNotNull()).groupBy("regiao_nome").agg(
+    known = growth.filter(F.col("regiao_nome").isNotNull())
+    g = known.groupBy("regiao_nome").agg(
         F.count("municipio_id").alias("n_municipios"),
         F.count_if(F.col("variacao_absoluta") < 0).alias("n_perdendo"),
-        _median("cagr_pct", decimals).alias("cagr_mediano"),
         F.sum("valor_inicial").alias("populacao_inicial"),
         F.sum("valor_final").alias("populacao_final"),
     )
-    return g.select(
-        "*",
+    return _add_median(g, known, "cagr_pct", decimals, "cagr_mediano", ["regiao_nome"]).select(
+        "regiao_nome", "n_municipios", "n_perdendo", "cagr_mediano", "populacao_inicial", "populacao_final",
         (as_double("n_perdendo") / as_double("n_municipios") * F.lit(100.0)).alias("pct_perdendo"),
         ((as_double("populacao_final") / as_double(nullif_zero(F.col("populacao_inicial"))) - F.lit(1.0))
          * F.lit(100.0)).alias("crescimento_regional_pct"),
@@ -114,14 +115,14 @@ def decline_summary(growth: DataFrame, decimals: int | None = None) -> DataFrame
     """Total entities, shrinking ones, their %, people lost (positive) and
     the median CAGR — one row; an empty input gives zeros."""
     shrinking = F.col("variacao_absoluta") < 0
-    return growth.agg(
+    totals = growth.agg(
         F.count(F.lit(1)).alias("total_municipios"),
         F.count_if(shrinking).alias("n_perdendo"),
         F.coalesce(as_double(F.count_if(shrinking)) / as_double(nullif_zero(F.count(F.lit(1)))) * F.lit(100.0),
                    F.lit(0.0)).alias("pct_perdendo"),
         F.coalesce(-F.sum(F.when(shrinking, F.col("variacao_absoluta"))), F.lit(0)).alias("populacao_perdida"),
-        _median("cagr_pct", decimals).alias("cagr_mediano"),
     )
+    return _add_median(totals, growth, "cagr_pct", decimals, "cagr_mediano")
 
 
 def declining(growth: DataFrame) -> DataFrame:
@@ -287,25 +288,17 @@ def headline(panel: DataFrame, growth: DataFrame) -> DataFrame:
 
 def min_median_max(df: DataFrame, col: str, decimals: int | None = None) -> DataFrame:
     """Count of non-NULL values, min, median and max of an indicator."""
-    return df.agg(F.count(col).alias("n"), F.min(col).alias("minimo"), _median(col, decimals).alias("mediana"),
-                  F.max(col).alias("maximo"))
+    ends = df.agg(F.count(col).alias("n"), F.min(col).alias("minimo"), F.max(col).alias("maximo"))
+    return _add_median(ends, df, col, decimals, "mediana").select("n", "minimo", "mediana", "maximo")
 
 
-def quantile_breaks(df: DataFrame, col: str, n: int = registry.QUANTILE_CLASSES, decimals: int = 6,
-                    *, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+def quantile_breaks(df: DataFrame, col: str, n: int = registry.QUANTILE_CLASSES, decimals: int = 6) -> DataFrame:
     """Distinct sorted quantile cut points (0, 1/n, …, 1), exact with linear
-    interpolation; rounded (half-up) to ``decimals``.
-
-    The exact percentile of a whole column merges one value→count map in a
-    single task (bounded by the number of distinct values — small for a
-    rounded measure). ``exact=False`` switches to ``percentile_approx``
-    (bounded memory, relative rank error 1/accuracy) for columns with
-    billions of distinct values."""
-    fracs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    q = F.percentile(as_double(col), fracs) if exact else F.percentile_approx(as_double(col), fracs, accuracy)
-    m = float(10**decimals)
-    rounded = F.transform(q, lambda x: F.floor(x * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m))
-    return df.filter(F.col(col).isNotNull()).agg(F.array_sort(F.array_distinct(rounded)).alias("quebras"))
+    interpolation; rounded half away from zero to ``decimals``. One row; an
+    input without a value gives NULL cut points."""
+    q = exact_quantiles(df, as_double(col), [i / n for i in range(n + 1)])
+    rounded = F.transform("quantiles", lambda x: round_to(x, decimals))
+    return q.select(F.array_sort(F.array_distinct(rounded)).alias("quebras"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, *, log10: bool = False) -> DataFrame:

@@ -134,12 +134,9 @@ def national_series(df: DataFrame, value: str = "populacao", year: str = "ano")
     return pct_change(s, value, year)
 
 
-def fixed_point_stats(c, decimals: int = 4):
-    """(mean, median) of a rounded measure, computed on exact fixed-point
-    integers so the result does not depend on summation order."""
+def fixed_point_mean(c, decimals: int = 4):
+    """Mean of a rounded measure, computed on exact fixed-point integers so
+    the result does not depend on summation order."""
     fp = fixed_point(c, decimals)
     mean = F.sum(fp).cast("double") / F.count(fp).cast("double")
-    return (
-        round_to(from_fixed_point(mean, decimals), decimals),
-        round_to(from_fixed_point(F.median(fp), decimals), decimals),
-    )
+    return round_to(from_fixed_point(mean, decimals), decimals)

@@ -124,12 +124,25 @@ def _parent(lines, i):
     return ""
 
 
-def test_distributed_prefix_reads_staged_rows_without_exchange(spark, prefix_mode):
-    if prefix_mode != "distributed":
-        pytest.skip("plan shape of the distributed path")
+def test_distributed_prefix_reads_staged_rows_without_exchange(spark):
     df = data(spark, nulls=False)
     out = running_totals(df, [F.col("v").desc(), F.col("id").asc()], {"c": F.col("w")}, ["g"], n_ranges=4)
     lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
     scans = [i for i, line in enumerate(lines) if "FileScan" in line and "_prefix_" in line]
     assert scans, "the staged table is read"
     assert all("Exchange" not in _parent(lines, i) for i in scans)
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    """Against Spark's own exact percentile: groups, NULL groups, ties."""
+    from terrapanel.operators.quantiles import exact_quantiles
+
+    df = data(spark).withColumn("g", F.when(F.col("id") % 5 > 0, F.col("g")))
+    fractions = [0.0, 1 / 7, 0.5, 0.9, 1.0]
+    exp = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", fractions).alias("q")).collect()}
+    got = {r.g: r.quantiles for r in exact_quantiles(df, F.col("v"), fractions, ["g"]).collect()}
+    assert got.keys() == exp.keys() and all(got[g] == pytest.approx(exp[g]) for g in exp)
+    whole = exact_quantiles(df, F.col("v"), [0.5]).collect()
+    assert whole[0].quantiles == pytest.approx([df.agg(F.median("v")).first()[0]])
+    assert exact_quantiles(df.limit(0), F.col("v"), [0.5]).collect()[0].quantiles == [None]
+    assert exact_quantiles(df.limit(0), F.col("v"), [0.5], ["g"]).count() == 0
