@@ -119,8 +119,7 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS municipio_id, c.c_name AS municipio_nome,
        CASE WHEN c.c_mktsegment <> 'AUTOMOBILE' THEN CAST(c.c_nationkey AS INTEGER) END AS mesorregiao_id,
        CASE WHEN c.c_mktsegment <> 'AUTOMOBILE' THEN c.c_mktsegment END AS mesorregiao_nome,
        u.uf_id, u.uf_sigla, u.uf_nome, r.regiao_id, r.regiao_sigla, r.regiao_nome
-FROM customer c JOIN dim_uf u ON u.uf_id = c.c_nationkey JOIN dim_regiao r ON r.regiao_id = u.regiao_id
-WHERE c.c_mktsegment <> 'MACHINERY'""")
+FROM customer c JOIN dim_uf u ON u.uf_id = c.c_nationkey JOIN dim_regiao r ON r.regiao_id = u.regiao_id""")
 
 
 # --------------------------------------------------------------------------
@@ -785,7 +784,8 @@ ORACLE.update({
     "fmt_compact_br": compact,
     "sink_parquet": lambda: W(body="SELECT * FROM fpm"),
     "sink_csv": sink_csv,
-    "sink_geojson": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id AS codarea, 'MultiPolygon' AS geom_type "
+    "sink_geojson": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id AS codarea, 'MultiPolygon' AS geom_type, "
+                                                          "CAST(CASE WHEN CAST(municipio_id AS BIGINT) % 3 = 0 THEN 10 ELSE 5 END AS BIGINT) AS n_pontos "
                                                           "FROM painel WHERE area_km2 > 0"),
     "load_snapshot": lambda: W(body="SELECT * FROM fpib"),
     "load_append": lambda: W(body="SELECT * FROM fpm"),

@@ -62,9 +62,10 @@ def features_from_collections(fc: DataFrame) -> DataFrame:
     )
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Read one or many GeoJSON FeatureCollection files (glob allowed)."""
-    fc = spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+def read_features(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Read one or many GeoJSON FeatureCollection files (glob allowed);
+    ``lines``: a collection on every line, which Spark splits."""
+    fc = spark.read.schema(FEATURE_COLLECTION).option("multiLine", not lines).json(path)
     return features_from_collections(fc)
 
 

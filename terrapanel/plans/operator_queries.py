@@ -116,7 +116,7 @@ def _uf_struct(s) -> DataFrame:
 
 def hierarchy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hierarchy document per customer: the micro-region path, or only
-    the immediate-region path (segment AUTOMOBILE), or none (MACHINERY)."""
+    the immediate-region path (segment AUTOMOBILE)."""
     s = star_for(spark, sf_dir)
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment",
                                                     F.col("c_nationkey").cast("int").alias("uf_id"))
@@ -135,7 +135,7 @@ def hierarchy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.struct(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("nome"),
-        F.when(~seg.isin("AUTOMOBILE", "MACHINERY"), micro).alias("microrregiao"),
+        F.when(seg != F.lit("AUTOMOBILE"), micro).alias("microrregiao"),
         F.when(seg == F.lit("AUTOMOBILE"), immediate).alias("regiao-imediata"),
     )
     return c.select(F.to_json(doc).alias("doc"))
@@ -440,7 +440,10 @@ def _sink_geojson(spark, sf_dir):
 
     path = scratch_path(spark, "sink-geojson")
     write_features(geo.reorient_features(meshes(spark, sf_dir)), path)
-    return spark.read.json(path).select("codarea", "geom_type")
+    back = geo.read_features(spark, path, lines=True)
+    # what came back, down to the points of every ring
+    points = F.aggregate("coordinates", F.lit(0), lambda n, polygon: n + F.aggregate(polygon, F.lit(0), lambda m, ring: m + F.size(ring)))
+    return back.select("codarea", "geom_type", points.cast("long").alias("n_pontos"))
 
 
 def _load_snapshot(spark, sf_dir):

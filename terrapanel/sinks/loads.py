@@ -64,5 +64,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Persist a mesh as JSON lines (one feature per line)."""
-    features.write.mode("overwrite").json(path)
+    """Persist a mesh (rows of ``operators.geo``) as GeoJSON, one
+    FeatureCollection with one feature per line; ``operators.geo.read_features``
+    reads it back with ``lines=True``."""
+    polygon = F.col("geom_type") == F.lit("Polygon")
+    coordinates = F.when(polygon, F.to_json(F.col("coordinates")[0])).otherwise(F.to_json("coordinates"))
+    geometry = F.concat(F.lit('{"type":'), F.to_json(F.array("geom_type")).substr(F.lit(2), F.length("geom_type") + 2), F.lit(',"coordinates":'), coordinates, F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("codarea")), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}"))).write.mode("overwrite").text(path)
