@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from . import named
 from .operators import ORACLE as _OPERATORS
-from .sql import CONC_CTE, GROWTH_CTE, PANEL_CTE, RANKING_CTE, REGION_CTE, UF_PANEL_CTE, with_ctes
+from .sql import CONC_CTE, D, GROWTH_CTE, PANEL_CTE, R, RANKING_CTE, REGION_CTE, SECTORS, UF_PANEL_CTE, with_ctes
+
+_MONEY = ", ".join(f"CAST(sum({c}) AS DECIMAL(38,4)) AS {c}" for c in ["pib_mil_reais", "impostos_liquidos", *SECTORS])
 
 ORACLE = {
+    "fato_censo_regiao": lambda: with_ctes(body=f"""
+SELECT *, CASE WHEN area_km2 > 0 THEN {R(f"{D('populacao_censo')} / {D('area_km2')}", 2)} END AS densidade_hab_km2 FROM (
+  SELECT u.regiao_id, a.ano, CAST(sum(a.populacao_censo) AS BIGINT) AS populacao_censo, CAST(sum(a.area_km2) AS DECIMAL(38,3)) AS area_km2
+  FROM censo_rows a JOIN dim_uf u USING (uf_id) GROUP BY ALL)"""),
+    "fato_pib_regiao": lambda: with_ctes(body=f"SELECT regiao_id, ano, {_MONEY} FROM pib_rows JOIN dim_uf USING (uf_id) GROUP BY ALL"),
+    "fato_populacao_brasil": lambda: with_ctes(body="SELECT ano, CAST(sum(populacao) AS BIGINT) AS populacao FROM fpm GROUP BY ano"),
+    "fato_pib_brasil": lambda: with_ctes(body=f"SELECT ano, {_MONEY} FROM pib_rows GROUP BY ano"),
     "top_municipios": lambda: named.top_municipios(),
     "top_municipios_pib": lambda: named.top_municipios("pib", 25),
     "top_municipios_pib_per_capita": lambda: named.top_municipios("pib_per_capita", 20),

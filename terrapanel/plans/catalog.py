@@ -36,7 +36,13 @@ def _qualidade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nq.qualidade(star_for(spark, sf_dir), BANDS, load_log=log, as_of=F.lit(registry.QUALITY_AS_OF).cast("timestamp"))
 
 
+def _upper(name: str) -> Builder:
+    return lambda s, d: star_for(s, d).upper_facts()[name]
+
+
 QUERIES: dict[str, Builder] = {
+    # facts above the stored levels
+    **{name: _upper(name) for name in ("fato_censo_regiao", "fato_pib_regiao", "fato_populacao_brasil", "fato_pib_brasil")},
     # the eleven named queries
     "top_municipios": _named("top_municipios"),
     "top_municipios_pib": _named("top_municipios", metrica="pib", limite=25),

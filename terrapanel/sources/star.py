@@ -22,6 +22,9 @@ from dataclasses import dataclass, fields
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import ratio, round_to
 
 DIM_TABLES = ("dim_regiao", "dim_uf", "dim_municipio")
 FACT_TABLES = (
@@ -88,6 +91,23 @@ class Star:
         """The base tables (dimensions and facts)."""
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name in (*DIM_TABLES, *FACT_TABLES)}
 
+    def upper_facts(self) -> dict[str, DataFrame]:
+        """Facts of the levels above the stored ones, as sums of the states:
+        census and GDP by region, population and GDP of the country. Sums of
+        NULLs alone stay NULL; the density is that of the sums."""
+        amounts = ["pib_mil_reais", "impostos_liquidos", *SECTOR_COLUMNS]
+        total = lambda cols, kind: [F.sum(c).cast(kind).alias(c) for c in cols]
+        region = self.dim_uf.select("uf_id", "regiao_id")
+        census = self.fato_censo_uf.join(region, "uf_id").groupBy("regiao_id", "ano")
+        census = census.agg(*total(["populacao_censo"], "long"), *total(["area_km2"], "decimal(38,3)"))
+        density = round_to(ratio(F.col("populacao_censo"), F.col("area_km2")), 2)
+        return {
+            "fato_censo_regiao": census.withColumn("densidade_hab_km2", density),
+            "fato_pib_regiao": self.fato_pib_uf.join(region, "uf_id").groupBy("regiao_id", "ano").agg(*total(amounts, "decimal(38,4)")),
+            "fato_populacao_brasil": self.fato_populacao_uf.groupBy("ano").agg(*total(["populacao"], "long")),
+            "fato_pib_brasil": self.fato_pib_uf.groupBy("ano").agg(*total(amounts, "decimal(38,4)")),
+        }
+
     @property
     def spark(self):
         return self.dim_regiao.sparkSession
