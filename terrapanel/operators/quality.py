@@ -16,8 +16,14 @@ from ..functions import as_double, nullif_zero
 from ..sources.star import FOREIGN_KEYS, PRIMARY_KEYS, Star
 
 
+def _rows(df: DataFrame, table: str, rules: dict[str, F.Column]) -> DataFrame:
+    """One report row per rule of a one-row frame, which is computed once."""
+    found = [F.struct(F.lit(table).alias("tabela"), F.lit(rule).alias("regra"), n.cast("long").alias("violacoes")) for rule, n in rules.items()]
+    return df.select(F.explode(F.array(*found)).alias("r")).select("r.*")
+
+
 def _row(df: DataFrame, table: str, rule: str, n: F.Column) -> DataFrame:
-    return df.select(F.lit(table).alias("tabela"), F.lit(rule).alias("regra"), n.cast("long").alias("violacoes"))
+    return _rows(df, table, {rule: n})
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -49,8 +55,7 @@ def constraint_checks(star: Star) -> DataFrame:
             F.count_if(~F.col("ano").between(1990, 2100)).alias("ano"),
             F.count_if(F.col("populacao") < 0).alias("neg"),
         )
-        parts.append(_row(r, name, "ano between 1990 and 2100", F.col("ano")))
-        parts.append(_row(r, name, "populacao >= 0", F.col("neg")))
+        parts.append(_rows(r, name, {"ano between 1990 and 2100": F.col("ano"), "populacao >= 0": F.col("neg")}))
     for name in ("fato_censo_municipio", "fato_censo_uf"):
         r = t[name].agg(F.count_if(F.col("area_km2") <= 0).alias("n"))
         parts.append(_row(r, name, "area_km2 > 0", F.col("n")))
@@ -73,44 +78,35 @@ def panel_invariants(star: Star, panel: DataFrame, uf_panel: DataFrame, region_p
     sum of shares per level (should be 100), population at the three
     levels (should agree), GDP gap, municipalities whose area exceeds the
     state's, and recomputed density vs the stored one."""
-    sums = (
-        uf_panel.agg(
-            F.sum("part_pop_brasil").alias("uf_share_pop"),
-            F.sum("part_pib_brasil").alias("uf_share_pib"),
-            F.sum("populacao_atual").alias("uf_pop"),
-            F.sum("pib_mil_reais").alias("uf_pib"),
-        )
-        .crossJoin(region_panel.agg(F.sum("part_pop_brasil").alias("reg_share_pop"),
-                                    F.sum("populacao_atual").alias("reg_pop")))
-        .crossJoin(panel.agg(F.sum("populacao_atual").alias("mun_pop"), F.sum("pib_mil_reais").alias("mun_pib")))
-    )
-    area_mun = panel.groupBy("uf_id").agg(F.sum("area_km2").alias("a_mun"))
-    over = area_mun.join(uf_panel.select("uf_id", F.col("area_km2").alias("a_uf")), "uf_id").agg(
-        F.count_if(F.col("a_mun") > F.col("a_uf") * F.lit(1.01)).alias("n")
-    )
-    dens = panel.agg(
-        F.count_if(
-            F.col("densidade_atual").isNotNull()
-            & (F.abs(F.col("densidade_atual") - as_double("populacao_atual") / as_double(nullif_zero(F.col("area_km2"))))
-               > F.lit(0.005))
-        ).alias("n")
+    density = as_double("populacao_atual") / as_double(nullif_zero(F.col("area_km2")))
+    off = F.col("densidade_atual").isNotNull() & (F.abs(F.col("densidade_atual") - density) > F.lit(0.005))
+    # each panel is read once: municipalities per state, beside the state's own row
+    of_state = panel.groupBy("uf_id").agg(
+        F.sum("populacao_atual").alias("mun_pop"), F.sum("pib_mil_reais").alias("mun_pib"), F.sum("area_km2").alias("mun_area"), F.count_if(off).alias("off")
     )
-    rows = [
-        ("soma part_pop_brasil (UF)", F.col("uf_share_pop")),
-        ("soma part_pib_brasil (UF)", F.col("uf_share_pib")),
-        ("soma part_pop_brasil (região)", F.col("reg_share_pop")),
-        ("população municípios - UFs", as_double("mun_pop") - as_double("uf_pop")),
-        ("população UFs - regiões", as_double("uf_pop") - as_double("reg_pop")),
-        ("PIB municípios - UFs", as_double("mun_pib") - as_double("uf_pib")),
-    ]
-    out = None
-    for label, expr in rows:
-        r = sums.select(F.lit(label).alias("invariante"), as_double(expr).alias("valor"))
-        out = r if out is None else out.unionByName(r)
-    out = out.unionByName(over.select(F.lit("UFs com área municipal > área da UF (1%)").alias("invariante"),
-                                      as_double("n").alias("valor")))
-    return out.unionByName(dens.select(F.lit("densidade recalculada ≠ armazenada").alias("invariante"),
-                                       as_double("n").alias("valor")))
+    states = uf_panel.select("uf_id", "part_pop_brasil", "part_pib_brasil", "populacao_atual", "pib_mil_reais", "area_km2").join(of_state, "uf_id", "full")
+    one = states.agg(
+        F.sum("part_pop_brasil").alias("uf_share_pop"),
+        F.sum("part_pib_brasil").alias("uf_share_pib"),
+        F.sum("populacao_atual").alias("uf_pop"),
+        F.sum("pib_mil_reais").alias("uf_pib"),
+        F.sum("mun_pop").alias("mun_pop"),
+        F.sum("mun_pib").alias("mun_pib"),
+        F.count_if(F.col("mun_area") > F.col("area_km2") * F.lit(1.01)).alias("over"),
+        F.coalesce(F.sum("off"), F.lit(0)).alias("off"),
+    ).crossJoin(region_panel.agg(F.sum("part_pop_brasil").alias("reg_share_pop"), F.sum("populacao_atual").alias("reg_pop")))
+    rows = {
+        "soma part_pop_brasil (UF)": F.col("uf_share_pop"),
+        "soma part_pib_brasil (UF)": F.col("uf_share_pib"),
+        "soma part_pop_brasil (região)": F.col("reg_share_pop"),
+        "população municípios - UFs": as_double("mun_pop") - as_double("uf_pop"),
+        "população UFs - regiões": as_double("uf_pop") - as_double("reg_pop"),
+        "PIB municípios - UFs": as_double("mun_pib") - as_double("uf_pib"),
+        "UFs com área municipal > área da UF (1%)": F.col("over"),
+        "densidade recalculada ≠ armazenada": F.col("off"),
+    }
+    found = [F.struct(F.lit(label).alias("invariante"), as_double(n).alias("valor")) for label, n in rows.items()]
+    return one.select(F.explode(F.array(*found)).alias("r")).select("r.*")
 
 
 def coverage_gap(panel: DataFrame, allowed: DataFrame | None = None, value: str = "pib_mil_reais") -> DataFrame:
