@@ -82,9 +82,9 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from terrapanel.llm.tokenizing import WordIds
+        from terrapanel.llm.tokenizing import word_ids
 
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

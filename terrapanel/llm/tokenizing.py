@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 #: What the vocabulary's normaliser calls white space (Unicode White_Space).
 _RUNS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -73,3 +74,10 @@ class WordIds(dict):
         """The ids of a whole text, as little-endian uint32 bytes."""
         runs = _RUNS.findall(text) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.__getitem__, runs))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The encoder of a file, kept as long as the process: a Python worker
+    runs many tasks, and each finds the words of those before."""
+    return WordIds(path)
