@@ -545,9 +545,9 @@ FROM painel WHERE pib_per_capita IS NOT NULL ORDER BY pib_per_capita DESC, munic
 
 def rank_ufs() -> str:
     return W(UF_PANEL_CTE, body=f"""
-SELECT row_number() OVER (ORDER BY pib_mil_reais DESC, uf_sigla) AS posicao, uf_sigla, uf_nome, regiao_nome,
+SELECT row_number() OVER (ORDER BY pib_mil_reais DESC NULLS LAST, uf_sigla) AS posicao, uf_sigla, uf_nome, regiao_nome,
        pib_mil_reais, {R6('part_pib_brasil')} AS part_pib_brasil, {R6('pib_per_capita')} AS pib_per_capita
-FROM painel_uf2 WHERE pib_mil_reais IS NOT NULL""")
+FROM painel_uf2""")
 
 
 def extremes() -> str:
