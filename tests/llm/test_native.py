@@ -69,6 +69,32 @@ def test_ratio_is_the_mean_log_likelihood_ratio(spark):
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-4 for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("buckets", [4, 1 << 16])
+def test_every_gram_has_its_own_ratio(spark, monkeypatch, buckets):
+    """Also where most grams lose their bucket to a more frequent one."""
+    monkeypatch.setattr(quality, "BUCKETS", buckets)
+    extra = [(200, "x y z " * 30), (201, "q w " + "x y z " * 20), (2, "only here x y")]
+    docs = documents(spark, extra)
+    trusted = {1, 2, 3, 100}
+    grams = []
+    for i, text in rows(extra):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        grams.append((i, words + list(zip(words, words[1:], strict=False))))
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in grams:
+        raw.update(g)
+        target.update(g if i in trusted else ())
+    share = sum(target.values()) / sum(raw.values())
+
+    def ratio(g, own):
+        return math.log((target[g] + 1) / ((raw[g] - (not own)) * share + 1))
+
+    want = sorted((order(i), sum(ratio(x, i in trusted) for x in g) / len(g) if g else 0.0) for i, g in grams)
+    got = quality.with_quality(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    got = sorted((order(r.doc_id), r.quality.ratio) for r in got)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-6 for g, w in zip(got, want, strict=True))
+
+
 def test_quality_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.with_quality(nothing(spark), none).count() == 0
