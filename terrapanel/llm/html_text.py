@@ -6,7 +6,8 @@ else, each element's subtree is hashed (tag and text of all it holds), Spark
 counts the hashes per host over distinct pages, and subtrees that recur on
 many pages of a host are its template and are deleted. Elements that are
 never article text (menus, forms, scripts, notices ...) are deleted by tag,
-role, class or id. If a page has a main content element, its text is the
+role, class or id, unless a class or id word would take the page's main text
+away with it (``_spare``). If a page has a main content element, its text is the
 page's text; otherwise what is left of the body is.
 
 The template of a host is bounded: a subtree counts if it is on
@@ -52,37 +53,79 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside header masthead topbar footer colophon cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup comment comments respond discussion disqus replies share sharing social related recommended widget widgets toolbar pagination pager skip login search".split()
 )
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?:"[^"]*"?|'[^']*'?|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?)""")
 _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attrs: str) -> bool:
-    """Whether an element's role, class or id names something other than text."""
+def _marked(attrs: str, main: bool) -> int:
+    """How an element's attributes name something other than text: 3 by role
+    or as hidden, 2 if a whole class or id does, 1 if a word within one does
+    (for article and main, such words don't count), else 0."""
+    level, seen = 0, set()
     for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        match name.lower():
+        name, value = name.lower(), a or b or c
+        if name in seen:
+            continue  # the first of equal names holds
+        seen.add(name)
+        match name:
             case "role":
                 if value.lower() in ROLES:
-                    return True
+                    return 3
             case "hidden":
-                return True
+                return 3
             case "aria-hidden":
                 if value.lower() == "true":
-                    return True
-            case _:
-                if any(m.lower() in MARKS for m in _MARK.findall(value)):
-                    return True
-    return False
+                    return 3
+            case "class" | "id":
+                for token in value.split():
+                    if token.lower() in MARKS:
+                        level = 2
+                    elif not main and any(m.lower() in MARKS for m in _MARK.findall(token)):
+                        level = max(level, 1)
+    return level
 
 
 class Element:
-    """An element: its tag, whether it is never text, and its parts in order
-    (strings and elements)."""
+    """An element: its tag, whether it is never text, how its class or id
+    marks it, and its parts in order (strings and elements)."""
 
-    __slots__ = ("dropped", "parts", "tag")
+    __slots__ = ("dropped", "mark", "parts", "tag")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped, self.parts = tag, dropped, []
+    def __init__(self, tag: str, dropped: bool, mark: int = 0):
+        self.tag, self.dropped, self.mark, self.parts = tag, dropped or mark > 0, 0 if dropped else mark, []
+
+
+def _spare(root: Element) -> None:
+    """Take back the marks by class or id that would cost the page its main
+    text: of what holds an h1, of what holds over half of the text and is
+    marked by a word within a class or id only, and, if no article or main is
+    left unmarked, of the marked ones and what holds them."""
+    order, todo = [], [(root, False, False)]
+    while todo:
+        element, inside, under = todo.pop()
+        if element.dropped and not element.mark:
+            continue
+        marked = under or element.mark > 0
+        order.append((element, inside, marked))
+        inside |= element.tag in MAIN
+        todo += [(p, inside, marked) for p in element.parts if isinstance(p, Element)]
+    if not any(e.mark for e, _, _ in order):
+        return
+    chars, has_h1, has_main = {}, set(), set()
+    clean = False
+    for element, inside, marked in reversed(order):  # parts before what holds them
+        here = [p for p in element.parts if isinstance(p, Element)]
+        chars[id(element)] = sum(chars.get(id(p), 0) if isinstance(p, Element) else len("".join(p.split())) for p in element.parts)
+        if element.tag == "h1" or any(id(p) in has_h1 for p in here):
+            has_h1.add(id(element))
+        if not inside and (element.tag in MAIN or any(id(p) in has_main for p in here)):
+            has_main.add(id(element))
+        clean |= element.tag in MAIN and not marked and chars[id(element)] > 0
+    for element, inside, _ in order:
+        most = element.mark == 1 and 2 * chars[id(element)] > chars[id(root)]
+        main = not clean and id(element) in has_main and not inside
+        if element.mark and (most or main or element.tag not in MAIN and id(element) in has_h1):
+            element.dropped = False
 
 
 def tree(source: str) -> Element:
@@ -97,6 +140,7 @@ def tree(source: str) -> Element:
         if text:
             stack[-1].parts.append(html.unescape(text))
         if not m:
+            _spare(root)
             return root
         at = m.end()
         if m["cdata"]:
@@ -116,7 +160,8 @@ def tree(source: str) -> Element:
             if name in by:
                 _end(stack, kind, {"ul", "ol", "dl", "table", "select"} | ({"tr"} if kind in ("td", "th") and name in ("td", "th") else set()))
         attrs = m["attrs"] or ""
-        element = Element(name, name in DROPPED or bool(attrs) and name not in ("html", "body") and _marked(attrs))
+        mark = _marked(attrs, name in MAIN) if attrs and name not in ("html", "body") else 0
+        element = Element(name, name in DROPPED or mark == 3, mark)
         stack[-1].parts.append(element)
         if name in VOID or attrs.rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue

@@ -272,6 +272,18 @@ def test_main_text_of_one_page():
     assert html_text.main_text(deep) == "x"
 
 
+def test_class_words_do_not_cost_the_main_text():
+    body = "<p>One two three four five.</p>"
+    for attrs in ['class="post has-sidebar"', 'style="overflow:hidden"', 'data-id="login"', 'title="a hidden gem"', "title='class=ad'", 'data-x=1 alt="id=\'menu\'"']:
+        for tag in ("article", "main", "div", "section"):
+            assert html_text.main_text(f"<div class=ad>x</div><{tag} {attrs}>{body}</{tag}>") == "One two three four five.", (tag, attrs)
+    assert html_text.main_text(f'<article><div class="entry-header"><h1>T</h1></div>{body}<div id=login>l</div></article>') == "T\nOne two three four five."
+    assert html_text.main_text(f"<div class=with-sidebar><main class=search>{body}</main><div class=sidebar>s</div></div>") == "One two three four five."
+    # marks go on to hold for the rest
+    assert html_text.main_text(f"<article>{body}</article><div id=comments><article>c</article></div><p hidden>h") == "One two three four five."
+    assert html_text.main_text(f"<div hidden>h</div><p ROLE=alert>r</p><p aria-hidden='true'>a</p>{body}<div class=comments>{body * 3}</div>") == "One two three four five."
+
+
 def test_template_subtrees_are_removed(spark):
     made = [(i, f"http://Site.example:80/{i}", f"<body><div><span>Our site</span> since 1999</div><div><p>Body {i} text.</p><p>Licence text.</p></div><div>Ring us</div></body>") for i in range(12)]
     made += [(100 + i, f"http://other/{i}", f"<body><div>Our own {i}</div><p>Licence text.</p></body>") for i in range(3)]  # too few pages
