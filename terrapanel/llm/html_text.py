@@ -10,9 +10,9 @@ role, class or id, unless a class or id word would take the page's main text
 away with it (``_spare``). If a page has a main content element, its text is the
 page's text; otherwise what is left of the body is.
 
-The template of a host is bounded: a subtree counts if it is on
-``MIN_SHARE`` of the host's pages, so a host has at most 1/MIN_SHARE times
-as many as its average page has subtrees.
+A subtree recurs if it is on ``MIN_SHARE`` of the host's pages or, whatever
+the size of the host, on ``ENOUGH_PAGES``. Templates are matched by a join on
+(host, subtree), so the number of a host's template subtrees has no bound.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import checkpoint
+from terrapanel.llm.common import checkpoint, small_side
 
-#: A template subtree is on at least so many pages and this share of a host's pages.
+#: A template subtree is on at least so many pages, and on this share of a host's pages or on ``ENOUGH_PAGES``.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+ENOUGH_PAGES = 20
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -287,24 +288,28 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(``host``, ``template``: array of subtree hashes) of ``pages``
-    (``host``, ``html``), stored. Hosts without one are left out."""
+def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+    """(``key``, ``template``: array of subtree hashes) of ``pages`` (``key``,
+    ``host``, ``html``), stored: the template subtrees that a page has.
+    Pages without one are left out; pages with one key must be equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[*subtree_hashes(tree(source or "")), 0] for source in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "subtrees"])
+            found = [[*subtree_hashes(tree(source or "")), 0] for source in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["key", "host", "subtrees"])
 
     # the hash 0 stands for the page itself: its count is the host's pages
-    seen = pages.select("host", "html").mapInArrow(run, "host string, subtrees array<long>")
-    counts = checkpoint(seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtree-counts")
+    seen = checkpoint(pages.select("key", "host", "html").mapInArrow(run, "key long, host string, subtrees array<long>"), "subtrees")
+    rows = seen.select("key", "host", F.explode("subtrees").alias("subtree"))
+    counts = checkpoint(rows.groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtree-counts")
     total = counts.where(F.col("subtree") == 0).select("host", F.col("n").alias("pages"))
-    often = counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return checkpoint(often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template")), "templates")
+    often = counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(total, "host")
+    often = checkpoint(often.where((F.col("n") >= enough_pages) | (F.col("n") >= min_share * F.col("pages"))).select("host", "subtree"), "template-subtrees")
+    found = rows.join(small_side(often), ["host", "subtree"])
+    return checkpoint(found.groupBy("key").agg(F.sort_array(F.collect_set("subtree")).alias("template")), "templates")
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
     """(id column, ``url``, ``text``, ``n_chars``) of every row.
 
     A null html is empty and gives an empty text. Pages without a host count
@@ -312,7 +317,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     host. Subtrees within a main content element are never template.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("host"))
-    known = templates(rows, min_pages=min_pages, min_share=min_share)
+    rows = rows.withColumn("key", F.xxhash64("host", "html"))
+    known = templates(rows, min_pages=min_pages, min_share=min_share, enough_pages=enough_pages)
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,6 +326,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             texts = [main_text(source, set(t or ())) for source, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    # the planner broadcasts the stored templates if they are small, or
-    # shuffles both sides and splits a host with very many pages
-    return rows.join(known, "host", "left").select("_id", "url", "html", "template").mapInArrow(run, schema)
+    # stored templates are broadcast if they are small; else the planner
+    # shuffles both sides and splits a page with very many copies
+    return rows.join(small_side(known), "key", "left").select("_id", "url", "html", "template").mapInArrow(run, schema)

@@ -298,3 +298,10 @@ def test_template_subtrees_are_removed(spark):
     assert by_id[204] == "4\nLicence text." and by_id[302] == "All the same" and by_id[400] == by_id[401] == "" and by_id[None] == "x"
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert html_text.extract(table.limit(0)).count() == 0
+
+
+def test_a_section_of_a_large_host_has_a_template(spark):
+    """What recurs on many pages goes, however many pages the host has."""
+    made = [(i, f"http://big/{i}", f"<body><p>Body {i}.</p>" + ("<div>Section box</div>" if i % 10 == 0 else "<p>Twice.</p>" if i in (1, 2) else "")) for i in range(300)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Body {i}." + ("\nTwice." if i in (1, 2) else "") for i in range(300)}
