@@ -1,14 +1,15 @@
 """Main text of web pages by site template removal.
 
-Every page is read once into a tree of elements. What stands in the main
-content element (``article`` or ``main``) is the page's own; of everything
-else, each element's subtree is hashed (tag and text of all it holds), Spark
-counts the hashes per host over distinct pages, and subtrees that recur on
-many pages of a host are its template and are deleted. Elements that are
-never article text (menus, forms, scripts, notices ...) are deleted by tag,
-role, class or id, unless a class or id word would take the page's main text
-away with it (``_spare``). If a page has a main content element, its text is the
-page's text; otherwise what is left of the body is.
+Every page is read once into a tree of elements. Each element's subtree is
+hashed (tag and text of all it holds), Spark counts the hashes per host over
+distinct pages, and subtrees that recur on many pages of a host are its
+template and are deleted. Within the main content element (``article`` or
+``main``) that holds for boxes (``BOXES``), not for single passages, which
+articles share. Elements that are never article text (menus, forms, scripts,
+notices ...) are deleted by tag, role, class or id, unless a class or id word
+would take the page's main text away with it (``_spare``). If a page has a
+main content element, its text is the page's text, unless it is small beside
+the prose around it; otherwise what is left of the body is.
 
 A subtree recurs if it is on ``MIN_SHARE`` of the host's pages or, whatever
 the size of the host, on ``ENOUGH_PAGES``. Templates are matched by a join on
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +41,10 @@ DROPPED = frozenset(
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(("article", "main"))
+#: Within the main content, only these can be template.
+BOXES = frozenset("div section ul ol dl table figure".split())
+#: The main elements of a page are stray if its other blocks of ``PROSE`` characters or more hold over ``STRAY`` times their text.
+PROSE, STRAY = 80, 4
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A paragraph ends where one of these begins.
 ENDS_P = frozenset(
@@ -197,29 +203,52 @@ def mains(root: Element) -> list[Element]:
     return found
 
 
+def _chars(element: Element) -> int:
+    """Characters of text in an element, without what is never text."""
+    total, todo = 0, [element]
+    while todo:
+        for part in todo.pop().parts:
+            if not isinstance(part, Element):
+                total += len("".join(part.split()))
+            elif not part.dropped:
+                todo.append(part)
+    return total
+
+
 def subtree_hashes(root: Element) -> dict[int, list[Element]]:
-    """Hash and elements of every block subtree with text outside the main
-    content. Without inline elements: they are parts of a sentence."""
+    """Hash and elements of every block subtree with text. Without inline
+    elements: they are parts of a sentence. Within the main content only
+    ``BOXES`` that hold at most half of its text: passages that pages share
+    are paragraphs of the article."""
     from xxhash import xxh64
 
     out: dict[int, list[Element]] = {}
     inner = {id(m) for m in mains(root)}
 
-    def visit(element: Element) -> tuple[bytes, bool]:
-        h, full = xxh64(element.tag.encode()), False
+    def visit(element: Element, within: int = 0) -> tuple[bytes, int]:
+        """Hash and characters; ``within``: those of the main element around it, if any."""
+        h, chars = xxh64(element.tag.encode()), 0
         for part in element.parts:
             if isinstance(part, Element):
-                if part.dropped or id(part) in inner:
+                if part.dropped:
+                    continue
+                if id(part) in inner:
+                    visit(part, _chars(part))
                     continue
-                digest, has = visit(part)
+                digest, n = visit(part, within)
                 h.update(b"<" + digest)
-                full |= has
-            elif words := " ".join(part.split()):
-                h.update(b"=" + words.encode("utf-8", "surrogatepass"))
-                full = True
-        if full and element.tag not in INLINE and element.tag not in ("", "html", "body"):
-            out.setdefault(h.intdigest() - (1 << 63), []).append(element)
-        return h.digest(), full
+                chars += n
+            elif words := part.split():
+                h.update(b"=" + " ".join(words).encode("utf-8", "surrogatepass"))
+                chars += sum(map(len, words))
+        if within:
+            counts = element.tag in BOXES and 2 * chars <= within
+        else:
+            counts = element.tag not in INLINE and element.tag not in ("", "html", "body") and id(element) not in inner
+        if chars and counts:
+            key = xxh64(b"main" + h.digest()).intdigest() if within else h.intdigest()
+            out.setdefault(key - (1 << 63), []).append(element)
+        return h.digest(), chars
 
     _deep(visit, root)
     return out
@@ -269,10 +298,18 @@ def blocks(root: Element, deleted: frozenset[int] = frozenset()) -> list[str]:
         if own:
             flush()
 
-    for top in mains(root) or [root]:
-        _deep(visit, top)
-        flush()
-    return out
+    def of(tops: list[Element]) -> list[str]:
+        out.clear()
+        for top in tops:
+            _deep(visit, top)
+            flush()
+        return out.copy()
+
+    if not (found := mains(root)):
+        return of([root])
+    own, every = of(found), of([root])
+    prose = sum(len(text) for text in (Counter(every) - Counter(own)).elements() if len(text) >= PROSE)
+    return every if prose > STRAY * sum(map(len, own)) else own
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -314,7 +351,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     A null html is empty and gives an empty text. Pages without a host count
     as one site. Repeated rows stay repeated, and count as pages of their
-    host. Subtrees within a main content element are never template.
+    host.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("host"))
     rows = rows.withColumn("key", F.xxhash64("host", "html"))

@@ -300,6 +300,19 @@ def test_template_subtrees_are_removed(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_templates_within_and_beside_the_main_element(spark):
+    """Boxes that recur within an article go, shared passages stay; a stray
+    article doesn't replace the body."""
+    box = "<div><p>Read our other pieces</p><ul><li>One<li>Two</ul></div>"
+    made = [(i, f"http://in/{i}", f"<body><article><h1>T{i}</h1><div><p>Body {i} of the long article.</p></div><p>Licence text.</p>{box}</article></body>") for i in range(8)]
+    made += [(100 + i, "http://copies/", "<body><article><h1>A</h1><div><p>The same in every copy.</p></div></article></body>") for i in range(8)]
+    body = "The page has its whole body in a division, of which the next words are the number {}, and it goes on for long."
+    made += [(200 + i, f"http://stray/{i}", f"<body><div>Top</div><div>{body.format(i)}</div><article>Teaser {i}</article></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    want = {i: f"T{i}\nBody {i} of the long article.\nLicence text." for i in range(8)} | {100 + i: "A\nThe same in every copy." for i in range(8)}
+    assert got == want | {200 + i: f"{body.format(i)}\nTeaser {i}" for i in range(8)}
+
+
 def test_a_section_of_a_large_host_has_a_template(spark):
     """What recurs on many pages goes, however many pages the host has."""
     made = [(i, f"http://big/{i}", f"<body><p>Body {i}.</p>" + ("<div>Section box</div>" if i % 10 == 0 else "<p>Twice.</p>" if i in (1, 2) else "")) for i in range(300)]
