@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import credentials, decontamination, html_text, langid, packing, quality, simhash, token_counts, toxicity, warc
+from terrapanel.llm import credentials, decontamination, hard_negatives, html_text, langid, oracle, packing, quality, simhash, token_counts, toxicity, vector_codes, vector_dedup, warc
 from terrapanel.llm.common import table
 
 
@@ -93,6 +93,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector in four codebooks of 256 entries."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives; a seventh of the labels is
+    changed to the next one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low_percent=50, high_percent=95, scale=256)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -104,6 +123,13 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_vector_code_compression": op11_vector_code_compression,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_vector_code_compression": oracle.vector_codes(),
+    "op12_embedding_near_dedup": oracle.vector_dedup(),
+    "op13_hard_negative_mining": oracle.hard_negatives(),
+}
