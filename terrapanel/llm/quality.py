@@ -1,16 +1,20 @@
 """Quality rules: base measures and an n-gram likelihood ratio.
 
 Every text is scored by the mean log-likelihood ratio of its word n-grams
-(words and pairs, as 64-bit hashes) between the trusted target documents and
-the raw corpus, counted over all documents. The raw count is scaled to the
-target's total before one is added to both, so a gram without evidence has
-ratio 0 at every size of the corpus; an occurrence in a document that isn't
-trusted doesn't count for itself. A text is kept if its measures pass the
-base rules and its mean ratio reaches a fixed threshold.
-
-Everything is SQL functions over the row's own word array. The most frequent
-gram of each of ``BUCKETS`` hash buckets is looked up in a constant array; all
-other grams of the texts are joined with the counted ones.
+(words and pairs) between the trusted target documents and the raw corpus.
+Grams are hashed into ``SLOTS`` slots and counted per slot over all documents;
+each task sums its own grams first, so what is shuffled is bounded by the slots
+and not by the occurrences. The raw count is scaled to the target's total
+before one is added to both, so a gram without evidence has ratio 0 at every
+size of the corpus. A document's own occurrences are taken out of the raw count
+and, if it is trusted, out of the target's: no document vouches for itself. A
+text is kept if its measures pass the base rules and its mean ratio reaches a
+fixed threshold.
+
+Everything is SQL functions. The counts, one row per slot whatever the input,
+are broadcast to the pass that reads every text: a text's slots are joined in
+the task that made them and summed there, so one row per text is shuffled and
+no occurrence is.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from terrapanel.llm.common import bind, checkpoint, fresh, small_side
 
 #: White space of the word rule.
 SPACES = " \t\n\x0b\f\r"
-#: Hash buckets whose most frequent gram is looked up in place.
-BUCKETS = 1 << 16
+#: Slots that grams are hashed into, a power of two: rows of the broadcast table of counts (24 bytes each).
+SLOTS = 1 << 20
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -86,47 +90,32 @@ def _repeat_words(windows_: Column) -> Column:
 
 def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, name: str) -> DataFrame:
     """``docs`` and whether the id of the row is in ``trusted``, as ``name``."""
-    ids = checkpoint(trusted.select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct(), "trusted-ids")
-    return docs.join(small_side(ids), docs[id_col] == ids[name], "left").withColumn(name, F.col(name).isNotNull())
+    ids = checkpoint(trusted.select(F.col(f"`{id_col}`").alias(name)).where(F.col(name).isNotNull()).distinct(), "trusted-ids")
+    return docs.join(small_side(ids), docs[f"`{id_col}`"] == ids[name], "left").withColumn(name, F.col(name).isNotNull())
 
 
-def _grams(text: Column) -> Column:
-    return bind(_hashes(_word_array(text)), lambda h: F.concat(h, _pairs(h)))
+def _slots(hashes: Column, pairs: Column, slots: int) -> Column:
+    """Slot of every gram, from the hashes of the words and of the pairs."""
+    return F.transform(F.concat(hashes, pairs), lambda h: h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int"))
 
 
-def bucket_ratios(slim: DataFrame, buckets: int) -> DataFrame:
-    """(``bucket``, ``ratio``) for every bucket of grams: the log of its
-    probability in the trusted rows of ``slim`` (``trusted``, ``text``) over
-    that in all rows, with add-one smoothing.
+def _runs(slots: Column) -> Column:
+    """(``slot``, ``n``) of every distinct slot and how often it occurs."""
+
+    def of(in_order: Column) -> Column:
+        last = lambda v, i: F.when(F.coalesce(F.get(in_order, i + 1) != v, F.lit(True)), F.struct(v.alias("slot"), (i + 1).alias("end")))
+        ends = F.array_compact(F.transform(in_order, last))
+        return bind(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["slot"].alias("slot"), (x["end"] - F.coalesce(F.get(e, i - 1)["end"], F.lit(0))).alias("n"))))
+
+    return bind(F.sort_array(slots), of)
 
-    Without a trusted document every ratio is 0: nothing tells the two apart.
-    """
-    spark = slim.sparkSession
-    grams = slim.select("trusted", F.explode(_grams(F.col("text"))).alias("gram"))
-    counted = grams.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("long")).alias("target"))
-    counts = checkpoint(counted, "bucket-counts")
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    every = spark.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    ratio = F.log((F.coalesce("target", F.lit(0)) + 1) / (total[1] + buckets)) - F.log((F.coalesce("raw", F.lit(0)) + 1) / (total[0] + buckets))
-    return checkpoint(every.select("bucket", (ratio if total[1] else F.lit(0.0)).alias("ratio")), "bucket-ratios")
-
-
-def gram_ratios(slim: DataFrame) -> tuple[DataFrame, tuple[Column, Column]]:
-    """(``gram``, ``raw``, ``other``, ``own``) of every gram that is found
-    twice or more in ``slim`` (``trusted``, ``text``): its occurrences and its
-    ratio in a text that isn't trusted and in one that is; and the two ratios
-    of a gram that is found once."""
-    grams = slim.select("trusted", F.explode(_grams(F.col("text"))).alias("gram"))
-    counted = grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("long")).alias("target")).where(F.col("raw") > 1)
-    counts = checkpoint(counted, "gram-counts")
-    n = slim.select("trusted", F.greatest(2 * F.size(_word_array(F.col("text"))) - 1, F.lit(0)).cast("long").alias("n"))
-    raw, target = n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("trusted"), F.col("n"))), F.lit(0))).first()
-    share = target / raw if raw else 0.0
-    other = lambda raw, target: F.log((target + 1) / ((raw - 1) * F.lit(share) + 1))
-    own = lambda raw, target: F.log((target + 1) / (raw * F.lit(share) + 1))
-    of = (F.col("raw"), F.col("target"))
-    once = (other(F.lit(1), F.lit(0)), own(F.lit(1), F.lit(1)) if target else F.lit(0.0))
-    return counts.select("gram", "raw", other(*of).alias("other"), own(*of).alias("own")), once
+
+def slot_counts(slim: DataFrame, slots: int) -> DataFrame:
+    """(``slot``, ``raw``, ``target``): how often the grams of a slot occur in
+    all rows of ``slim`` (``trusted``, ``text``) and in the trusted ones."""
+    of_text = bind(_hashes(_word_array(F.col("text"))), lambda h: _slots(h, _pairs(h), slots))
+    grams = slim.select(F.explode(of_text).alias("slot"), F.col("trusted").cast("long").alias("target"))
+    return checkpoint(grams.groupBy("slot").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "gram-counts")
 
 
 def with_quality(
@@ -136,75 +125,58 @@ def with_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     into: str = "quality",
-    buckets: int | None = None,
+    slots: int = SLOTS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: ``n_words``, ``word_chars``,
     ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``,
     ``ratio`` (mean log-likelihood ratio, 0 without a word) and ``kept``.
 
-    Every gram has its own counts; with ``buckets``, grams are counted in so
-    many hash buckets instead, with add-one smoothing in each.
+    Without a trusted document every ratio is 0: nothing tells the two apart.
     A null text has no words and fails the base rule like any short text.
     Rows are decided one by one: repeated rows and null ids are rows like any
-    other. Other columns stay as they are; ``into`` must be a new name.
+    other (a copy's occurrences are not one's own). Other columns stay as they
+    are; ``into`` must be a new name.
     """
     if into in docs.columns:
         raise ValueError(f"column {into} exists already")
-    is_trusted, key, mean, its_key, its_trusted, once_read = fresh(docs, "_trusted", "_key", "_mean", "_its_key", "_its_trusted", "_measures")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    is_trusted, own_key, its_key, its_trusted, its = fresh(docs, "_trusted", "_key", "_its_key", "_its_trusted", "_its")
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = _marked(docs, trusted, id_col, is_trusted)
-    slim = rows.select(F.col(is_trusted).alias("trusted"), text.alias("text"))
-    split = lambda values, kind: F.split(F.lit(",".join(values)), ",").cast(f"array<{kind}>")
-    slot = lambda h: F.pmod(h, F.lit(buckets or BUCKETS)).cast("int")
-    if buckets:
-        # one number per bucket, so its size is known: it becomes a constant
-        ratios = split((f"{r.ratio:.6f}" for r in bucket_ratios(slim, buckets).orderBy("bucket").collect()), "double")
-        found = lambda grams: grams
-    else:
-        table, once = gram_ratios(slim)
-        top = {r.slot: r.top for r in table.groupBy(slot(F.col("gram")).alias("slot")).agg(F.max(F.struct("raw", "gram", "other", "own")).alias("top")).collect()}
-        # an empty bucket has a number that belongs to the next one
-        first = split((str(top[k].gram if k in top else k + 1) for k in range(BUCKETS)), "long")
-        other, own = (split((f"{top[k][name]:.9f}" if k in top else "0" for k in range(BUCKETS)), "double") for name in ("other", "own"))
-        ratios = F.when(F.col(is_trusted), own).otherwise(other)
-        found = lambda grams: bind(first, lambda f: F.filter(grams, lambda h: F.get(f, slot(h)) == h))
-        # all other grams; copies of a text have the same mean
-        rest = bind(first, lambda f: F.filter(_grams(F.col("text")), lambda h: F.get(f, slot(h)) != h))
-        joined = slim.select(F.xxhash64("text").alias("key"), "trusted", F.explode(rest).alias("gram")).join(table, "gram", "left")
-        ratio = F.when(F.col("trusted"), F.coalesce("own", once[1])).otherwise(F.coalesce("other", once[0]))
-        means = checkpoint(joined.groupBy("key", "trusted").agg(F.avg(ratio).alias("mean")), "gram-means")
-        means = means.select(F.col("key").alias(its_key), F.col("trusted").alias(its_trusted), F.col("mean").alias(mean))
+    slim = rows.select(F.col(is_trusted).alias("trusted"), body.alias("text"))
+    counts = slot_counts(slim, slots)
+    raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    share = target / raw if raw else 0.0
+    text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
 
-    def summed(numbers: Column, grams: Column) -> Column:
-        return F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(numbers, slot(h)))
-
-    def judged(m: Column) -> Column:
-        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-        total = m["found"]["sum"] if buckets else m["found"]["sum"] + m["found"]["rest"] * F.coalesce(F.col(mean), F.lit(0.0))
-        ratio = F.when(m["n_grams"] > 0, total / m["n_grams"]).otherwise(0.0)
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        return F.struct(*(m[n].alias(n) for n in names), failed.alias("base_failed"), ratio.alias("ratio"), (~failed & (ratio >= threshold)).alias("kept"))
-
     def measured(words: Column, hashes: Column, pairs: Column) -> Column:
-        n_grams = F.size(hashes) + F.size(pairs)
-        total = bind(ratios, lambda r: bind(found(F.concat(hashes, pairs)), lambda g: F.struct(summed(r, g).alias("sum"), (n_grams - F.size(g)).alias("rest"))))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeat_words(_windows(hashes, pairs)).alias("n_repeat_words"),
-            n_grams.alias("n_grams"),
-            total.alias("found"),
+            _runs(_slots(hashes, pairs, slots)).alias("runs"),
         )
 
     def of(words: Column) -> Column:
         return bind(_hashes(words), lambda h: bind(_pairs(h), lambda p: measured(words, h, p)))
 
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # one element a row: generated, so that no later step computes it again
-    read = rows.select("*", F.xxhash64(text).alias(key), F.explode(F.transform(F.array(_word_array(text)), of)).alias(once_read))
-    if not buckets:
-        read = read.join(small_side(means), (F.col(key) == F.col(its_key)) & (F.col(is_trusted) == F.col(its_trusted)), "left")
-    return read.select(*(F.col(f"`{c}`") for c in docs.columns), judged(F.col(once_read)).alias(into))
+    read = slim.select(F.xxhash64("text").alias("key"), "trusted", F.explode(F.transform(F.array(_word_array(text)), of)).alias("m"))
+    grams = read.select("key", "trusted", *(F.col("m")[n].alias(n) for n in names), F.explode_outer(F.col("m.runs")).alias("run")).select("*", "run.slot", "run.n").drop("run")
+    # at most ``slots`` rows, whatever the input: broadcast
+    near = grams.join(F.broadcast(counts.select("slot", F.col("raw").cast("double").alias("raw"), F.col("target").cast("double").alias("target"))), "slot", "left")
+    others = F.col("target") - F.when(F.col("trusted"), F.col("n")).otherwise(0)
+    ratio = F.log((others + 1.0) / ((F.col("raw") - F.col("n")) * F.lit(share) + 1.0)) if share else F.lit(0.0)
+    # a text's grams lie in one task, which sums them; copies of a text share a row
+    of_text = near.groupBy("key", "trusted", *names).agg(F.sum(F.col("n") * ratio).alias("sum"), F.sum("n").alias("n"))
+    ratio = F.when(F.col("n") > 0, F.col("sum") / F.col("n")).otherwise(0.0)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    judged = of_text.select("key", "trusted", F.struct(*names, failed.alias("base_failed"), ratio.alias("ratio"), (~failed & (ratio >= threshold)).alias("kept")).alias("q"))
+    stored = checkpoint(judged, "text-measures").select(F.col("key").alias(its_key), F.col("trusted").alias(its_trusted), F.col("q").alias(its))
+    keyed = rows.select("*", F.xxhash64(body).alias(own_key))
+    joined = keyed.join(small_side(stored), (F.col(own_key) == F.col(its_key)) & (F.col(is_trusted) == F.col(its_trusted)), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(its).alias(into))

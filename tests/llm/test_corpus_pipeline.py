@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import collections
-import math
 import random
 import re
 import zlib
@@ -11,14 +10,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from terrapanel.llm import quality
 
 from .helpers import components
-from .test_native import ASSIGN, brute_hits, repeated
+from .test_native import ASSIGN, brute_hits, brute_ratios, repeated
 from .test_packing_simhash import brute_fingerprint
 
 
@@ -48,20 +46,9 @@ def sf_dir(spark, tmp_dir):
 
 
 def kept_by_quality(docs, good):
-    eight = lambda h: h.to_bytes(8, "little")
-    hashed = []
-    for i, t in docs:
-        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        one = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-        two = [xxhash.xxh64_intdigest(eight(b), seed=xxhash.xxh64_intdigest(eight(a), seed=42)) for a, b in zip(one, one[1:], strict=False)]
-        # signed remainder, as of signed longs
-        hashed.append((i, words, [(h - (1 << 64) if h >> 63 else h) % quality.BUCKETS for h in one + two]))
-    raw = collections.Counter(b for _, _, g in hashed for b in g)
-    target = collections.Counter(b for i, _, g in hashed if i in good for b in g)
-    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
-    ratio = lambda b: math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n)
-    for (i, words, g), doc in zip(hashed, docs, strict=True):
-        if len(words) >= 50 and 100 * repeated(words) <= 50 * len(words) and sum(map(ratio, g)) / len(g) >= quality.THRESHOLD:
+    for doc, ratio in zip(docs, brute_ratios(docs, good, quality.SLOTS), strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", doc[1] or "")
+        if len(words) >= 50 and 100 * repeated(words) <= 50 * len(words) and ratio >= quality.THRESHOLD:
             yield doc
 
 

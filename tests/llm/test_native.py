@@ -8,6 +8,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrapanel.llm import credentials, decontamination, quality
@@ -44,55 +45,37 @@ def test_measures_equal_brute_force(spark):
     assert have == sorted(want)
 
 
-def test_ratio_is_the_mean_log_likelihood_ratio(spark):
-    """Against the same sums in Python, with Spark's own hashes."""
-    docs = documents(spark)
-    buckets = 64
-    trusted = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "doc_id long")
-    grams = {}
-    for k, (i, text) in enumerate(rows()):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        grams[k] = (i, words)
-    flat = spark.createDataFrame([(w,) for w in {w for _, ws in grams.values() for w in ws}], "w string")
-    one = {r.w: r.h for r in flat.select("w", F.xxhash64("w").alias("h")).collect()}
-    pairs = spark.createDataFrame([p for p in {(one[a], one[b]) for _, ws in grams.values() for a, b in zip(ws, ws[1:], strict=False)}], "a long, b long")
-    two = {(r.a, r.b): r.h for r in pairs.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
-    hashed = {k: (i, [one[w] % buckets for w in ws] + [two[one[a], one[b]] % buckets for a, b in zip(ws, ws[1:], strict=False)]) for k, (i, ws) in grams.items()}
-    raw, target = collections.Counter(), collections.Counter()
-    for i, g in hashed.values():
-        raw.update(g)
-        if i in (1, 2, 3):
-            target.update(g)
-    ratio = {b: math.log((target[b] + 1) / (sum(target.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets)) for b in range(buckets)}
-    want = sorted((order(i), round(sum(ratio[b] for b in g) / len(g), 4) if g else 0.0) for i, g in hashed.values())
-    got = sorted((order(r.doc_id), round(r.quality.ratio, 4)) for r in quality.with_quality(docs, trusted, buckets=buckets).collect())
-    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-4 for g, w in zip(got, want, strict=True))
-
-
-@pytest.mark.parametrize("buckets", [4, 1 << 16])
-def test_every_gram_has_its_own_ratio(spark, monkeypatch, buckets):
-    """Also where most grams lose their bucket to a more frequent one."""
-    monkeypatch.setattr(quality, "BUCKETS", buckets)
-    extra = [(200, "x y z " * 30), (201, "q w " + "x y z " * 20), (2, "only here x y")]
-    docs = documents(spark, extra)
-    trusted = {1, 2, 3, 100}
-    grams = []
-    for i, text in rows(extra):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        grams.append((i, words + list(zip(words, words[1:], strict=False))))
-    raw, target = collections.Counter(), collections.Counter()
-    for i, g in grams:
-        raw.update(g)
-        target.update(g if i in trusted else ())
-    share = sum(target.values()) / sum(raw.values())
+def slots_of(text, slots):
+    """Slots of a text's words and pairs, with the same 64-bit hashes."""
+    eight = lambda h: h.to_bytes(8, "little")
+    one = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    two = [xxhash.xxh64_intdigest(eight(b), seed=xxhash.xxh64_intdigest(eight(a), seed=42)) for a, b in zip(one, one[1:], strict=False)]
+    return collections.Counter(h % slots for h in one + two)
 
-    def ratio(g, own):
-        return math.log((target[g] + 1) / ((raw[g] - (not own)) * share + 1))
 
-    want = sorted((order(i), sum(ratio(x, i in trusted) for x in g) / len(g) if g else 0.0) for i, g in grams)
-    got = quality.with_quality(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+def brute_ratios(docs, trusted, slots):
+    """Mean ratio of each of ``docs`` (id, text), its own occurrences left out."""
+    own = [(i in trusted and i is not None, slots_of(t, slots)) for i, t in docs]
+    raw, target = collections.Counter(), collections.Counter()
+    for good, grams in own:
+        raw.update(grams)
+        target.update(grams if good else {})
+    share = sum(target.values()) / max(1, sum(raw.values()))
+    ratio = lambda g, n, good: math.log((target[g] - n * good + 1) / ((raw[g] - n) * share + 1))
+    return [sum(n * ratio(g, n, good) for g, n in grams.items()) / sum(grams.values()) if grams and share else 0.0 for good, grams in own]
+
+
+@pytest.mark.parametrize("slots", [4096, quality.SLOTS])
+def test_ratio_is_the_mean_log_likelihood_ratio(spark, slots):
+    """Also where grams share their slots; a document never counts for itself."""
+    extra = [(200, "x y z " * 30), (201, "q w " + "x y z " * 20), (2, "only here x y"), (3, "mine alone " * 40)]
+    trusted = {1, 2, 3, 100, None}
+    ids = spark.createDataFrame([(i,) for i in [*trusted, 1]], "doc_id long")
+    got = quality.with_quality(documents(spark, extra), ids, slots=slots).collect()
     got = sorted((order(r.doc_id), r.quality.ratio) for r in got)
-    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-6 for g, w in zip(got, want, strict=True))
+    all_ = rows(extra)
+    want = sorted((order(i), x) for (i, _), x in zip(all_, brute_ratios(all_, trusted, slots), strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want, strict=True))
 
 
 def test_quality_of_nothing(spark):
