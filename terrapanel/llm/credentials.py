@@ -98,7 +98,8 @@ def credential_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one. Null texts are empty. Rows are matched by id and text, so repeated
     rows, shared ids and null ids get their own text's spans.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    own, body = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    text = F.coalesce(body, F.lit(""))
 
     def every(strong: bool) -> Column:
         return F.concat(*(_spans(text, k) for k, (*_, s) in KINDS.items() if s is strong))
@@ -108,13 +109,13 @@ def credential_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return F.struct(base.alias("base"), F.filter(every(False), lambda w: ~known(w)).alias("weak"))
 
     one = F.explode(F.transform(F.array(F.sort_array(every(True))), parted)).alias("_parts")
-    scanned = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), one).select(id_col, "text_hash", "_parts.base", "_parts.weak")
+    scanned = docs.select(own.alias("_doc"), F.xxhash64(body).alias("text_hash"), one).select("_doc", "text_hash", "_parts.base", "_parts.weak")
     scanned = checkpoint(scanned, "credential-scan")
-    key = [id_col, "text_hash"]
+    key = ["_doc", "text_hash"]
     linked = linked_parts(scanned, key).groupBy(*key).agg(F.collect_list(F.struct("start", "kind_no", "end", "kind")).alias("_linked"))
-    linked = checkpoint(linked, "linked-credentials").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "_linked")
-    out = scanned.join(linked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return out.select(id_col, "text_hash", "base", F.sort_array(F.concat("base", F.coalesce("_linked", F.array().cast(_SPAN)))).alias("spans"))
+    linked = checkpoint(linked, "linked-credentials").select(F.col("_doc").alias("_id"), F.col("text_hash").alias("_hash"), "_linked")
+    out = scanned.join(linked, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return out.select(F.col("_doc").alias(id_col), "text_hash", "base", F.sort_array(F.concat("base", F.coalesce("_linked", F.array().cast(_SPAN)))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -141,8 +142,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with the reported spans of ``text_col`` replaced; all columns
     stay. Texts without a span, nulls included, stay as they are."""
     own_id, own_hash, own_spans = fresh(docs, "_id", "_hash", "_spans")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     found = credential_spans(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
-    found = checkpoint(found.select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash), F.col("spans").alias(own_spans)).distinct(), "spans-to-redact")
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_hash)), "left")
-    new = F.when(F.col(own_spans).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col(own_spans)))
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    found = checkpoint(found.select(id_.alias(own_id), F.col("text_hash").alias(own_hash), F.col("spans").alias(own_spans)).distinct(), "spans-to-redact")
+    joined = docs.join(found, id_.eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    new = F.when(F.col(own_spans).isNull(), text).otherwise(redacted(text, F.col(own_spans)))
+    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -6,10 +6,10 @@ Grams are hashed into ``SLOTS`` slots and counted per slot over all documents;
 each task sums its own grams first, so what is shuffled is bounded by the slots
 and not by the occurrences. The raw count is scaled to the target's total
 before one is added to both, so a gram without evidence has ratio 0 at every
-size of the corpus. A document's own occurrences are taken out of the raw count
-and, if it is trusted, out of the target's: no document vouches for itself. A
-text is kept if its measures pass the base rules and its mean ratio reaches a
-fixed threshold.
+size of the corpus. Every occurrence is taken out of the raw count that it is
+held against and, in a trusted document, out of the target's too: a gram that
+occurs nowhere else says nothing. A text is kept if its measures pass the base
+rules and its mean ratio reaches a fixed threshold.
 
 Everything is SQL functions. The counts, one row per slot whatever the input,
 are broadcast to the pass that reads every text: a text's slots are joined in
@@ -36,8 +36,14 @@ _LOOKED_UP = 24
 
 
 def _word_array(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+", -1)).otherwise(F.array().cast("array<string>"))
+    """The words of a text that isn't null. Texts whose only white space is
+    blanks and line ends, nearly all, are split at a single character, which
+    is much faster than by a pattern."""
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
+    other = F.lit(False)
+    for c in SPACES.replace(" ", "").replace("\n", ""):
+        other = other | text.contains(c)
+    return F.array_remove(F.when(other, F.split(text, r"[\x20\x09-\x0D]", -1)).otherwise(plain), "")
 
 
 def _front(array: Column, drop: int) -> Column:
@@ -45,18 +51,9 @@ def _front(array: Column, drop: int) -> Column:
     return F.slice(array, F.lit(1), F.greatest(F.size(array) - drop, F.lit(0)))
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _pairs(hashes: Column) -> Column:
-    """Hash of every two neighbouring words, from the words' hashes."""
-    return F.transform(_front(hashes, 1), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
-
-
-def _windows(hashes: Column, pairs: Column) -> Column:
+def _windows(words: Column) -> Column:
     """Hash of every three neighbouring words."""
-    return F.transform(_front(pairs, 1), lambda p, i: F.xxhash64(p, F.get(hashes, i + 2)))
+    return F.transform(_front(words, 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def _covered(positions: Column) -> Column:
@@ -94,28 +91,27 @@ def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, name: str) -> Data
     return docs.join(small_side(ids), docs[f"`{id_col}`"] == ids[name], "left").withColumn(name, F.col(name).isNotNull())
 
 
-def _slots(hashes: Column, pairs: Column, slots: int) -> Column:
-    """Slot of every gram, from the hashes of the words and of the pairs."""
-    return F.transform(F.concat(hashes, pairs), lambda h: h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int"))
+def _slot(hash_: Column, slots: int) -> Column:
+    return hash_.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
 
 
-def _runs(slots: Column) -> Column:
-    """(``slot``, ``n``) of every distinct slot and how often it occurs."""
-
-    def of(in_order: Column) -> Column:
-        last = lambda v, i: F.when(F.coalesce(F.get(in_order, i + 1) != v, F.lit(True)), F.struct(v.alias("slot"), (i + 1).alias("end")))
-        ends = F.array_compact(F.transform(in_order, last))
-        return bind(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["slot"].alias("slot"), (x["end"] - F.coalesce(F.get(e, i - 1)["end"], F.lit(0))).alias("n"))))
-
-    return bind(F.sort_array(slots), of)
+def _grams(rows: DataFrame, words: Column, slots: int, *keep: str) -> DataFrame:
+    """A row with its ``slot`` for every word and every pair of neighbouring
+    words, beside the columns to ``keep``; a row without words has none.
+    Neighbours are zipped and generated, so that all hashing is compiled."""
+    zipped = F.arrays_zip(words.alias("word"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("next"))
+    near = rows.select(*keep, F.explode(zipped).alias("z")).select(*keep, F.col("z.word").alias("_w"), F.col("z.next").alias("_n"))
+    word = F.xxhash64("_w")
+    pair = F.when(F.col("_n").isNotNull(), _slot(F.xxhash64(word, F.xxhash64("_n")), slots))
+    return near.select(*keep, F.explode(F.array(_slot(word, slots), pair)).alias("slot")).where(F.col("slot").isNotNull())
 
 
 def slot_counts(slim: DataFrame, slots: int) -> DataFrame:
     """(``slot``, ``raw``, ``target``): how often the grams of a slot occur in
     all rows of ``slim`` (``trusted``, ``text``) and in the trusted ones."""
-    of_text = bind(_hashes(_word_array(F.col("text"))), lambda h: _slots(h, _pairs(h), slots))
-    grams = slim.select(F.explode(of_text).alias("slot"), F.col("trusted").cast("long").alias("target"))
-    return checkpoint(grams.groupBy("slot").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "gram-counts")
+    read = slim.select(F.col("trusted").cast("long").alias("trusted"), _word_array(F.col("text")).alias("words"))
+    grams = _grams(read, F.col("words"), slots, "trusted")
+    return checkpoint(grams.groupBy("slot").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "gram-counts")
 
 
 def with_quality(
@@ -150,29 +146,32 @@ def with_quality(
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
 
-    def measured(words: Column, hashes: Column, pairs: Column) -> Column:
+    def measured(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _repeat_words(_windows(hashes, pairs)).alias("n_repeat_words"),
-            _runs(_slots(hashes, pairs, slots)).alias("runs"),
+            _windows(words).alias("windows"),
+            words.alias("words"),
         )
 
-    def of(words: Column) -> Column:
-        return bind(_hashes(words), lambda h: bind(_pairs(h), lambda p: measured(words, h, p)))
-
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # one element a row: generated, so that no later step computes it again
-    read = slim.select(F.xxhash64("text").alias("key"), "trusted", F.explode(F.transform(F.array(_word_array(text)), of)).alias("m"))
-    grams = read.select("key", "trusted", *(F.col("m")[n].alias(n) for n in names), F.explode_outer(F.col("m.runs")).alias("run")).select("*", "run.slot", "run.n").drop("run")
+    read = slim.select(F.xxhash64("text").alias("key"), "trusted", F.explode(F.transform(F.array(_word_array(text)), measured)).alias("m")).select("key", "trusted", "m.*")
+    # most texts repeat no window, which the distinct ones tell quickly
+    repeated = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("windows")))
+    read = read.withColumn("n_repeat_words", repeated).drop("windows")
+    grams = _grams(read, F.col("words"), slots, "key", "trusted", *names)
     # at most ``slots`` rows, whatever the input: broadcast
-    near = grams.join(F.broadcast(counts.select("slot", F.col("raw").cast("double").alias("raw"), F.col("target").cast("double").alias("target"))), "slot", "left")
-    others = F.col("target") - F.when(F.col("trusted"), F.col("n")).otherwise(0)
-    ratio = F.log((others + 1.0) / ((F.col("raw") - F.col("n")) * F.lit(share) + 1.0)) if share else F.lit(0.0)
-    # a text's grams lie in one task, which sums them; copies of a text share a row
-    of_text = near.groupBy("key", "trusted", *names).agg(F.sum(F.col("n") * ratio).alias("sum"), F.sum("n").alias("n"))
+    near = grams.join(F.broadcast(counts.select("slot", F.col("raw").cast("double").alias("raw"), F.col("target").cast("double").alias("target"))), "slot")
+    own = F.when(F.col("trusted"), 1.0).otherwise(0.0)
+    ratio = F.log((F.col("target") - own + 1.0) / ((F.col("raw") - 1.0) * F.lit(share) + 1.0)) if share else F.lit(0.0)
+    # a text's grams lie in one task, which sums them; copies of a text share a row, and so do
+    # texts without a word, whose lines and symbols may differ
+    of_text = near.groupBy("key", "trusted", *names).agg(F.sum(ratio).alias("sum"), F.count("*").alias("n"))
+    wordless = read.where(F.col("n_words") == 0).select("key", "trusted", *names, F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")).distinct()
+    of_text = of_text.unionByName(wordless)
     ratio = F.when(F.col("n") > 0, F.col("sum") / F.col("n")).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = of_text.select("key", "trusted", F.struct(*names, failed.alias("base_failed"), ratio.alias("ratio"), (~failed & (ratio >= threshold)).alias("kept")).alias("q"))

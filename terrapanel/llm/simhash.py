@@ -30,6 +30,8 @@ from terrapanel.llm.components import connected_components
 BITS = 64
 SEED = 42
 BUCKET_LIMIT = 1024
+#: Index entries that one task makes.
+EXPLODED_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -64,7 +66,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], schema.names)
 
-    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(own, F.xxhash64(text), text.cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def _cut(width: int, parts: int) -> list[tuple[int, int]]:
@@ -113,7 +116,10 @@ def links(distinct: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIM
     ``max_bits`` bits, each once. ``distinct`` is a stored table with one row
     per fingerprint ``fp``."""
     segments = _cut(BITS, max_bits // 2 + 1)
-    entries = distinct.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("e")).select("fp", "e.*")
+    each = sum(width + 1 for _, width in segments)  # entries of a fingerprint
+    tasks = max(1, -(-distinct.count() * each // EXPLODED_ROWS))
+    # a small table has few files: it is dealt out by what the explosion makes of it
+    entries = distinct.select("fp").repartition(tasks, "fp").select("fp", F.explode(_variants(F.col("fp"), segments)).alias("e")).select("fp", "e.*")
     sizes = entries.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
     met = sizes.where(F.when(F.col("pos") < 0, F.col("n") > 1).otherwise((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))
     # most entries are alone in their bucket; the few that aren't are stored
@@ -160,14 +166,14 @@ def near_duplicates(
     all its ids are null. Repeated rows stay repeated.
     """
     stored = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = checkpoint(stored.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
+    distinct = checkpoint(stored.groupBy("fp").agg(F.min(f"`{id_col}`").alias("first_id")), "distinct-fingerprints")
     classes = connected_components(links(distinct, max_bits, bucket_limit))
     # stored between the steps, so each join deals out both of its sides and
     # the planner can split a fingerprint that very many documents share
     grouped = checkpoint(distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class")), "fingerprint-classes")
     smallest = checkpoint(grouped.groupBy("class").agg(F.min("first_id").alias("component_id")), "class-ids")
     by_fp = checkpoint(grouped.join(smallest, "class").select("fp", "class", "component_id"), "fingerprint-ids")
-    return stored.join(by_fp, "fp").select(id_col, "text_hash", "fp", "class", "component_id")
+    return stored.join(by_fp, "fp").select(F.col(f"`{id_col}`"), "text_hash", "fp", "class", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -176,9 +182,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hashes lowest, of rows with equal id and text any one.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
-    first = found.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("kept"))
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    first = found.groupBy("class").agg(F.min(F.struct(own.isNull().alias("no_id"), own.alias("id"), "text_hash")).alias("kept"))
     key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     names = fresh(docs, "_key", "_hash")
     kept = checkpoint(first.select(key(F.col("kept.id")).alias(names[0]), F.col("kept.text_hash").alias(names[1])), "kept-documents")
-    keyed = docs.select("*", key(F.col(id_col)).alias(names[0]), F.xxhash64(F.col(text_col)).alias(names[1]))
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    keyed = docs.select("*", key(own).alias(names[0]), F.xxhash64(text).alias(names[1]))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,19 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def archive_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for archives under the shared checkpoint folder, with
+    its scheme: Python workers and the JVM then mean the same file system. A
+    folder named without a scheme that turns out to be a machine's own disk is
+    refused on a cluster; a shared mount is named with ``file:``."""
+    folder = scratch_path(spark, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:") and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} lies on each machine's own disk: give spark.checkpoint.dir a scheme (file: for a shared mount)")
+    return whole
+
+
 def payload_digest(payload: Column) -> Column:
     """Bare upper-case base32 SHA-1 of a binary column, in SQL functions:
     each ten hex digits (40 bits) are eight base-32 digits."""
@@ -282,5 +295,5 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write pages as monolithic archives in the shared folder, normalise
     them and read every record back through the offset index."""
     spark = pages.sparkSession
-    archives = write_monolithic(with_revisits(pages, **columns), scratch_path(spark, "warc-monolithic"))
-    return read_records(normalise(archives, scratch_path(spark, "warc")))
+    archives = write_monolithic(with_revisits(pages, **columns), archive_folder(spark, "warc-monolithic"))
+    return read_records(normalise(archives, archive_folder(spark, "warc")))

@@ -54,20 +54,21 @@ def slots_of(text, slots):
 
 
 def brute_ratios(docs, trusted, slots):
-    """Mean ratio of each of ``docs`` (id, text), its own occurrences left out."""
+    """Mean ratio of each of ``docs`` (id, text); an occurrence is left out of
+    the counts that it is held against."""
     own = [(i in trusted and i is not None, slots_of(t, slots)) for i, t in docs]
     raw, target = collections.Counter(), collections.Counter()
     for good, grams in own:
         raw.update(grams)
         target.update(grams if good else {})
     share = sum(target.values()) / max(1, sum(raw.values()))
-    ratio = lambda g, n, good: math.log((target[g] - n * good + 1) / ((raw[g] - n) * share + 1))
-    return [sum(n * ratio(g, n, good) for g, n in grams.items()) / sum(grams.values()) if grams and share else 0.0 for good, grams in own]
+    ratio = lambda g, good: math.log((target[g] - good + 1) / ((raw[g] - 1) * share + 1))
+    return [sum(n * ratio(g, good) for g, n in grams.items()) / sum(grams.values()) if grams and share else 0.0 for good, grams in own]
 
 
 @pytest.mark.parametrize("slots", [4096, quality.SLOTS])
 def test_ratio_is_the_mean_log_likelihood_ratio(spark, slots):
-    """Also where grams share their slots; a document never counts for itself."""
+    """Also where grams share their slots; an occurrence never counts for itself."""
     extra = [(200, "x y z " * 30), (201, "q w " + "x y z " * 20), (2, "only here x y"), (3, "mine alone " * 40)]
     trusted = {1, 2, 3, 100, None}
     ids = spark.createDataFrame([(i,) for i in [*trusted, 1]], "doc_id long")
