@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import named
+from .loads import ORACLE as _LOADS
 from .operators import ORACLE as _OPERATORS
 from .sql import CONC_CTE, D, GROWTH_CTE, PANEL_CTE, R, RANKING_CTE, REGION_CTE, SECTORS, UF_PANEL_CTE, with_ctes
 
@@ -47,6 +48,7 @@ UNION ALL SELECT 'censo', 'municipio', ano, count(*) FROM fcm GROUP BY ano"""),
 }
 
 ORACLE.update(_OPERATORS)
+ORACLE.update(_LOADS)
 
 # Inventory ids exercised by another registered query share its oracle.
 from terrapanel.plans.operator_queries import ALIASES  # noqa: E402

@@ -96,7 +96,7 @@ UNION ALL SELECT ano, 'ignorado' FROM req WHERE ano NOT IN (SELECT ano FROM pub)
 def dataset_catalog() -> str:
     return W(body="""
 SELECT CAST(r.regiao_id AS VARCHAR) AS pesquisa_id, r.regiao_nome AS pesquisa_nome,
-       CAST(u.uf_id AS VARCHAR) AS agregado_id, u.uf_nome AS agregado_nome
+       u.uf_id AS agregado_id, u.uf_nome AS agregado_nome
 FROM dim_uf u JOIN dim_regiao r ON r.regiao_id = u.regiao_id""")
 
 
@@ -130,14 +130,15 @@ MESH = """
 , mesh AS (
   SELECT municipio_id AS codarea, municipio_nome, populacao_atual,
          CAST(CAST(municipio_id AS BIGINT) % 100 AS DOUBLE) AS x, CAST(floor(CAST(municipio_id AS BIGINT) / 100) AS DOUBLE) AS y,
-         sqrt(CAST(area_km2 AS DOUBLE)) AS s, CAST(municipio_id AS BIGINT) % 3 = 0 AS hole
-  FROM painel WHERE area_km2 > 0)
+         CASE WHEN area_km2 > 0 THEN sqrt(CAST(area_km2 AS DOUBLE)) END AS s, CAST(municipio_id AS BIGINT) % 3 = 0 AS hole
+  FROM painel)
 """
 
 
 def geo_features() -> str:
     return W(GROWTH_CTE, PANEL_CTE, body=MESH + """
-SELECT codarea, 'Polygon' AS geom_type, 1 AS n_poligonos, CASE WHEN hole THEN 2 ELSE 1 END AS n_aneis FROM mesh""")
+SELECT codarea, CASE WHEN s IS NULL THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type, CASE WHEN s IS NULL THEN 0 ELSE 1 END AS n_poligonos,
+       CASE WHEN s IS NULL THEN 0 WHEN hole THEN 2 ELSE 1 END AS n_aneis FROM mesh""")
 
 
 def geo_reorient() -> str:
@@ -151,7 +152,7 @@ SELECT codarea, {R6(outer)} AS area_externa, CASE WHEN hole THEN {R6(hole)} END
 
 def geo_codes() -> str:
     return W(GROWTH_CTE, PANEL_CTE, body="""
-SELECT municipio_id AS codarea FROM painel WHERE area_km2 > 0 AND pib_mil_reais IS NOT NULL""")
+SELECT municipio_id AS codarea FROM painel WHERE pib_mil_reais IS NOT NULL""")
 
 
 def geo_data() -> str:
@@ -159,7 +160,7 @@ def geo_data() -> str:
     return W(GROWTH_CTE, PANEL_CTE, body=f"""
 SELECT municipio_id AS codarea, municipio_nome AS nome, populacao_atual AS valor,
        coalesce({fmt}, '—') AS valor_fmt
-FROM painel WHERE area_km2 > 0""")
+FROM painel""")
 
 
 def choropleth() -> str:
@@ -190,17 +191,6 @@ STAR_WIDTHS = {"dim_regiao": 3, "dim_uf": 4, "dim_municipio": 7, "fpm": 3, "fpu"
                "fpib": 8, "fpibu": 8}
 
 
-def load_lineage() -> str:
-    return W(body=" UNION ALL ".join(
-        f"SELECT '{t}' AS tabela, count(*) AS linhas FROM {c}" for t, c in STAR_COUNTS))
-
-
-def inventory() -> str:
-    return W(body=" UNION ALL ".join(
-        f"SELECT '{t}' AS tabela, '' AS descricao, count(*) AS linhas, {STAR_WIDTHS[c]} AS colunas FROM {c}"
-        for t, c in STAR_COUNTS))
-
-
 def latest_year() -> str:
     return W(body="SELECT * FROM fpm WHERE ano = (SELECT max(ano) FROM fpm)")
 
@@ -228,13 +218,8 @@ FROM vw_cresc WHERE valor_final >= 300 AND cagr_pct IS NOT NULL
 ORDER BY {order}, municipio_id LIMIT 20""")
 
 
-def enrich_mun() -> str:
-    return W(body="SELECT p.municipio_id, p.ano, p.populacao, h.* EXCLUDE (municipio_id) FROM fpm p "
-                  "LEFT JOIN hier h ON h.municipio_id = p.municipio_id")
-
-
 def enrich_uf() -> str:
-    return W(body="SELECT p.uf_id, p.ano, p.pib_mil_reais, u.uf_sigla, u.uf_nome, u.regiao_id FROM fpibu p "
+    return W(body="SELECT p.uf_id, p.ano, p.pib_mil_reais, u.uf_sigla, u.uf_nome, u.regiao_id, u.uf_id IS NULL AS orfao FROM fpibu p "
                   "LEFT JOIN dim_uf u ON u.uf_id = p.uf_id")
 
 
@@ -323,7 +308,8 @@ def region_sums() -> str:
     return W(UF_PANEL_CTE, body=f"""
 SELECT regiao_nome, CAST(sum(populacao_atual) AS BIGINT) AS populacao_atual, sum(area_km2) AS area_km2,
        sum(pib_mil_reais) AS pib_mil_reais, sum(impostos_liquidos) AS impostos_liquidos,
-       list_position({_list(REGION_ORDER)}, regiao_nome) AS ordem
+       list_position({_list(REGION_ORDER)}, regiao_nome) AS ordem,
+       CAST(row_number() OVER (ORDER BY list_position({_list(REGION_ORDER)}, regiao_nome)) AS INTEGER) AS posicao
 FROM painel_uf2 GROUP BY regiao_nome""")
 
 
@@ -495,6 +481,17 @@ def gini_top_share() -> str:
     return W(GROWTH_CTE, PANEL_CTE, body=_conc_select("populacao_atual") + "\nSELECT * FROM cc")
 
 
+def gdp_concentration() -> str:
+    return W(GROWTH_CTE, PANEL_CTE, body=_conc_select("pib_mil_reais") + "\nSELECT * FROM cc")
+
+
+def running_sum_ties() -> str:
+    return W(GROWTH_CTE, PANEL_CTE, body="""
+SELECT municipio_id, populacao_atual, pib_mil_reais,
+       CASE WHEN populacao_atual IS NOT NULL THEN CAST(sum(pib_mil_reais) OVER (ORDER BY populacao_atual DESC NULLS LAST) AS DECIMAL(38,4)) END AS pib_acumulado
+FROM painel""")
+
+
 def lorenz() -> str:
     return W(GROWTH_CTE, PANEL_CTE, body=f"""
 , l AS (SELECT municipio_id, row_number() OVER w AS i, sum(populacao_atual) OVER w AS cum,
@@ -611,30 +608,6 @@ FKS = {
 }
 
 
-def constraint_checks() -> str:
-    rows = []
-    for name, (cte, key) in PKS.items():
-        k = ", ".join(key)
-        rows.append(f"SELECT '{name}' AS tabela, 'pk({','.join(key)})' AS regra, "
-                    f"(SELECT count(*) FROM (SELECT {k} FROM {cte} GROUP BY {k} HAVING count(*) > 1)) AS violacoes")
-    for name, (col, parent, pcol) in FKS.items():
-        cte = PKS[name][0]
-        pc = PKS[parent][0]
-        rows.append(f"SELECT '{name}', 'fk({col})->{parent}', (SELECT count(*) FROM {cte} c WHERE c.{col} IS NOT NULL "
-                    f"AND c.{col} NOT IN (SELECT {pcol} FROM {pc}))")
-    rows.append("SELECT 'dim_municipio', 'municipio_id ~ ''^[0-9]{7}$''', "
-                "(SELECT count(*) FROM dim_municipio WHERE NOT regexp_full_match(municipio_id, '[0-9]{7}'))")
-    for name in ("fato_populacao_municipio", "fato_populacao_uf", "fato_populacao_regiao"):
-        cte = PKS[name][0]
-        rows.append(f"SELECT '{name}', 'ano between 1990 and 2100', "
-                    f"(SELECT count(*) FROM {cte} WHERE NOT ano BETWEEN 1990 AND 2100)")
-        rows.append(f"SELECT '{name}', 'populacao >= 0', (SELECT count(*) FROM {cte} WHERE populacao < 0)")
-    for name in ("fato_censo_municipio", "fato_censo_uf"):
-        cte = PKS[name][0]
-        rows.append(f"SELECT '{name}', 'area_km2 > 0', (SELECT count(*) FROM {cte} WHERE area_km2 <= 0)")
-    return W(body="\n UNION ALL ".join(rows))
-
-
 def panel_invariants() -> str:
     def row(label, expr):
         return f"SELECT '{label}' AS invariante, {R6(D(expr))} AS valor"
@@ -659,11 +632,6 @@ UNION ALL {row('densidade recalculada ≠ armazenada',
     return W(GROWTH_CTE, PANEL_CTE, UF_PANEL_CTE, REGION_CTE, body=body)
 
 
-def coverage_gap() -> str:
-    return W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id, municipio_nome, uf_sigla FROM painel "
-                                         "WHERE pib_mil_reais IS NULL")
-
-
 def all_null_columns() -> str:
     cols = panel_columns()
     counts = ", ".join(f"count({c}) AS {c}" for c in cols)
@@ -699,9 +667,7 @@ ORACLE = {
     "src_dim_municipality": dim_municipality_json,
     "src_geo_features": geo_features,
     "src_parquet_table": lambda: "SELECT * FROM region",
-    "src_catalog_inventory": inventory,
     "load_prepare": load_prepare,
-    "load_lineage": load_lineage,
     "filter_latest_year": latest_year,
     "filter_latest_nonnull_year": latest_nonnull_year,
     "filter_members": members,
@@ -709,7 +675,6 @@ ORACLE = {
     "filter_min_population": lambda: top_growth(False),
     "top_declinio": lambda: top_growth(True),
     "filter_geo_codes": geo_codes,
-    "join_enrich_municipality": enrich_mun,
     "join_enrich_uf": enrich_uf,
     "join_nearest_year_global": nearest_global,
     "join_geo_data": geo_data,
@@ -737,6 +702,8 @@ ORACLE = {
     "agg_histogram_log": lambda: histogram("densidade_atual", 15, True),
     "agg_last_point": last_point,
     "gini_top_share": gini_top_share,
+    "gdp_concentration": gdp_concentration,
+    "win_running_sum_ties": running_sum_ties,
     "lorenz_curve": lorenz,
     "half_of_total": half_of_total,
     "territorial_half": territorial_half,
@@ -750,12 +717,9 @@ ORACLE = {
     "label_city": label_city,
     "geo_reorient": geo_reorient,
     "geo_choropleth_input": choropleth,
-    "constraint_checks": constraint_checks,
     "panel_invariants": panel_invariants,
-    "coverage_gap": coverage_gap,
     "all_null_columns": all_null_columns,
     "growth_step": population_view,
-    "panel_refresh": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT * FROM painel"),
     "mv_concentration_refresh": lambda: W(GROWTH_CTE, PANEL_CTE, CONC_CTE, body="SELECT * EXCLUDE (n) FROM conc"),
 }
 
@@ -785,9 +749,8 @@ ORACLE.update({
     "sink_parquet": lambda: W(body="SELECT * FROM fpm"),
     "sink_csv": sink_csv,
     "sink_geojson": lambda: W(GROWTH_CTE, PANEL_CTE, body="SELECT municipio_id AS codarea, 'MultiPolygon' AS geom_type, "
-                                                          "CAST(CASE WHEN CAST(municipio_id AS BIGINT) % 3 = 0 THEN 10 ELSE 5 END AS BIGINT) AS n_pontos "
-                                                          "FROM painel WHERE area_km2 > 0"),
-    "load_snapshot": lambda: W(body="SELECT * FROM fpib"),
+                                                          "CAST(CASE WHEN area_km2 IS NULL OR area_km2 <= 0 THEN 0 WHEN CAST(municipio_id AS BIGINT) % 3 = 0 THEN 10 ELSE 5 END AS BIGINT) AS n_pontos "
+                                                          "FROM painel"),
     "load_append": lambda: W(body="SELECT * FROM fpm"),
     "join_nearest_year": lambda: W(body="""
 SELECT municipio_id, ano AS ano_populacao_pib, populacao AS populacao_ano_pib FROM (

@@ -158,15 +158,21 @@ def region_year_sum(df: DataFrame, value: str = "populacao") -> DataFrame:
 
 
 def region_sums(df: DataFrame, cols: Sequence[str], region_order: Sequence[str] | None = None) -> DataFrame:
-    """Sum of the available columns by region (all-NULL → NULL), with the
-    canonical region position ``ordem`` when an order is given."""
+    """Sum of the available columns by region (all-NULL → NULL); with an
+    order given, sorted by the region's canonical position ``ordem``."""
     present = [c for c in cols if c in df.columns]
     g = df.groupBy("regiao_nome").agg(*[F.sum(c).alias(c) for c in present])
     if region_order:
-        g = g.withColumn("ordem", ordinal("regiao_nome", region_order))
+        g = g.withColumn("ordem", ordinal("regiao_nome", region_order)).orderBy(F.col("ordem").asc_nulls_last(), "regiao_nome")
     return g
 
 
+def numbered(df: DataFrame, order: str, out: str = "posicao") -> DataFrame:
+    """A short sorted table (one row per region) with the place of each row."""
+    place = F.row_number().over(Window.orderBy(F.col(order).asc_nulls_last()))
+    return df.withColumn(out, place.cast("int"))
+
+
 # --------------------------------------------------------------------------
 # Rankings
 # --------------------------------------------------------------------------

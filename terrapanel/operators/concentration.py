@@ -12,23 +12,62 @@ one-row DataFrames (the original returns dicts built on the driver).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_double, nullif_zero
+from ..session import checkpoint
 from .prefix import running_totals
 
 
-def _value_blocks(df: DataFrame, value: str, *, descending: bool) -> DataFrame:
-    """Distinct non-null values with count ``c``, sum ``s`` and the number of
-    rows before the block in the chosen order (``before``)."""
+def value_blocks(df: DataFrame, value: str) -> DataFrame:
+    """Distinct non-null values with count ``c``, and on both sides of the
+    block the rows and the sum: ``below_n``, ``below_s`` (smaller values),
+    ``above_n``, ``above_s`` (larger ones), beside the totals ``n`` and
+    ``total``. One ascending order serves both directions: what lies above is
+    the total less what has been counted up to the block."""
     v = F.col(value)
-    blocks = df.filter(v.isNotNull()).groupBy(value).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(value).alias("s")
+    blocks = df.filter(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"))
+    pref = checkpoint(running_totals(blocks, [v.asc()], {"_n": F.col("c"), "_s": F.col("s")}).drop("row_number"), "value-blocks")
+    totals = pref.agg(F.sum("c").alias("n"), F.sum("s").alias("total"))  # one row
+    return pref.crossJoin(F.broadcast(totals)).select(
+        value, "c", "s", "n", "total",
+        (F.col("_n") - F.col("c")).alias("below_n"), (F.col("_s") - F.col("s")).alias("below_s"),
+        (F.col("n") - F.col("_n")).alias("above_n"), (F.col("total") - F.col("_s")).alias("above_s"),
     )
-    order = v.desc() if descending else v.asc()
-    pref = running_totals(blocks, [order], {"_cum_c": F.col("c")})
-    return pref.select(value, "c", "s", (F.col("_cum_c") - F.col("c")).alias("before"))
+
+
+def _rank_weighted(value: str) -> Column:
+    """Sum of position times value over a block, positions ascending from 1:
+    below_n+1 .. below_n+c add up to c·(below_n+1) + c(c−1)/2."""
+    positions = F.col("c") * (F.col("below_n") + F.lit(1)) + F.col("c") * (F.col("c") - F.lit(1)) / F.lit(2)
+    return as_double(value) * positions.cast("double")
+
+
+def _gini(six: Column) -> Column:
+    n = as_double("n")
+    return F.lit(2.0) * six / (n * as_double(nullif_zero(F.col("total")))) - (n + F.lit(1.0)) / n
+
+
+def _top(value: str, k: Column) -> Column:
+    """Sum of a block's values that are among the ``k`` largest."""
+    return F.col(value) * F.least(F.col("c"), F.greatest(F.lit(0), k - F.col("above_n")))
+
+
+def _before_half(value: str) -> Column:
+    """Of a block's entities, largest first: how many leave the running sum
+    below half of the total. The running sum after the j-th is above_s + j·v,
+    so for v > 0 these are the first ones, for v < 0 the last ones; the
+    quotient is only a guess, the neighbouring counts are tried exactly."""
+    v, c = F.col(value), F.col("c")
+    holds = lambda j: (F.col("above_s") + v * j) * F.lit(2) < F.col("total")
+    within = lambda j: F.greatest(F.lit(0), F.least(c, j)).cast("long")
+    guess = F.floor((as_double("total") - F.lit(2.0) * as_double("above_s")) / as_double(nullif_zero(F.lit(2) * v)))
+    below, here, after = within(guess - 1), within(guess), within(guess + 1)
+    rising = F.when((after > here) & holds(after), after).when((here > 0) & holds(here), here).when((below > 0) & holds(below), below).otherwise(F.lit(0))
+    # for v < 0: the count of entities that don't hold yet, at the front
+    front = F.when((after > here) & ~holds(after), after).when((here > 0) & ~holds(here), here).when((below > 0) & ~holds(below), below).otherwise(F.lit(0))
+    return F.when(v == 0, F.when(holds(F.lit(1)), c).otherwise(F.lit(0))).when(v > 0, rising).otherwise(c - front)
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
@@ -36,56 +75,31 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
     One row ``(gini, n)``; no row when there is no value.
     """
-    b = _value_blocks(df, value, descending=False)
-    # positions before+1 .. before+c: Σ i = c·(before+1) + c(c−1)/2
-    pos_sum = F.col("c") * (F.col("before") + F.lit(1)) + F.col("c") * (F.col("c") - F.lit(1)) / F.lit(2)
-    agg = b.agg(
-        F.sum(as_double(value) * pos_sum.cast("double")).alias("_six"),
-        F.sum("c").alias("n"),
-        F.sum("s").alias("_sx"),
-    ).filter(F.col("n") > 0)
-    n = as_double("n")
-    g = F.lit(2.0) * F.col("_six") / (n * as_double(nullif_zero(F.col("_sx")))) - (n + F.lit(1.0)) / n
-    return agg.select(g.alias("gini"), F.col("n").cast("long").alias("n"))
+    one = value_blocks(df, value).groupBy("n", "total").agg(F.sum(_rank_weighted(value)).alias("_six"))
+    return one.select(_gini(F.col("_six")).alias("gini"), F.col("n").cast("long").alias("n"))
 
 
-def top_sums(df: DataFrame, value: str, ks: dict[str, F.Column]) -> DataFrame:
-    """Sum of the ``k`` largest values for each named ``k`` expression (may
-    depend on ``n``, the count of non-null values). One row, plus ``n`` and
-    ``total``."""
-    b = _value_blocks(df, value, descending=True)
-    n = df.filter(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-    j = b.crossJoin(F.broadcast(n))
-    aggs = []
-    for name, k in ks.items():
-        taken = F.least(F.col("c"), F.greatest(F.lit(0), k - F.col("before")))
-        aggs.append(F.sum(F.col(value) * taken).alias(name))
-    return j.groupBy("n", "total").agg(*aggs)
+def _concentration_sums(value: str) -> list[Column]:
+    n = F.col("n")
+    ks = {"_t1": F.greatest(F.lit(1), F.floor(n / F.lit(100))), "_t10": F.greatest(F.lit(1), F.floor(n / F.lit(10))), "_t100": F.lit(100)}
+    return [F.sum(_rank_weighted(value)).alias("_six"), *(F.sum(_top(value, k)).alias(name) for name, k in ks.items())]
 
 
-def concentration(df: DataFrame, value: str) -> DataFrame:
-    """Gini and the shares (%) of the top 1%, top 10% and top 100 entities."""
-    n = F.col("n")
-    tops = top_sums(
-        df,
-        value,
-        {
-            "_t1": F.greatest(F.lit(1), F.floor(n / F.lit(100))),
-            "_t10": F.greatest(F.lit(1), F.floor(n / F.lit(10))),
-            "_t100": F.lit(100),
-        },
-    )
+def _share(c: str) -> Column:
+    return as_double(c) / as_double(nullif_zero(F.col("total"))) * F.lit(100.0)
 
-    def share(c):
-        return as_double(c) / as_double(nullif_zero(F.col("total"))) * F.lit(100.0)
 
-    return gini(df, value).crossJoin(tops.drop("n")).select(
-        "gini",
-        "n",
-        share("_t1").alias("share_top_1pct"),
-        share("_t10").alias("share_top_10pct"),
-        share("_t100").alias("share_top_100"),
-    )
+def _concentration_columns() -> list[Column]:
+    return [
+        _gini(F.col("_six")).alias("gini"), F.col("n").cast("long").alias("n"),
+        _share("_t1").alias("share_top_1pct"), _share("_t10").alias("share_top_10pct"), _share("_t100").alias("share_top_100"),
+    ]
+
+
+def concentration(df: DataFrame, value: str) -> DataFrame:
+    """Gini and the shares (%) of the top 1%, top 10% and top 100 entities,
+    from one ordering of the distinct values."""
+    return value_blocks(df, value).groupBy("n", "total").agg(*_concentration_sums(value)).select(*_concentration_columns())
 
 
 def lorenz_curve(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -104,21 +118,19 @@ def lorenz_curve(df: DataFrame, value: str, key: str) -> DataFrame:
 def half_of_total(df: DataFrame, value: str, key: str) -> DataFrame:
     """How many entities (largest first) make half of the total:
     ``count(cum < total/2) + 1``, its % of entities, the share of the top 10
-    and the concentration metrics."""
-    d = df.filter(F.col(value).isNotNull()).select(key, value)
-    pref = running_totals(d, [F.col(value).desc(), F.col(key).asc()], {"_cum": F.col(value)}, row_number="_i")
-    tot = d.agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
-    j = pref.crossJoin(F.broadcast(tot))
-    agg = j.groupBy("_n", "_t").agg(
-        (F.count_if(F.col("_cum") * F.lit(2) < F.col("_t")) + F.lit(1)).alias("n_metade"),
-        F.sum(F.when(F.col("_i") <= 10, F.col(value))).alias("_top10"),
+    and the concentration metrics, all from one ordering of the distinct
+    values (``key`` tells the entities; ties share a value, so their order
+    doesn't matter)."""
+    d = df.select(key, value)
+    one = value_blocks(d, value).groupBy("n", "total").agg(
+        (F.sum(_before_half(value)) + F.lit(1)).alias("_metade"), F.sum(_top(value, F.lit(10))).alias("_top10"), *_concentration_sums(value)
     )
-    out = agg.select(
-        F.col("n_metade").cast("long").alias("n_metade"),
-        (as_double("n_metade") / as_double("_n") * F.lit(100.0)).alias("pct_metade"),
-        (as_double("_top10") / as_double(nullif_zero(F.col("_t"))) * F.lit(100.0)).alias("share_top_10"),
+    return one.select(
+        F.col("_metade").cast("long").alias("n_metade"),
+        (as_double("_metade") / as_double("n") * F.lit(100.0)).alias("pct_metade"),
+        _share("_top10").alias("share_top_10"),
+        *_concentration_columns(),
     )
-    return out.crossJoin(concentration(df, value))
 
 
 def territorial_half(df: DataFrame, density: str, population: str, area: str, key: str) -> DataFrame:

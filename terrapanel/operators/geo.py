@@ -46,29 +46,56 @@ FEATURE_COLLECTION = T.StructType(
 )
 
 
-def features_from_collections(fc: DataFrame) -> DataFrame:
-    """FeatureCollection rows → one row per feature (all collections of the
-    input are concatenated, e.g. one file per state)."""
-    f = fc.filter(F.col("type") == F.lit("FeatureCollection")).select(F.explode("features").alias("f"))
+FEATURE = FEATURE_COLLECTION["features"].dataType.elementType
+
+#: What stands once in every feature and nowhere else in a collection.
+_MARK = '"Feature"'
+
+
+def _parsed(features: DataFrame) -> DataFrame:
+    """Rows ``f`` of ``FEATURE`` → (codarea, geom_type, coordinates)."""
     gtype = F.col("f.geometry.type")
     text = F.col("f.geometry.coordinates")
     coords = F.when(gtype == F.lit("Polygon"), F.array(F.from_json(text, POLYGON))).when(
         gtype == F.lit("MultiPolygon"), F.from_json(text, MULTIPOLYGON)
     )
-    return f.select(
+    return features.select(
         F.col("f.properties.codarea").alias("codarea"),
         gtype.alias("geom_type"),
         coords.alias("coordinates"),
     )
 
 
+def features_from_collections(fc: DataFrame) -> DataFrame:
+    """FeatureCollection rows → one row per feature (all collections of the
+    input are concatenated, e.g. one file per state)."""
+    return _parsed(fc.filter(F.col("type") == F.lit("FeatureCollection")).select(F.explode("features").alias("f")))
+
+
 def read_features(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Read one or many GeoJSON FeatureCollection files (glob allowed);
-    ``lines``: a collection on every line, which Spark splits."""
+    ``lines``: a collection on every line, which Spark splits. Otherwise a
+    file is one task: see ``read_large_features``."""
     fc = spark.read.schema(FEATURE_COLLECTION).option("multiLine", not lines).json(path)
     return features_from_collections(fc)
 
 
+def read_large_features(spark: SparkSession, path: str) -> DataFrame:
+    """Read FeatureCollection files of any size by several tasks each.
+
+    The text is cut at the mark that every feature has once (``"Feature"``),
+    which is a record delimiter that files can be split at; what stands
+    between two marks is a feature without its beginning, and a little of the
+    next one's. So ``type`` must be the first member of every feature and the
+    mark must not occur in the properties. White space and line ends don't
+    matter. A feature that doesn't parse is an error, not a lost row."""
+    cut = spark.read.option("lineSep", _MARK).text(path).select(F.ltrim("value").alias("t"))
+    # the text before a file's first feature opens the collection; the others go on after a type
+    rest = cut.where(F.col("t").startswith(","))
+    whole = F.from_json(F.concat(F.lit('{"type":"Feature"'), F.col("t")), FEATURE, {"mode": "FAILFAST"})
+    return _parsed(rest.select(whole.alias("f")))
+
+
 def ring_signed_area(ring: Column) -> Column:
     """``Σ (x₂−x₁)(y₂+y₁)`` over consecutive points: > 0 means clockwise."""
     n = F.size(ring)
@@ -115,13 +142,14 @@ def attach_data(features: DataFrame, data: DataFrame, key: str, name: str, value
 def square_meshes(entities: DataFrame, key: str, area: str, *, ccw: Column, hole: Column) -> DataFrame:
     """One square polygon per entity with side ``sqrt(area)`` (lower-left at
     ``(x0, y0)``), counter-clockwise when ``ccw``, with a same-orientation
-    hole of half the side when ``hole`` — a mesh derived from a table, for
-    exercising the geometry operators on data of any size."""
-    base = entities.filter(F.col(area) > 0).select(
+    hole of half the side when ``hole``; an entity without area has an empty
+    geometry. A mesh derived from a table, for exercising the geometry
+    operators on data of any size."""
+    base = entities.select(
         F.col(key).cast("string").alias("codarea"),
         (F.col(key).cast("long") % 100).cast("double").alias("_x0"),
         F.floor(F.col(key).cast("long") / 100).cast("double").alias("_y0"),
-        ccw.alias("_ccw"), hole.alias("_hole"), F.sqrt(F.col(area).cast("double")).alias("lado"),
+        ccw.alias("_ccw"), hole.alias("_hole"), F.when(F.col(area) > 0, F.sqrt(F.col(area).cast("double"))).alias("lado"),
     )
     x0, y0, side, counter_clockwise = F.col("_x0"), F.col("_y0"), F.col("lado"), F.col("_ccw")
 
@@ -132,4 +160,5 @@ def square_meshes(entities: DataFrame, key: str, area: str, *, ccw: Column, hole
     outer = square(x0, y0, side)
     inner = square(x0 + side / 4, y0 + side / 4, side / 2)
     poly = F.when(F.col("_hole"), F.array(outer, inner)).otherwise(F.array(outer))
-    return base.select("codarea", F.lit("MultiPolygon").alias("geom_type"), F.array(poly).alias("coordinates"), "lado")
+    none = F.array().cast("array<array<array<array<double>>>>")
+    return base.select("codarea", F.lit("MultiPolygon").alias("geom_type"), F.when(side.isNull(), none).otherwise(F.array(poly)).alias("coordinates"), "lado")

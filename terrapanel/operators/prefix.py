@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, input_bytes, stage_bucketed
+from ..session import checkpoint, input_bytes, max_buckets, stage_bucketed
 
 _PID = "_range_id"
 
@@ -38,12 +38,9 @@ RANGE_BYTES = 64 << 20
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
-    """As many ranges as shuffle partitions, more if the input files hold
-    more than ``RANGE_BYTES`` for each; there is no upper bound."""
-    if n_ranges:
-        return n_ranges
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, least, -(-input_bytes(df) // RANGE_BYTES))
+    """One range for every ``RANGE_BYTES`` of input files, as far as the
+    session allows as many buckets; beyond that, ranges grow."""
+    return n_ranges or max(1, min(-(-input_bytes(df) // RANGE_BYTES), max_buckets(df.sparkSession)))
 
 
 def running_totals(

@@ -1,76 +1,126 @@
-"""Declarative integrity rules as violation counts.
+"""Declarative integrity rules: violating rows, their counts, enforcement.
 
 The original enforces these with PRIMARY KEY / FOREIGN KEY / CHECK
-constraints in its database; on files they become queries: each rule is a
-distributed aggregate (grouped count for uniqueness, anti join for
-references, conditional count for row rules) returning one row, and the
-report is their union.
+constraints in its database. Here the rules are data (``row_rules``,
+``PRIMARY_KEYS``, ``FOREIGN_KEYS``); one plan per table tags every row with
+the rules that it breaks. The tagged rows are what a quarantine holds, the
+report is counted from them, and a publication is rejected by them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Collection
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_double, nullif_zero
-from ..sources.star import FOREIGN_KEYS, PRIMARY_KEYS, Star
-
-
-def _rows(df: DataFrame, table: str, rules: dict[str, F.Column]) -> DataFrame:
-    """One report row per rule of a one-row frame, which is computed once."""
-    found = [F.struct(F.lit(table).alias("tabela"), F.lit(rule).alias("regra"), n.cast("long").alias("violacoes")) for rule, n in rules.items()]
-    return df.select(F.explode(F.array(*found)).alias("r")).select("r.*")
+from ..session import checkpoint
+from ..sinks.snapshot import PublicationRejected
+from ..sources.star import DIM_TABLES, FACT_TABLES, FOREIGN_KEYS, PRIMARY_KEYS, Star
+
+YEAR_RULE = "ano between 1990 and 2100"
+PREFIX_RULE = "left(municipio_id, 2) = uf_id"
+AREA_RULE = "area_km2 > 0"
+
+
+def row_rules(table: str) -> dict[str, F.Column]:
+    """CHECKs of a table: label → the condition that breaks it. As in a
+    CHECK, a comparison with NULL breaks nothing."""
+    rules = {}
+    if table == "dim_municipio":
+        rules["municipio_id ~ '^[0-9]{7}$'"] = ~F.col("municipio_id").rlike("^[0-9]{7}$")
+        rules[PREFIX_RULE] = F.substring("municipio_id", 1, 2) != F.col("uf_id").cast("string")
+    if table in FACT_TABLES:
+        rules[YEAR_RULE] = ~F.col("ano").between(1990, 2100)
+    if table.startswith("fato_populacao"):
+        rules["populacao >= 0"] = F.col("populacao") < 0
+    if table.startswith("fato_censo"):
+        rules[AREA_RULE] = F.col("area_km2") <= 0
+    return rules
+
+
+def _labels(table: str) -> dict[str, str]:
+    """Labels of the key rules of a table."""
+    key = ",".join(PRIMARY_KEYS[table])
+    out = {"pk": f"pk({key})", "null": f"not null({key})"}
+    if table in FOREIGN_KEYS:
+        col, parent, _ = FOREIGN_KEYS[table]
+        out["fk"] = f"fk({col})->{parent}"
+    return out
 
 
-def _row(df: DataFrame, table: str, rule: str, n: F.Column) -> DataFrame:
-    return _rows(df, table, {rule: n})
+def violations(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """(``tabela``, ``regra``, ``chave``, ``linha``): every row of a table
+    that breaks a rule, once per rule, with its key and itself as JSON.
+
+    The keys that occur more than once are found first, from the key columns
+    alone and summed in every task before they meet; they are few and joined
+    back. References are looked up in the parent among ``tables``."""
+    df, key, labels = tables[name], PRIMARY_KEYS[name], _labels(name)
+    cols = df.columns
+    twice = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*(F.col(c).alias(f"_dup_{c}") for c in key), F.lit(True).alias("_twice"))
+    same = [F.col(c).eqNullSafe(F.col(f"_dup_{c}")) for c in key]
+    rows = df.join(twice, same, "left")
+    tags = [F.when(cond, F.lit(label)) for label, cond in row_rules(name).items()]
+    tags.append(F.when(F.col("_twice"), F.lit(labels["pk"])))
+    missing = F.lit(False)
+    for c in key:
+        missing = missing | F.col(c).isNull()
+    tags.append(F.when(missing, F.lit(labels["null"])))
+    if name in FOREIGN_KEYS and FOREIGN_KEYS[name][1] in tables:
+        col, parent, parent_col = FOREIGN_KEYS[name]
+        there = tables[parent].select(F.col(parent_col).alias("_parent")).distinct()
+        rows = rows.join(there, F.col(col) == F.col("_parent"), "left")
+        tags.append(F.when(F.col(col).isNotNull() & F.col("_parent").isNull(), F.lit(labels["fk"])))
+    found = rows.select("*", F.explode(F.array_compact(F.array(*tags))).alias("_regra"))
+    return found.select(F.lit(name).alias("tabela"), F.col("_regra").alias("regra"), F.to_json(F.struct(*key)).alias("chave"), F.to_json(F.struct(*cols)).alias("linha"))
+
+
+def quarantine(tables: dict[str, DataFrame]) -> DataFrame:
+    """The violating rows of all ``tables``."""
+    out = None
+    for name in tables:
+        found = violations(tables, name)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
-    """Number of key values present more than once (one row)."""
-    return df.groupBy(*key).count().agg(F.count_if(F.col("count") > 1).alias("n"))
+def count_violations(tables: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """(``tabela``, ``regra``, ``violacoes``) of every rule, zeros included:
+    violating rows, or repeated key values for a primary key."""
+    spark = found.sparkSession
+    rules = [(name, rule) for name in tables for rule in (*_labels(name).values(), *row_rules(name))]
+    every = spark.createDataFrame(rules, "tabela string, regra string")
+    is_key = F.col("regra").startswith("pk(")
+    rows = found.where(~is_key).select("tabela", "regra")
+    keys = found.where(is_key).select("tabela", "regra", "chave").distinct().select("tabela", "regra")
+    counts = rows.unionByName(keys).groupBy("tabela", "regra").agg(F.count("*").alias("n"))
+    return every.join(counts, ["tabela", "regra"], "left").select("tabela", "regra", F.coalesce("n", F.lit(0)).cast("long").alias("violacoes"))
 
 
-def orphans(child: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
-    """Child rows whose reference is missing in the parent (anti join)."""
-    c = child.filter(F.col(col).isNotNull()).select(F.col(col).alias("_k"))
-    p = parent.select(F.col(parent_col).alias("_k"))
-    return c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+def constraint_checks(star: Star) -> DataFrame:
+    """PK uniqueness, keys that are NULL, FK presence and the row CHECKs of
+    the schema, counted from the violating rows, which are written aside."""
+    tables = star.tables()
+    return count_violations(tables, checkpoint(quarantine(tables), "quarantine"))
 
 
-def constraint_checks(star: Star) -> DataFrame:
-    """PK uniqueness, FK presence and the row CHECKs of the schema."""
-    t = star.tables()
-    parts = []
-    for name, key in PRIMARY_KEYS.items():
-        parts.append(_row(duplicate_keys(t[name], key), name, f"pk({','.join(key)})", F.col("n")))
-    for name, (col, parent, pcol) in FOREIGN_KEYS.items():
-        parts.append(_row(orphans(t[name], col, t[parent], pcol), name, f"fk({col})->{parent}", F.col("n")))
-    m = t["dim_municipio"].agg(
-        F.count_if(~F.col("municipio_id").rlike("^[0-9]{7}$")).alias("fmt"),
-    )
-    parts.append(_row(m, "dim_municipio", "municipio_id ~ '^[0-9]{7}$'", F.col("fmt")))
-    for name in ("fato_populacao_municipio", "fato_populacao_uf", "fato_populacao_regiao"):
-        r = t[name].agg(
-            F.count_if(~F.col("ano").between(1990, 2100)).alias("ano"),
-            F.count_if(F.col("populacao") < 0).alias("neg"),
-        )
-        parts.append(_rows(r, name, {"ano between 1990 and 2100": F.col("ano"), "populacao >= 0": F.col("neg")}))
-    for name in ("fato_censo_municipio", "fato_censo_uf"):
-        r = t[name].agg(F.count_if(F.col("area_km2") <= 0).alias("n"))
-        parts.append(_row(r, name, "area_km2 > 0", F.col("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def enforce(waived: Collection[str] = ()) -> Callable[[SparkSession, dict[str, DataFrame]], None]:
+    """A validation for ``write_snapshot`` and ``append_rows``: raises
+    ``PublicationRejected`` with the number of rows per broken rule. Rules
+    whose label is ``waived`` may be broken. The counts come to the driver,
+    one per rule; the rows don't."""
 
+    def validate(_: SparkSession, tables: dict[str, DataFrame]) -> None:
+        known = {n: df for n, df in tables.items() if n in (*DIM_TABLES, *FACT_TABLES)}
+        if not known:
+            return
+        broken = quarantine(known).where(~F.col("regra").isin(list(waived)) if waived else F.lit(True)).groupBy("tabela", "regra").count().collect()
+        if broken:
+            raise PublicationRejected("; ".join(sorted(f"{r.tabela}: {r.regra}: {r['count']} rows" for r in broken)))
 
-def prefix_matches_state(star: Star) -> DataFrame:
-    """Municipality codes whose 2-digit prefix differs from the state id
-    (a rule of the real code system; reported, not enforced)."""
-    h = star.dim_municipio
-    bad = h.filter(F.substring("municipio_id", 1, 2).cast("int") != F.col("uf_id"))
-    return bad.agg(F.count(F.lit(1)).alias("violacoes"))
+    return validate
 
 
 def panel_invariants(star: Star, panel: DataFrame, uf_panel: DataFrame, region_panel: DataFrame) -> DataFrame:
@@ -110,11 +160,14 @@ def panel_invariants(star: Star, panel: DataFrame, uf_panel: DataFrame, region_p
 
 
 def coverage_gap(panel: DataFrame, allowed: DataFrame | None = None, value: str = "pib_mil_reais") -> DataFrame:
-    """Entities lacking ``value`` that are not on an allow-list."""
+    """Entities lacking ``value``; ``esperado`` tells whether they are on the
+    allow-list (``allowed``: their ids), so that known gaps and new ones can
+    be told apart."""
     gap = panel.filter(F.col(value).isNull()).select("municipio_id", "municipio_nome", "uf_sigla")
-    if allowed is not None:
-        gap = gap.join(allowed.select("municipio_id"), "municipio_id", "left_anti")
-    return gap
+    if allowed is None:
+        return gap.withColumn("esperado", F.lit(False))
+    known = allowed.select(F.col("municipio_id").alias("_known")).distinct()
+    return gap.join(known, F.col("municipio_id") == F.col("_known"), "left").withColumn("esperado", F.col("_known").isNotNull()).drop("_known")
 
 
 def all_null_columns(df: DataFrame) -> DataFrame:

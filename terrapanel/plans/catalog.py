@@ -65,16 +65,16 @@ QUERIES: dict[str, Builder] = {
     "growth_first_last": lambda s, d: panels.growth_view(star_for(s, d), BANDS),
     "growth_step": lambda s, d: panels.population_view(star_for(s, d)),
     "join_panel_municipality": lambda s, d: panels.municipality_panel(star_for(s, d), BANDS, live=True),
-    "panel_refresh": lambda s, d: star_for(s, d).mv_painel_municipio,
     "agg_uf_panel": lambda s, d: panels.uf_panel(star_for(s, d), live=True),
     "agg_region_panel": lambda s, d: panels.region_panel(star_for(s, d)),
     "ranking_view": lambda s, d: panels.ranking_view(panels.municipality_panel(star_for(s, d), BANDS)),
     "concentration_table": lambda s, d: panels.concentration_table(panels.municipality_panel(star_for(s, d), BANDS)),
-    "mv_concentration_refresh": lambda s, d: star_for(s, d).mv_concentracao_municipio,
 }
 
+from .load_queries import QUERIES as _LOAD_QUERIES  # noqa: E402
 from .operator_queries import ALIASES  # noqa: E402
 from .operator_queries import QUERIES as _OPERATOR_QUERIES  # noqa: E402
 
 QUERIES.update(_OPERATOR_QUERIES)
+QUERIES.update(_LOAD_QUERIES)
 QUERIES.update({alias: QUERIES[target] for alias, target in ALIASES.items()})

@@ -22,15 +22,15 @@ from ..operators import concentration as conc
 from ..operators import geo
 from ..operators import quality
 from ..operators.growth import growth_first_last, index_base100, national_series
-from ..operators.metrics import density, enrich_municipalities, enrich_ufs, gdp_per_capita, sector_structure
+from ..operators.metrics import density, enrich_ufs, gdp_per_capita, sector_structure
 from ..operators.nearest import nearest_year_global
+from ..operators.prefix import range_running_sum
 from ..sinks.loads import Source, prepare
-from ..sinks.snapshot import latest_loads, load_log
 from ..sources import feeds
 from ..sources.star import SECTOR_COLUMNS
-from ..sources.tables import inventory, read_table
+from ..sources.tables import read_table
 from . import panels
-from .warehouse import base_for, star_for
+from .warehouse import star_for
 
 BANDS = registry.TPCH_BANDS
 REGION_ORDER = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -142,7 +142,7 @@ def hierarchy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A square mesh per municipality with positive area (counter-clockwise
+    """A square mesh per municipality, empty without area (counter-clockwise
     for even ids, holes for ids divisible by 3)."""
     p = star_for(spark, sf_dir).mv_painel_municipio
     k = F.col("municipio_id").cast("long")
@@ -177,11 +177,13 @@ def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _src_geo_features(spark, sf_dir):
-    fc = feature_collections(spark, sf_dir)
-    parsed = fc.select(F.from_json("fc", geo.FEATURE_COLLECTION).alias("x")).select("x.*")
-    f = geo.features_from_collections(parsed)
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "collections")
+    feature_collections(spark, sf_dir).write.text(path)
+    f = geo.read_large_features(spark, path)
     return f.select("codarea", "geom_type", F.size("coordinates").alias("n_poligonos"),
-                    F.size(F.col("coordinates")[0]).alias("n_aneis"))
+                    F.coalesce(F.size(F.get(F.col("coordinates"), 0)), F.lit(0)).alias("n_aneis"))
 
 
 def _geo_reorient(spark, sf_dir):
@@ -225,6 +227,14 @@ def _published_years(spark, sf_dir):
     return kept.withColumn("situacao", F.lit("publicado")).unionByName(ignored.withColumn("situacao", F.lit("ignorado")))
 
 
+def _series_wide(spark, sf_dir):
+    """Delivered twice, the second time every value one higher: the first
+    delivered value of a cell stays."""
+    rows = tidy(spark, sf_dir).filter(F.col("nivel") == "N6")
+    twice = rows.withColumn("entrega", F.lit(1)).unionByName(rows.withColumn("valor", F.col("valor") - 1).withColumn("entrega", F.lit(2)))
+    return feeds.series_wide(twice, WIDE_NAMES, delivery="entrega")
+
+
 def _catalog(spark, sf_dir):
     s = star_for(spark, sf_dir)
     docs = s.dim_uf.join(s.dim_regiao, "regiao_id").groupBy("regiao_id", "regiao_nome").agg(
@@ -260,14 +270,6 @@ def _load_prepare(spark, sf_dir):
     return prepare(raw, src)
 
 
-def _enrich_mun(spark, sf_dir):
-    s = star_for(spark, sf_dir)
-    raw = s.fato_populacao_municipio.select(F.col("municipio_id").cast("long").alias("localidade_id"),
-                                            F.lit("x").alias("localidade_nome"), F.lit("N6").alias("nivel"),
-                                            "ano", "populacao")
-    return enrich_municipalities(raw, panels.hierarchy(s))
-
-
 def _enrich_uf(spark, sf_dir):
     s = star_for(spark, sf_dir)
     raw = s.fato_pib_uf.select(F.col("uf_id").cast("string").alias("localidade_id"),
@@ -284,6 +286,24 @@ def _concentration_pop(spark, sf_dir):
     return r6(conc.concentration(star_for(spark, sf_dir).mv_painel_municipio, "populacao_atual"))
 
 
+def _concentration_gdp(spark, sf_dir):
+    return r6(conc.concentration(star_for(spark, sf_dir).mv_painel_municipio, "pib_mil_reais"))
+
+
+def _region_sums(spark, sf_dir):
+    """Sorted by the canonical order; ``posicao`` is the place of the row."""
+    sums = agg.region_sums(panels.uf_panel(star_for(spark, sf_dir)), ["populacao_atual", "area_km2", "pib_mil_reais", "impostos_liquidos"], REGION_ORDER)
+    return agg.numbered(sums, "ordem")
+
+
+def _running_sum_ties(spark, sf_dir):
+    """GDP gathered from the largest population on; equal populations share
+    one sum."""
+    p = star_for(spark, sf_dir).mv_painel_municipio
+    out = range_running_sum(p.select("municipio_id", "populacao_atual", "pib_mil_reais"), "populacao_atual", F.sum("pib_mil_reais"), "pib_acumulado")
+    return out.withColumn("pib_acumulado", F.col("pib_acumulado").cast("decimal(38,4)"))
+
+
 def _growth_uf_enriched(s):
     return s.fato_pib_uf.join(s.dim_uf, "uf_id").join(s.dim_regiao, "regiao_id")
 
@@ -295,7 +315,7 @@ QUERIES = {
     "src_series_dedupe": lambda s, d: feeds.dedupe_series(
         feeds.flatten_payload_text(payloads(s, d).unionByName(payloads(s, d)))),
     "src_series_select": lambda s, d: feeds.select_series(tidy(s, d), variables=[93], years=[1995, 1999, 2001]),
-    "src_series_wide": lambda s, d: feeds.series_wide(tidy(s, d).filter(F.col("nivel") == "N6"), WIDE_NAMES),
+    "src_series_wide": _series_wide,
     "src_windowed_extract": lambda s, d: feeds.window_years(tidy(s, d), first_year=1997),
     "src_published_years": _published_years,
     "src_dataset_catalog": _catalog,
@@ -304,10 +324,8 @@ QUERIES = {
     "src_dim_municipality": lambda s, d: feeds.flatten_municipalities_text(hierarchy_docs(s, d)),
     "src_geo_features": _src_geo_features,
     "src_parquet_table": lambda s, d: read_table(s, d, "region"),
-    "src_catalog_inventory": lambda s, d: inventory(star_for(s, d).tables()),
     # loads
     "load_prepare": _load_prepare,
-    "load_lineage": lambda s, d: latest_loads(load_log(s, base_for(s, d))).select("tabela", "linhas"),
     # filters
     "filter_latest_year": lambda s, d: (lambda p: p.filter(F.col("ano") == p.select(F.max("ano")).scalar()))(
         star_for(s, d).fato_populacao_municipio),
@@ -322,7 +340,6 @@ QUERIES = {
     "top_declinio": lambda s, d: agg.top_growth(panels.growth_view(star_for(s, d), BANDS), 20, 300, ascending=True),
     "filter_geo_codes": _filter_geo_codes,
     # joins
-    "join_enrich_municipality": _enrich_mun,
     "join_enrich_uf": _enrich_uf,
     "join_nearest_year_global": lambda s, d: nearest_year_global(
         star_for(s, d).fato_populacao_municipio, "municipio_id",
@@ -340,9 +357,8 @@ QUERIES = {
     "share_of_group": lambda s, d: r6(agg.share_of_group(star_for(s, d).fato_pib_uf, "pib_mil_reais")),
     "gdp_pop_ratio": lambda s, d: r6(agg.gdp_pop_ratio(panels.uf_panel(star_for(s, d)))),
     # aggregations
-    "agg_region_sum": lambda s, d: agg.region_sums(panels.uf_panel(star_for(s, d)),
-                                                   ["populacao_atual", "area_km2", "pib_mil_reais", "impostos_liquidos"],
-                                                   REGION_ORDER),
+    "agg_region_sum": _region_sums,
+    "win_running_sum_ties": _running_sum_ties,
     "agg_national_series": lambda s, d: r6(national_series(star_for(s, d).fato_populacao_uf)),
     "agg_region_year": lambda s, d: r6(agg.region_year_share(_growth_uf_enriched(star_for(s, d)))),
     "agg_region_year_population": lambda s, d: agg.region_year_sum(
@@ -371,6 +387,7 @@ QUERIES = {
         "regiao_nome", value="populacao", order=REGION_ORDER),
     # concentration
     "gini_top_share": _concentration_pop,
+    "gdp_concentration": _concentration_gdp,
     "lorenz_curve": lambda s, d: lorenz(s, d),
     "half_of_total": lambda s, d: r6(conc.half_of_total(star_for(s, d).mv_painel_municipio, "pib_mil_reais",
                                                         "municipio_id")),
@@ -395,7 +412,6 @@ QUERIES = {
     "panel_invariants": lambda s, d: r6(quality.panel_invariants(
         star_for(s, d), star_for(s, d).mv_painel_municipio, panels.uf_panel(star_for(s, d)),
         panels.region_panel(star_for(s, d)))),
-    "coverage_gap": lambda s, d: quality.coverage_gap(star_for(s, d).mv_painel_municipio),
     "all_null_columns": lambda s, d: quality.all_null_columns(star_for(s, d).mv_painel_municipio),
 }
 
@@ -446,24 +462,6 @@ def _sink_geojson(spark, sf_dir):
     return back.select("codarea", "geom_type", points.cast("long").alias("n_pontos"))
 
 
-def _load_snapshot(spark, sf_dir):
-    from ..sinks.snapshot import read_snapshot
-
-    return read_snapshot(spark, base_for(spark, sf_dir), ["fato_pib_municipio"])["fato_pib_municipio"]
-
-
-def _load_append(spark, sf_dir):
-    from ..session import scratch_path
-    from ..sinks.snapshot import append_rows
-
-    fpm = star_for(spark, sf_dir).fato_populacao_municipio
-    path = scratch_path(spark, "append")
-    first = fpm.select(F.min("ano")).scalar()
-    fpm.filter(F.col("ano") == first).write.parquet(path)
-    append_rows(spark.read.parquet(path), fpm.filter(F.col("ano") != first), ["municipio_id", "ano"], path)
-    return spark.read.parquet(path)
-
-
 def _nearest_per_entity(spark, sf_dir):
     from ..operators.nearest import nearest_year_per_key
 
@@ -511,8 +509,6 @@ QUERIES.update({
     "sink_parquet": _sink_parquet,
     "sink_csv": _sink_csv,
     "sink_geojson": _sink_geojson,
-    "load_snapshot": _load_snapshot,
-    "load_append": _load_append,
     "join_nearest_year": _nearest_per_entity,
     "agg_ordered_array": _ordered_arrays,
     "agg_distinct_years": _distinct_years,
@@ -534,7 +530,7 @@ ALIASES = {
     "gini": "gini_top_share", "top_share": "gini_top_share", "population_concentration": "gini_top_share",
     "concentration_cutoffs": "concentracao", "win_lag": "growth_step", "win_first_last": "growth_first_last",
     "win_rank": "ranking_view", "win_percent_rank": "ranking_view", "win_row_number": "concentration_table",
-    "win_running_sum": "concentration_table", "win_running_sum_ties": "top_municipios_pib",
+    "win_running_sum": "concentration_table",
     "win_total": "agg_uf_panel", "win_transform_sum": "share_of_group", "win_cumsum": "lorenz_curve",
     "topk_metric_param": "top_municipios_pib_per_capita", "extremes_union": "densidade_extremos",
     "canonical_sort": "agg_region_sum", "distinct_on": "concentracao", "pivot_wide": "src_series_wide",

@@ -16,6 +16,8 @@ plans. Design notes for scale:
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,19 @@ from ..registry import Bands
 from ..sources.star import SECTOR_COLUMNS, Star
 
 MONEY = "decimal(38,4)"
+MUNICIPAL_TABLES = ("dim_municipio", "fato_populacao_municipio", "fato_censo_municipio", "fato_pib_municipio")
 
 
 def hierarchy(star: Star) -> DataFrame:
     """``vw_municipio``: municipality → state → region in one row (inner joins).
 
-    The state and region dimensions are bounded by the territory (tens of
-    rows, independent of data volume): they are broadcast, so the large
-    municipality dimension keeps its bucketing on ``municipio_id``.
+    The state and region dimensions are tens of rows by the territory's
+    nature; the planner sees that from the files' size and broadcasts them, so
+    the large municipality dimension keeps its bucketing on ``municipio_id``.
     """
     m = star.dim_municipio
-    u = F.broadcast(star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id"))
-    r = F.broadcast(star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome"))
+    u = star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id")
+    r = star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome")
     return m.join(u, "uf_id").join(r, "regiao_id").select(
         "municipio_id",
         "municipio_nome",
@@ -141,7 +144,7 @@ def _latest_year(df: DataFrame, where=None):
     return d.select(F.max("ano")).scalar()
 
 
-def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS, *, live: bool = False) -> DataFrame:
+def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS, *, live: bool = False, only: DataFrame | None = None) -> DataFrame:
     """``mv_painel_municipio``: one row per municipality of the dimension.
 
     Returns the materialised panel when the star carries one built with the
@@ -151,7 +154,9 @@ def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS, *, live:
     sector value added (a different year on purpose), growth, and the
     population contemporary with GDP (nearest non-null year per entity,
     ties → earlier). Ratios are NULL on zero denominators; the sector total
-    skips NULL parts and shares are NULL when it is not positive.
+    skips NULL parts and shares are NULL when it is not positive. ``only``
+    (``municipio_id``, distinct) computes the rows of these municipalities;
+    the years are still those of the whole facts.
     """
     if not live and star.mv_painel_municipio is not None and star.panel_bands == bands:
         return star.mv_painel_municipio
@@ -160,6 +165,9 @@ def municipality_panel(star: Star, bands: Bands = registry.REAL_BANDS, *, live:
     ano_pib = _latest_year(pib)
     ano_vab = _latest_year(pib, F.col("vab_industria").isNotNull())
     ano_censo = _latest_year(star.fato_censo_municipio)
+    if only is not None:
+        star = replace(star, **{n: getattr(star, n).join(only, "municipio_id", "left_semi") for n in MUNICIPAL_TABLES})
+        pop, pib = star.fato_populacao_municipio, star.fato_pib_municipio
 
     pop_now = pop.filter(F.col("ano") == ano_pop).select("municipio_id", F.col("populacao").alias("populacao_atual"))
     censo = star.fato_censo_municipio.filter(F.col("ano") == ano_censo).select(

@@ -117,6 +117,29 @@ QUALITY_CHECKS = {
     "carga": ("horas desde a última carga", "a carga já rodou ao menos uma vez"),
 }
 
+# Datasets of the feed: variables (id → column), territorial levels, names of
+# the raw tables and facts, first year of the municipal level (None: all).
+DATASETS = {
+    "populacao_estimada": {
+        "variables": {9324: "populacao"},
+        "levels": ("N6", "N3", "N2", "N1"), "raw": "pop", "fact": "populacao", "first_municipal_year": None,
+    },
+    "censo_2022": {
+        "variables": {93: "populacao_censo", 6318: "area_km2", 614: "densidade_hab_km2"},
+        "levels": ("N6", "N3", "N2"), "raw": "censo", "fact": "censo", "first_municipal_year": None,
+    },
+    "pib": {
+        "variables": {
+            37: "pib_mil_reais", 513: "vab_agropecuaria", 517: "vab_industria", 6575: "vab_servicos",
+            525: "vab_administracao_publica", 543: "impostos_liquidos",
+        },
+        "levels": ("N6", "N3", "N2", "N1"), "raw": "pib", "fact": "pib", "first_municipal_year": 2010,
+    },
+}
+
+# Municipalities without GDP that are known (installed after the series ended).
+KNOWN_WITHOUT_GDP = ["5101837"]
+
 # Number of quantile classes of a choropleth.
 QUANTILE_CLASSES = 7
 

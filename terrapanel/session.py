@@ -106,6 +106,22 @@ def _table_prefix(spark: SparkSession) -> str:
     return "terrapanel_" + re.sub(r"\W", "_", spark.sparkContext.applicationId) + "_"
 
 
+#: Conditions by which a catalog says that it has no bucketed tables.
+_NO_BUCKETS = ("UNSUPPORTED_FEATURE", "NOT_SUPPORTED_COMMAND_FOR_V2_TABLE", "NOT_SUPPORTED_COMMAND_WITHOUT_HIVE_SUPPORT")
+
+
+def bucketing_unsupported(exc: AnalysisException) -> bool:
+    """Whether the catalog can't hold bucketed tables (an own message of an
+    external catalog has no condition). Any other error is one of the call."""
+    condition = exc.getCondition()
+    return condition is None or condition.split(".")[0] in _NO_BUCKETS
+
+
+def max_buckets(spark: SparkSession) -> int:
+    """Largest number of buckets that the session allows."""
+    return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+
+
 def stage_bucketed(df, cols, n: int, name: str = "stage"):
     """Like ``checkpoint`` but the written table is bucketed on ``cols``
     (``n`` buckets) and registered in the catalog, so later windows,
@@ -118,7 +134,9 @@ def stage_bucketed(df, cols, n: int, name: str = "stage"):
     try:
         df.write.format("parquet").bucketBy(n, *cols).option("path", path).saveAsTable(table)
         return spark.table(table)
-    except AnalysisException as unsupported:  # a catalog without bucketed tables
+    except AnalysisException as unsupported:
+        if not bucketing_unsupported(unsupported):
+            raise
         warnings.warn(f"bucketed staging unavailable ({unsupported.getCondition()}); writing plain Parquet")
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)

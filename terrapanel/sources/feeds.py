@@ -82,17 +82,19 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 # --------------------------------------------------------------------------
 
 
-def flatten_variables(variables: DataFrame, level: str | None = None) -> DataFrame:
+def flatten_variables(variables: DataFrame, level: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Variables (rows of ``VARIABLE``) → tidy rows, one per observation.
 
     ``explode(resultados)`` → ``explode(series)`` → ``explode(serie)`` (a
     map year → text); the text is parsed with the feed's sentinels → NULL.
-    ``level`` overrides the level id carried by the payload.
+    ``level`` overrides the level id carried by the payload; columns to
+    ``keep`` go along with every row.
     """
-    r = variables.select("id", "variavel", "unidade", F.explode("resultados").alias("r"))
-    s = r.select("id", "variavel", "unidade", F.explode("r.series").alias("s"))
+    keep = list(keep)
+    r = variables.select("id", "variavel", "unidade", *keep, F.explode("resultados").alias("r"))
+    s = r.select("id", "variavel", "unidade", *keep, F.explode("r.series").alias("s"))
     o = s.select(
-        "id", "variavel", "unidade",
+        "id", "variavel", "unidade", *keep,
         F.col("s.localidade").alias("loc"),
         F.explode("s.serie").alias("ano_txt", "valor_txt"),
     )
@@ -105,6 +107,7 @@ def flatten_variables(variables: DataFrame, level: str | None = None) -> DataFra
         F.col("variavel").alias("variavel_nome"),
         F.col("unidade"),
         parse_feed_number(F.col("valor_txt")).alias("valor"),
+        *keep,
     )
 
 
@@ -154,8 +157,10 @@ def select_series(
 
 
 def series_wide(tidy: DataFrame, names: dict[int, str], keys: Sequence[str] = ("localidade_id", "localidade_nome",
-                                                                                   "nivel", "ano")) -> DataFrame:
-    """Long → wide: one column per declared variable (canonical names).
+                                                                                   "nivel", "ano"), delivery: str | None = None) -> DataFrame:
+    """Long → wide: one column per declared variable (canonical names). Of
+    several values of a cell the first delivered one stays (``delivery``
+    numbers the deliveries), without it, or among equals, the smallest.
 
     NULL values are dropped first, so an entity-year whose every variable
     is NULL disappears (as a pandas pivot table does); every declared
@@ -164,7 +169,8 @@ def series_wide(tidy: DataFrame, names: dict[int, str], keys: Sequence[str] = ("
     mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(int(k)), F.lit(v))])
     d = tidy.filter(F.col("valor").isNotNull()).withColumn("_var", mapping[F.col("variavel_id")])
     d = d.filter(F.col("_var").isNotNull())
-    return d.groupBy(*keys).pivot("_var", list(names.values())).agg(F.min("valor"))
+    first = F.min_by("valor", F.struct(F.col(delivery), F.col("valor"))) if delivery else F.min("valor")
+    return d.groupBy(*keys).pivot("_var", list(names.values())).agg(first)
 
 
 def published_years(tidy: DataFrame, requested: Sequence[int] | None = None, year: str = "ano"):
@@ -241,8 +247,8 @@ def flatten_regions(r: DataFrame) -> DataFrame:
 
 
 def flatten_catalog(c: DataFrame) -> DataFrame:
-    """Survey → datasets, one row per dataset."""
+    """Survey → datasets, one row per dataset; dataset ids are integers."""
     return c.select(F.col("id").alias("pesquisa_id"), F.col("nome").alias("pesquisa_nome"),
                     F.explode("agregados").alias("a")).select(
-        "pesquisa_id", "pesquisa_nome", F.col("a.id").alias("agregado_id"), F.col("a.nome").alias("agregado_nome")
+        "pesquisa_id", "pesquisa_nome", F.col("a.id").try_cast("int").alias("agregado_id"), F.col("a.nome").alias("agregado_nome")
     )

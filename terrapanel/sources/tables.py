@@ -36,23 +36,30 @@ def tables_available(spark: SparkSession, base: str, names) -> bool:
         return False
 
 
-def inventory(tables: dict[str, DataFrame], descriptions: dict[str, str] | None = None) -> DataFrame:
-    """One row per table: name, description, rows, columns.
+def _kind(name: str) -> str:
+    return "materializada" if name.startswith("mv_") else "view" if name.startswith("vw_") else "tabela"
 
-    Each count is a distributed aggregate; the per-table one-row results are
-    unioned, so nothing but the final small table reaches the driver.
+
+def inventory(tables: dict[str, DataFrame], paths: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per object: ``objeto``, ``tipo`` (tabela, view, materializada),
+    ``linhas``, ``colunas``, ``bytes`` of its files (NULL for a view).
+
+    Rows are counted from the Parquet footers, sizes from the file listing
+    (``binaryFile`` without the content column reads no file); both are
+    distributed aggregates, and only the final small table is assembled.
     """
-    descriptions = descriptions or {}
+    paths = paths or {}
     parts = []
     for name, df in tables.items():
-        parts.append(
-            df.agg(F.count(F.lit(1)).alias("linhas")).select(
-                F.lit(name).alias("tabela"),
-                F.lit(descriptions.get(name, "")).alias("descricao"),
-                "linhas",
-                F.lit(len(df.columns)).alias("colunas"),
-            )
-        )
+        own = paths.get(name)
+        rows = df.agg(F.count(F.lit(1)).alias("linhas"))
+        if own:
+            spark = df.sparkSession
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(list(own))
+            size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        else:
+            size = rows.select(F.lit(None).cast("long").alias("bytes"))
+        parts.append(rows.crossJoin(size).select(F.lit(name).alias("objeto"), F.lit(_kind(name)).alias("tipo"), "linhas", F.lit(len(df.columns)).alias("colunas"), "bytes"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

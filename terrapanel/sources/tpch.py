@@ -39,6 +39,22 @@ SECTOR_BY_TYPE = {
 MONEY = "decimal(38,4)"
 
 
+#: Input tables that each table of the star is derived from.
+_FACT_INPUTS = ("lineitem", "part", "orders", "customer")
+INPUTS = {
+    "dim_regiao": ("region",),
+    "dim_uf": ("nation",),
+    "dim_municipio": ("customer",),
+    **{f"fato_{kind}": _FACT_INPUTS for kind in ("populacao_municipio", "populacao_uf", "censo_municipio", "censo_uf", "pib_municipio", "pib_uf")},
+    "fato_populacao_regiao": (*_FACT_INPUTS, "nation"),
+}
+
+
+def origins(sf_dir: str) -> dict[str, list[str]]:
+    """Paths of the inputs of every table, for the load log."""
+    return {name: [f"{sf_dir}/{t}.parquet" for t in inputs] for name, inputs in INPUTS.items()}
+
+
 def _sector(p_type) -> F.Column:
     first = F.substring_index(F.trim(p_type), " ", 1)
     expr = None
