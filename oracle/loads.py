@@ -78,7 +78,7 @@ def load_lineage() -> str:
 
 _WIDTHS = {
     "dim_regiao": 3, "dim_uf": 4, "dim_municipio": 7, "fpm": 3, "fpu": 3, "fpr": 3, "fcm": 5, "fcu": 5, "fpib": 8, "fpibu": 8,
-    "hier": 12, "painel_uf2": 29, "painel_regiao": 22, "conc": 12,
+    "hier": 12, "painel_uf2": 30, "painel_regiao": 21, "conc": 12,
 }
 
 

@@ -119,7 +119,7 @@ def load_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest load of every table of the warehouse, all columns of the
     log; those that differ from run to run as whether they are as they must be."""
     log = latest_loads(load_log(spark, base_for(spark, sf_dir)))
-    inputs = F.array_join(F.transform(F.split("origem", ", "), lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\\.parquet$", "")), ", ")
+    inputs = F.array_join(F.transform(F.split("origem", ", "), lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.parquet$", "")), ", ")
     panel = F.col("tabela").startswith("mv_")
     return log.select(
         "tabela",
