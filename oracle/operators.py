@@ -79,10 +79,8 @@ def sentinel_parse() -> str:
     return f"""
 SELECT event_id, texto,
        CASE WHEN {t} IN ('...', '..', 'X', '-', '') OR isnan({v}) OR isinf({v}) THEN NULL ELSE {v} END AS valor
-FROM (SELECT event_id,
-             CASE WHEN event_type = 'error' THEN '...' WHEN event_type = 'signup' THEN '-'
-                  ELSE json_extract_string(props, '$.k') END AS texto
-      FROM events)"""
+FROM (SELECT event_id, json_extract_string(props, '$.k') AS texto FROM events
+      UNION ALL SELECT event_id, CASE event_type WHEN 'error' THEN '...' ELSE '-' END FROM events WHERE event_type IN ('error', 'signup'))"""
 
 
 def published_years() -> str:

@@ -13,11 +13,11 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "src_series_dedupe": ("sources.feeds.dedupe_series", "src_series_dedupe"),
     "src_series_select": ("sources.feeds.select_series", "src_series_select"),
     "src_series_wide": ("sources.feeds.series_wide", "src_series_wide"),
-    "src_windowed_extract": ("sources.feeds.window_years", "src_windowed_extract"),
+    "src_windowed_extract": ("sources.feeds.window_years; plans.feed_etl", "src_windowed_extract"),
     "src_dim_uf": ("sources.feeds.flatten_ufs", "src_dim_uf"),
     "src_dim_region": ("sources.feeds.flatten_regions", "src_dim_region"),
     "src_dim_municipality": ("sources.feeds.flatten_municipalities(_text)", "src_dim_municipality"),
-    "src_geo_features": ("operators.geo.read_features / features_from_collections", "src_geo_features"),
+    "src_geo_features": ("operators.geo.read_large_features / read_features", "src_geo_features"),
     "src_parquet_table": ("sources.tables.read_table", "src_parquet_table"),
     "src_catalog_inventory": ("sources.tables.inventory", "src_catalog_inventory"),
     # sinks / load
@@ -25,7 +25,7 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "sink_csv": ("sinks.loads.write_csv", "sink_csv"),
     "sink_geojson": ("sinks.loads.write_features", "sink_geojson"),
     "load_prepare": ("sinks.loads.prepare", "load_prepare"),
-    "load_snapshot": ("sinks.snapshot.write_snapshot / read_snapshot / write_star", "load_snapshot"),
+    "load_snapshot": ("sinks.snapshot.write_snapshot / read_snapshot / write_star / recover", "load_snapshot"),
     "load_append": ("sinks.snapshot.append_rows", "load_append"),
     "load_lineage": ("sinks.snapshot.load_log / latest_loads", "load_lineage"),
     "panel_refresh": ("plans.warehouse.refresh_panels", "panel_refresh"),
@@ -42,7 +42,7 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "project_existing": ("operators.aggregates.rank_ufs / operators.metrics.sector_structure", "project_existing"),
     "drop_nulls": ("operators.aggregates.topk", "drop_nulls"),
     # joins
-    "join_enrich_municipality": ("operators.metrics.enrich_municipalities / assert_unique / orphan_count",
+    "join_enrich_municipality": ("operators.metrics.enrich_municipalities / unique_dimension / orphan_count",
                                  "join_enrich_municipality"),
     "join_enrich_uf": ("operators.metrics.enrich_ufs", "join_enrich_uf"),
     "join_growth_dim": ("plans.panels.growth_view", "join_growth_dim"),
@@ -120,7 +120,7 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "win_percent_rank": ("operators.prefix.with_rank(percent_col=…)", "win_percent_rank"),
     "win_row_number": ("operators.prefix.running_totals(row_number=…)", "win_row_number"),
     "win_running_sum": ("operators.prefix.running_totals", "win_running_sum"),
-    "win_running_sum_ties": ("operators.prefix.range_running_sum; top_municipios", "win_running_sum_ties"),
+    "win_running_sum_ties": ("operators.prefix.range_running_sum", "win_running_sum_ties"),
     "win_total": ("one-row aggregate + broadcast (panels, queries)", "win_total"),
     "win_transform_sum": ("operators.aggregates.share_of_group", "win_transform_sum"),
     "win_cumsum": ("operators.prefix.running_totals; concentration.lorenz_curve", "win_cumsum"),
@@ -132,7 +132,7 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "extremes_union": ("plans.queries.densidade_extremos", "extremes_union"),
     "distinct_values": ("operators.aggregates.distinct_values", "distinct_values"),
     "full_growth_table": ("operators.aggregates.growth_table", "full_growth_table"),
-    "canonical_sort": ("functions.ordinal", "canonical_sort"),
+    "canonical_sort": ("functions.ordinal; operators.aggregates.region_sums", "canonical_sort"),
     "distinct_on": ("min_by/max_by aggregates (growth, nearest year)", "distinct_on"),
     "unpivot_sectors": ("operators.aggregates.sector_structure_long", "unpivot_sectors"),
     "pivot_wide": ("sources.feeds.series_wide", "pivot_wide"),
@@ -150,7 +150,7 @@ INVENTORY: dict[str, tuple[str, str]] = {
     "geo_reorient": ("operators.geo.reorient / reorient_features", "geo_reorient"),
     "geo_choropleth_input": ("operators.aggregates.choropleth_input", "geo_choropleth_input"),
     "quality_checks": ("plans.queries.qualidade", "quality_checks"),
-    "constraint_checks": ("operators.quality.constraint_checks", "constraint_checks"),
+    "constraint_checks": ("operators.quality.constraint_checks / quarantine / enforce", "constraint_checks"),
     "panel_invariants": ("operators.quality.panel_invariants", "panel_invariants"),
     "coverage_gap_report": ("operators.quality.coverage_gap / all_null_columns", "coverage_gap_report"),
 }

@@ -96,8 +96,9 @@ def running_totals(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         *[F.sum(f"_s_{t}").over(before).alias(f"_off_{t}") for t in tmp.values()],
     )
-    # Offsets have one row per (group, range): bounded by N when there are
-    # no groups, so it is broadcast; with groups AQE decides from its size.
+    # Offsets have one row per (group, range): without groups at most as many
+    # as the session allows buckets (``_n_ranges``), so they are broadcast;
+    # with groups AQE decides from their size.
     if not groups:
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*keys, _PID], "left")

@@ -215,11 +215,13 @@ def _choropleth(spark, sf_dir):
 
 
 def _sentinels(spark, sf_dir):
+    """The number in every event's properties, and for two kinds of event a
+    second text that is one of the feed's sentinels."""
     e = read_table(spark, sf_dir, "events")
-    text = (F.when(F.col("event_type") == "error", F.lit("..."))
-            .when(F.col("event_type") == "signup", F.lit("-"))
-            .otherwise(F.get_json_object("props", "$.k")))
-    return e.select("event_id", text.alias("texto"), parse_feed_number(text).alias("valor"))
+    own = e.select("event_id", F.get_json_object("props", "$.k").alias("texto"))
+    sentinel = F.when(F.col("event_type") == "error", F.lit("...")).when(F.col("event_type") == "signup", F.lit("-"))
+    marked = e.select("event_id", sentinel.alias("texto")).where(F.col("texto").isNotNull())
+    return own.unionByName(marked).select("event_id", "texto", parse_feed_number("texto").alias("valor"))
 
 
 def _published_years(spark, sf_dir):

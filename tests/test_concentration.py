@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrapanel.operators.concentration import concentration, gini, half_of_total, lorenz_curve, territorial_half
 
@@ -61,3 +62,34 @@ def test_territorial_half(spark):
     r = territorial_half(df, "d", "p", "a", "id").collect()[0]
     assert r.n_entidades_metade_pop == 2 and r.area_metade_pop == 60.0
     assert r.pct_area_metade_pop == pytest.approx(60 / 660 * 100)
+
+
+@pytest.mark.parametrize("vals", [
+    [10, 5, 3, 2], [5, 5, 5, 5], [7, 7, 7, 1, 1, 1, 1], [0, 0, 4, 4, 0], [9, 1, -3, -3, -2], [-1, -2, -3], [3, 3, 3, 3, 3, 1], [100] + [1] * 99, [6, -6, 2, -1, 0, 0],
+])
+def test_half_of_total_with_ties_zeros_and_negatives(spark, vals):
+    """Against the running sum, largest first, value by value."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x long").withColumn("x", F.col("x").cast("decimal(38,4)"))
+    total, cum, below = sum(vals), 0, 0
+    for v in sorted(vals, reverse=True):
+        cum += v
+        below += 2 * cum < total
+    r = half_of_total(df, "x", "id").collect()[0]
+    assert r.n_metade == below + 1 and r.n == len(vals)
+    if total:
+        assert r.share_top_10 == pytest.approx(100 * sum(sorted(vals, reverse=True)[:10]) / total)
+
+
+def test_one_ordering_serves_all(spark):
+    """The plan of the metrics holds one range partitioning, already staged."""
+    df = values(spark, [float(i % 17) for i in range(200)])
+    blocks = []
+    from terrapanel.operators import concentration as module
+
+    staged = module.running_totals
+    module.running_totals = lambda *a, **kw: blocks.append(a) or staged(*a, **kw)
+    try:
+        half_of_total(df, "x", "id").collect()
+    finally:
+        module.running_totals = staged
+    assert len(blocks) == 1

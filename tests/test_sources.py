@@ -106,7 +106,7 @@ def test_municipality_hierarchy_fallback(spark):
 def test_catalog(spark):
     doc = {"id": "1", "nome": "Pesquisa", "agregados": [{"id": "6579", "nome": "Pop"}, {"id": "5938", "nome": "PIB"}]}
     c = feeds.flatten_catalog(spark.read.json(spark.sparkContext.parallelize([json.dumps(doc)]), schema=feeds.CATALOG))
-    assert sorted(r.agregado_id for r in c.collect()) == ["5938", "6579"]
+    assert sorted(r.agregado_id for r in c.collect()) == [5938, 6579]
 
 
 CCW = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
@@ -166,3 +166,32 @@ def test_feature_sink_roundtrip(spark, tmp_dir):
     write_features(geo.reorient_features(f), f"{tmp_dir}/mesh")
     back = geo.read_features(spark, f"{tmp_dir}/mesh", lines=True)
     assert back.collect() == geo.reorient_features(f).collect() and back.first().codarea == "1"
+
+
+def test_large_collection_is_split(spark, tmp_dir):
+    """A mesh in one file, pretty-printed or on one line, is read by several
+    tasks: the same rows as by one."""
+    import json
+
+    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
+    features = [
+        {"type": "Feature", "properties": {"codarea": str(i), "nome": 'a "Featured" place, {"type": x'},
+         "geometry": None if i % 50 == 3 else {"type": "Polygon", "coordinates": [ring]} if i % 2 else {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}
+        for i in range(400)
+    ]
+    whole = {"type": "FeatureCollection", "features": features, "after": {"x": 1}}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for name, indent in (("line", None), ("pretty", 2)):
+            path = f"{tmp_dir}/{name}.json"
+            with open(path, "w") as f:
+                json.dump(whole, f, indent=indent)
+            got = geo.read_large_features(spark, path)
+            assert got.select(F.spark_partition_id()).distinct().count() > 3
+            assert sorted(map(str, got.collect())) == sorted(map(str, geo.read_features(spark, path).collect())) and got.count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(f"{tmp_dir}/empty.json", "w") as f:
+        json.dump({"type": "FeatureCollection", "features": []}, f)
+    assert geo.read_large_features(spark, f"{tmp_dir}/empty.json").count() == 0
