@@ -284,6 +284,29 @@ def test_class_words_do_not_cost_the_main_text():
     assert html_text.main_text(f"<div hidden>h</div><p ROLE=alert>r</p><p aria-hidden='true'>a</p>{body}<div class=comments>{body * 3}</div>") == "One two three four five."
 
 
+def test_article_text_that_words_or_tags_once_cost():
+    body = "<p>One two three four five.</p>"
+    assert html_text.main_text(f'<article>{body}<section class="search-history"><p>Kept.</p></section></article>') == "One two three four five.\nKept."
+    assert html_text.main_text(f'{body}<div class="share-prices"><p>Kept.</p></div><div class="share-buttons">s</div>') == "One two three four five.\nKept."
+    assert html_text.main_text(f"<header>Site</header><article><header><h1>Headline</h1></header>{body}</article>") == "Headline\nOne two three four five."
+    assert html_text.main_text("<p>Press the <label>red</label> key <math><mi>x</mi></math> now.</p>") == "Press the red key x now."
+
+
+def test_class_words_count_where_their_shape_recurs(spark):
+    """The same box with other words: deleted on a host that has it often,
+    kept where one page alone has such a class."""
+    body = "<p>Body {} of a page that goes on for a while.</p>"
+    often = lambda i: f'<body>{body.format(i)}<div class="site-promo-{"x"}"><b>Buy {i}</b></div><div class="comments"><p>{"Word " * 60}{i}</p></div><div><ul><li><a>{i}</a><li><a>b{i}</a><li><a>c{i}</a></ul></div></body>'
+    once = '<body><p>Body.</p><div class="search"><p>On searching, at length.</p></div><div class="promo-history"><p>Long ago.</p></div></body>'
+    made = [(i, f"http://a/{i}", often(i)) for i in range(8)] + [(50, "http://a/50", once)]
+    made += [(100 + i, f"http://few/{i}", often(i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Body {i} of a page that goes on for a while." for i in range(8))
+    assert got[50] == "Body.\nOn searching, at length.\nLong ago."
+    # too few pages to judge by: whole tokens alone
+    assert got[101] == "Body 1 of a page that goes on for a while.\nBuy 1\n1\nb1\nc1"
+
+
 def test_template_subtrees_are_removed(spark):
     made = [(i, f"http://Site.example:80/{i}", f"<body><div><span>Our site</span> since 1999</div><div><p>Body {i} text.</p><p>Licence text.</p></div><div>Ring us</div></body>") for i in range(12)]
     made += [(100 + i, f"http://other/{i}", f"<body><div>Our own {i}</div><p>Licence text.</p></body>") for i in range(3)]  # too few pages
