@@ -36,6 +36,7 @@ from ..operators.growth import growth_first_last, growth_step
 from ..operators.nearest import nearest_year_per_key
 from ..operators.prefix import running_totals, with_rank
 from ..registry import Bands
+from ..session import broadcast_if_small
 from ..sources.star import SECTOR_COLUMNS, Star
 
 MONEY = "decimal(38,4)"
@@ -45,13 +46,13 @@ MUNICIPAL_TABLES = ("dim_municipio", "fato_populacao_municipio", "fato_censo_mun
 def hierarchy(star: Star) -> DataFrame:
     """``vw_municipio``: municipality → state → region in one row (inner joins).
 
-    The state and region dimensions are tens of rows by the territory's
-    nature; the planner sees that from the files' size and broadcasts them, so
-    the large municipality dimension keeps its bucketing on ``municipio_id``.
+    The state and region dimensions are broadcast if their files are measured
+    to be small (they are tens of rows by the territory's nature), so the large
+    municipality dimension keeps its bucketing on ``municipio_id``.
     """
     m = star.dim_municipio
-    u = star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id")
-    r = star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome")
+    u = broadcast_if_small(star.dim_uf.select("uf_id", "uf_sigla", "uf_nome", "regiao_id"))
+    r = broadcast_if_small(star.dim_regiao.select("regiao_id", "regiao_sigla", "regiao_nome"))
     return m.join(u, "uf_id").join(r, "regiao_id").select(
         "municipio_id",
         "municipio_nome",

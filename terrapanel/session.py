@@ -101,6 +101,18 @@ def input_bytes(df) -> int:
     return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, df.inputFiles()))
 
 
+#: Largest files of a side that is marked for broadcast whatever the planner's threshold.
+SMALL_BYTES = 4 << 20
+
+
+def broadcast_if_small(df):
+    """``df`` marked for broadcast if the files that it reads are measured to
+    hold at most ``SMALL_BYTES``; else the planner decides."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if input_bytes(df) <= SMALL_BYTES else df
+
+
 def _table_prefix(spark: SparkSession) -> str:
     """Names of this application's staged tables begin with this."""
     return "terrapanel_" + re.sub(r"\W", "_", spark.sparkContext.applicationId) + "_"
