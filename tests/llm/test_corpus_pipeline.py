@@ -10,10 +10,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from terrapanel.llm import quality
+from terrapanel.llm.common import checkpoint
 
 from .helpers import components
 from .test_native import ASSIGN, brute_hits, brute_ratios, repeated
@@ -97,3 +99,12 @@ def test_stages_keep_columns_and_cope_with_nothing(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_hash", "_quality"] and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0
+
+
+def test_stages_cope_with_dotted_names(spark, sf_dir):
+    """A column whose name holds a dot goes along, and no stage needs n_chars."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars", "_hash").withColumn("x.y", F.lit(1)).withColumn("a b", F.lit("c"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "_quality", "x.y", "a b"] and docs.count() > 40
+    assert {tuple(r) for r in docs.select("`x.y`", "`a b`").distinct().collect()} == {(1, "c")}
