@@ -23,12 +23,13 @@ def nearest_year_per_key(
     """``key, year_alias, value_alias`` — the nearest non-null observation."""
     t = target if isinstance(target, Column) else F.lit(target)
     y = F.col(year)
-    best = F.min_by(F.struct(y.alias("y"), F.col(value).alias("v")), F.struct(F.abs(y - t), y))
+    # distance, then year, in one number: of fixed width, so groups are hashed, not sorted
+    distance = F.coalesce(F.abs(y - t).cast("long"), F.lit(-1))
+    order = distance * F.lit(1 << 32) + F.coalesce(y.cast("long"), F.lit(-(1 << 31)))
     return (
         df.filter(F.col(value).isNotNull())
         .groupBy(key)
-        .agg(best.alias("_b"))
-        .select(key, F.col("_b.y").alias(year_alias), F.col("_b.v").alias(value_alias or value))
+        .agg(F.min_by(y, order).alias(year_alias), F.min_by(F.col(value), order).alias(value_alias or value))
     )
 
 

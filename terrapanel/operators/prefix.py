@@ -29,18 +29,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, input_bytes, max_buckets, stage_bucketed
+from ..session import checkpoint, input_bytes, max_buckets, pieces, stage_bucketed
 
 _PID = "_range_id"
 
-#: Bytes of input files per range.
+#: Bytes of input files per range: at least, and at most once there are many.
+MIN_RANGE_BYTES = 4 << 20
 RANGE_BYTES = 64 << 20
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
-    """One range for every ``RANGE_BYTES`` of input files, as far as the
-    session allows as many buckets; beyond that, ranges grow."""
-    return n_ranges or max(1, min(-(-input_bytes(df) // RANGE_BYTES), max_buckets(df.sparkSession)))
+    """One range for every ``MIN_RANGE_BYTES`` of input files; many ranges
+    grow to ``RANGE_BYTES``, and further where the session allows no more buckets."""
+    return n_ranges or min(pieces(input_bytes(df), MIN_RANGE_BYTES, RANGE_BYTES), max_buckets(df.sparkSession))
 
 
 def running_totals(

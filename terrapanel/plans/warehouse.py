@@ -20,7 +20,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, input_bytes, max_buckets, scratch_path
+from ..session import checkpoint, input_bytes, max_buckets, pieces, scratch_path
 from .. import registry
 from ..operators.quality import AREA_RULE, PREFIX_RULE, enforce
 from ..registry import Bands
@@ -145,14 +145,17 @@ def panel_statistics(spark: SparkSession, base: str, panel: str = "mv_painel_mun
     return column_counts(spark, base, panel)
 
 
+#: Bytes of a municipal fact per bucket: at least, and at most once there are many.
+MIN_BUCKET_BYTES = 8 << 20
 BUCKET_BYTES = 128 * 1024 * 1024
 
 
 def choose_buckets(df: DataFrame) -> int:
-    """One bucket (a task of every co-located join) for ``BUCKET_BYTES`` of
-    the staged table that the facts are made of, which is far smaller than
-    the inputs; as many as the session allows at most."""
-    return max(1, min(-(-input_bytes(df) // BUCKET_BYTES), max_buckets(df.sparkSession)))
+    """One bucket (a task of every co-located join) for ``MIN_BUCKET_BYTES``
+    of the staged table that the facts are made of, which is far smaller than
+    the inputs (some hundred thousand rows a bucket); many buckets grow to
+    ``BUCKET_BYTES``. As many as the session allows at most."""
+    return min(pieces(input_bytes(df), MIN_BUCKET_BYTES, BUCKET_BYTES), max_buckets(df.sparkSession))
 
 
 def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS,

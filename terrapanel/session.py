@@ -134,6 +134,18 @@ def max_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
 
 
+#: Pieces that a table is cut into before a piece grows beyond its least bytes.
+MANY_PIECES = 1024
+
+
+def pieces(size: int, least: int, most: int) -> int:
+    """Pieces (buckets or ranges, each a task's work) of a table of ``size``
+    bytes: one for every ``least`` bytes, so that a table of some megabytes is
+    spread over the cores; from ``MANY_PIECES`` on they grow to ``most`` bytes
+    before there are more."""
+    return max(1, -(-size // most), min(-(-size // least), MANY_PIECES))
+
+
 def stage_bucketed(df, cols, n: int, name: str = "stage"):
     """Like ``checkpoint`` but the written table is bucketed on ``cols``
     (``n`` buckets) and registered in the catalog, so later windows,

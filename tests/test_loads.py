@@ -290,3 +290,27 @@ def test_buckets_and_ranges_follow_the_bytes(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(warehouse, "max_buckets", lambda s: 7)
     monkeypatch.setattr(prefix, "max_buckets", lambda s: 7)
     assert warehouse.choose_buckets(df) == prefix._n_ranges(df, None) == 7
+
+
+def test_a_table_of_some_megabytes_is_spread(spark, tmp_dir, monkeypatch):
+    """A task's share of the facts stays small: 200 MB are no two tasks."""
+    from terrapanel.operators import prefix
+    from terrapanel.plans import warehouse
+
+    spark.range(10).write.parquet(f"{tmp_dir}/t")
+    df = spark.read.parquet(f"{tmp_dir}/t")
+    bytes_of = lambda n: [monkeypatch.setattr(m, "input_bytes", lambda _: n) for m in (warehouse, prefix)]
+    bytes_of(200 << 20)
+    assert (warehouse.choose_buckets(df), prefix._n_ranges(df, None)) == (25, 50)
+    bytes_of(1 << 40)  # many pieces have grown to their largest size
+    assert (warehouse.choose_buckets(df), prefix._n_ranges(df, None)) == ((1 << 40) // warehouse.BUCKET_BYTES, (1 << 40) // prefix.RANGE_BYTES)
+
+
+def test_nearest_year_hashes_its_groups(spark):
+    """Same rows as by distance, then year, with NULL years first; no sort."""
+    from terrapanel.operators.nearest import nearest_year_per_key
+
+    df = spark.createDataFrame([("a", 2020, 1), ("a", 2024, 2), ("b", 2023, 3), ("b", 2022, None), ("c", None, 4), ("c", 2022, 5)], FACT)
+    got = nearest_year_per_key(df, "municipio_id", 2022, value_alias="v")
+    assert sorted(map(tuple, got.collect())) == [("a", 2020, 1), ("b", 2023, 3), ("c", None, 4)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
