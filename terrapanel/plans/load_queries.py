@@ -20,7 +20,7 @@ from ..sinks.snapshot import (
 from ..sources.star import DIM_TABLES, FACT_TABLES, PRIMARY_KEYS, Star
 from ..sources.tables import inventory
 from . import feed_etl, panels
-from .warehouse import TPCH_WAIVED, base_for, panel_statistics, refresh_panels, star_for
+from .warehouse import TPCH_WAIVED, base_for, choose_buckets, panel_statistics, refresh_panels, star_for
 
 BANDS = registry.TPCH_BANDS
 
@@ -73,7 +73,7 @@ def _rejected(act: Callable[[], object]) -> None:
 
 def _publish_star(spark: SparkSession, star: Star) -> str:
     base = scratch_path(spark, "published")
-    write_snapshot(star.tables(), base, source="star", bucket_by=MUNICIPAL_BUCKETS, partition_by=YEAR_PARTITIONS, buckets=2, validate=quality.enforce(TPCH_WAIVED))
+    write_snapshot(star.tables(), base, source="star", bucket_by=MUNICIPAL_BUCKETS, partition_by=YEAR_PARTITIONS, buckets=choose_buckets(star.fato_pib_municipio), validate=quality.enforce(TPCH_WAIVED))
     return base
 
 
@@ -162,12 +162,13 @@ def _second_refresh(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     first = facts.select(F.min("ano")).scalar()
     late = (F.col("ano") == first) & (F.col("municipio_id").cast("long") % 3 == 0)
     base = scratch_path(spark, "refreshed")
+    buckets = choose_buckets(star.fato_pib_municipio)
     begin = Star(**{**star.tables(), "fato_populacao_municipio": facts.where(~late)})
-    write_snapshot(begin.tables(), base, source="star", bucket_by=MUNICIPAL_BUCKETS, partition_by=YEAR_PARTITIONS, buckets=2)
-    refresh_panels(spark, base, BANDS, buckets=2)
+    write_snapshot(begin.tables(), base, source="star", bucket_by=MUNICIPAL_BUCKETS, partition_by=YEAR_PARTITIONS, buckets=buckets)
+    refresh_panels(spark, base, BANDS, buckets=buckets)
     append_rows(checkpoint(facts.where(late), "late-rows"), base, "fato_populacao_municipio")
     before = manifest(spark, base)["version"]
-    refresh_panels(spark, base, BANDS, buckets=2)
+    refresh_panels(spark, base, BANDS, buckets=buckets)
     return base, before
 
 
@@ -258,7 +259,7 @@ def feed_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = checkpoint(feed_payloads(star), "payloads")
     docs = checkpoint(feed_hierarchy(star), "hierarchy")
     wrong = payloads.where("conjunto = 'pib'").withColumn("payload", F.regexp_replace("payload", r'"([0-9]{4})":"[^"]*"', '"$1":"X"'))
-    base = feed_etl.run(spark, [payloads.where("conjunto <> 'pib'"), wrong, payloads.where("conjunto = 'pib'")], docs, first_municipal_year=FEED_WINDOW, buckets=2, validate=quality.enforce(TPCH_WAIVED))
+    base = feed_etl.run(spark, [payloads.where("conjunto <> 'pib'"), wrong, payloads.where("conjunto = 'pib'")], docs, first_municipal_year=FEED_WINDOW, buckets=choose_buckets(star.fato_pib_municipio), validate=quality.enforce(TPCH_WAIVED))
     m = manifest(spark, base)
     return long_tables(read_snapshot(spark, base, list(m["tables"])))
 

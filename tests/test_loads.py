@@ -306,6 +306,21 @@ def test_a_table_of_some_megabytes_is_spread(spark, tmp_dir, monkeypatch):
     assert (warehouse.choose_buckets(df), prefix._n_ranges(df, None)) == ((1 << 40) // warehouse.BUCKET_BYTES, (1 << 40) // prefix.RANGE_BYTES)
 
 
+def test_second_warehouses_follow_the_bytes(spark, mini_star, tmp_dir, monkeypatch):
+    """Publications of a star have as many buckets as its bytes ask for."""
+    from terrapanel.plans import load_queries, warehouse
+    from terrapanel.sources.star import Star
+
+    write_snapshot(mini_star.tables(), f"{tmp_dir}/wh")
+    star = Star(**read_snapshot(spark, f"{tmp_dir}/wh"))
+    monkeypatch.setattr(load_queries, "star_for", lambda *_: star)
+    monkeypatch.setattr(warehouse, "input_bytes", lambda _: 24 << 20)
+    buckets = lambda base, name: manifest(spark, base)["tables"][name]["segments"][0]["bucket"]["n"]
+    assert buckets(load_queries._publish_star(spark, star), "fato_pib_municipio") == 3
+    base, _ = load_queries._second_refresh(spark, "x")
+    assert [buckets(base, n) for n in ("fato_pib_municipio", "mv_painel_municipio")] == [3, 3]
+
+
 def test_nearest_year_hashes_its_groups(spark):
     """Same rows as by distance, then year, with NULL years first; no sort."""
     from terrapanel.operators.nearest import nearest_year_per_key
