@@ -21,6 +21,8 @@ _RUNS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Pieces of a lower-cased run, as the tokenizer file's own pattern cuts them.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same of visible ASCII characters.
+_ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,7 +45,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces = regex.compile(_PIECES)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
         self.max_runs, self.max_pieces = max_runs, max_pieces
@@ -51,13 +54,17 @@ class WordIds(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) >= self.max_runs:
             self.clear()
-        if any(s in run for s in self.special):
+        if self.special.search(run):
             ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        elif run.isascii() and run.isprintable():
+            low = run.lower()
+            ids = self._piece(low) if low.isalpha() else b"".join(map(self._piece, _ASCII_PIECES.findall(low)))
         else:
             plain = run if run.isascii() else unicodedata.normalize("NFC", run)
             # letter by letter, as the normaliser does: no final-sigma rule
             low = plain.lower() if "Σ" not in plain else "".join(map(str.lower, plain))
-            ids = b"".join(map(self._piece, self.pieces.findall(low)))
+            # Latin letters alone are one piece
+            ids = self._piece(low) if low.isalpha() and max(low) < "\u0250" else b"".join(map(self._piece, self.pieces.findall(low)))
         self[run] = ids
         return ids
 

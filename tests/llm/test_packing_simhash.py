@@ -30,6 +30,14 @@ def test_ids_equal_the_tokenizers():
         assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_latin_words_take_the_short_way():
+    """Letters alone, and visible ASCII, go without the general pattern."""
+    tokenizer, words = Tokenizer.from_file(PATH), WordIds(PATH)
+    words.pieces = None
+    for text in ["Heinea ier. it's'll a1b22,(c)%%%", "Éaiauxeux öpfbe ciónñezes", "E\u0301lan"]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_sum_of_squares_is_the_stated_rule():
     """Against a packer that tries every gap and adds up all squares."""
     rnd = random.Random(1)
