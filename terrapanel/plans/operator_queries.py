@@ -30,7 +30,7 @@ from ..sources import feeds
 from ..sources.star import SECTOR_COLUMNS
 from ..sources.tables import read_table
 from . import panels
-from .warehouse import star_for
+from .warehouse import facts_for, star_for
 
 BANDS = registry.TPCH_BANDS
 REGION_ORDER = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -55,49 +55,62 @@ def r6(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def _payload(df: DataFrame, key: str, name: str, level: tuple[str, str], var: tuple[str, str, str],
-             value: F.Column) -> DataFrame:
+def _payloads(df: DataFrame, key: str, name: str, level: tuple[str, str],
+              variables: list[tuple[tuple[str, str, str], F.Column]]) -> DataFrame:
     """One payload text per (entity, variable): ``[{id, variavel, unidade,
     resultados: [{classificacoes: [], series: [{localidade, serie}]}]}]``.
-    The ``serie`` map holds one entry per year of the entity (bounded)."""
+    The ``serie`` map holds one entry per year of the entity (bounded); the
+    entity's rows are grouped once for all its variables."""
     g = df.groupBy(key, name).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("ano").cast("string"), value))).alias("serie")
+        *[F.map_from_entries(F.collect_list(F.struct(F.col("ano").cast("string"), value))).alias(f"serie_{i}")
+          for i, (_, value) in enumerate(variables)]
     )
     loc = F.struct(
         F.col(key).cast("string").alias("id"),
         F.struct(F.lit(level[0]).alias("id"), F.lit(level[1]).alias("nome")).alias("nivel"),
         F.col(name).alias("nome"),
     )
-    item = F.struct(
-        F.lit(var[0]).alias("id"), F.lit(var[1]).alias("variavel"), F.lit(var[2]).alias("unidade"),
-        F.array(F.struct(F.array().cast("array<string>").alias("classificacoes"),
-                         F.array(F.struct(loc.alias("localidade"), F.col("serie").alias("serie"))).alias("series")))
-        .alias("resultados"),
-    )
-    return g.select(F.to_json(F.array(item)).alias("payload"))
+
+    def text(i: int, var: tuple[str, str, str]) -> F.Column:
+        item = F.struct(
+            F.lit(var[0]).alias("id"), F.lit(var[1]).alias("variavel"), F.lit(var[2]).alias("unidade"),
+            F.array(F.struct(F.array().cast("array<string>").alias("classificacoes"),
+                             F.array(F.struct(loc.alias("localidade"), F.col(f"serie_{i}").alias("serie")))
+                             .alias("series")))
+            .alias("resultados"),
+        )
+        return F.to_json(F.array(item))
+
+    return g.select(F.explode(F.array(*[text(i, var) for i, (var, _) in enumerate(variables)])).alias("payload"))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series payloads of population, GDP and industry value added at the
     municipal level and population at the state level. Unpublished value
     added (the lag years) is the feed's ``...`` sentinel."""
-    s = star_for(spark, sf_dir)
+    s = facts_for(spark, sf_dir)
     names = s.dim_municipio.select("municipio_id", "municipio_nome")
     pop = s.fato_populacao_municipio.join(names, "municipio_id")
     pib = s.fato_pib_municipio.join(names, "municipio_id")
     uf = s.fato_populacao_uf.join(s.dim_uf.select("uf_id", "uf_nome"), "uf_id")
     mun = ("N6", "Município")
     return (
-        _payload(pop, "municipio_id", "municipio_nome", mun, VAR_POP, F.col("populacao").cast("string"))
-        .unionByName(_payload(pib, "municipio_id", "municipio_nome", mun, VAR_PIB,
-                              F.col("pib_mil_reais").cast("string")))
-        .unionByName(_payload(pib, "municipio_id", "municipio_nome", mun, VAR_VAB_IND,
-                              F.coalesce(F.col("vab_industria").cast("string"), F.lit("..."))))
-        .unionByName(_payload(uf, "uf_id", "uf_nome", ("N3", "Unidade da Federação"), VAR_POP,
-                              F.col("populacao").cast("string")))
+        _payloads(pop, "municipio_id", "municipio_nome", mun, [(VAR_POP, F.col("populacao").cast("string"))])
+        .unionByName(_payloads(pib, "municipio_id", "municipio_nome", mun, [
+            (VAR_PIB, F.col("pib_mil_reais").cast("string")),
+            (VAR_VAB_IND, F.coalesce(F.col("vab_industria").cast("string"), F.lit("..."))),
+        ]))
+        .unionByName(_payloads(uf, "uf_id", "uf_nome", ("N3", "Unidade da Federação"),
+                               [(VAR_POP, F.col("populacao").cast("string"))]))
     )
 
 
+def delivered_twice(batch: DataFrame) -> DataFrame:
+    """A batch of payloads and its re-delivery: every payload twice, built
+    once. Both copies are parsed."""
+    return batch.select(F.explode(F.array("payload", "payload")).alias("payload"))
+
+
 def tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.flatten_payload_text(payloads(spark, sf_dir))
 
@@ -315,7 +328,7 @@ QUERIES = {
     "src_series_flatten": lambda s, d: tidy(s, d),
     "src_sentinel_parse": _sentinels,
     "src_series_dedupe": lambda s, d: feeds.dedupe_series(
-        feeds.flatten_payload_text(payloads(s, d).unionByName(payloads(s, d)))),
+        feeds.flatten_payload_text(delivered_twice(payloads(s, d)))),
     "src_series_select": lambda s, d: feeds.select_series(tidy(s, d), variables=[93], years=[1995, 1999, 2001]),
     "src_series_wide": _series_wide,
     "src_windowed_extract": lambda s, d: feeds.window_years(tidy(s, d), first_year=1997),

@@ -30,6 +30,7 @@ from ..sources.star import DIM_TABLES, FACT_TABLES, Star
 from ..sources.tpch import derive_star, origins
 
 _STARS: dict[tuple[str, str], tuple[Star, str]] = {}
+_FACTS: dict[tuple[str, str], tuple[Star, str, int]] = {}
 _LOCK = threading.Lock()
 
 #: Inputs of every materialised panel; a panel stands after those it reads.
@@ -158,29 +159,53 @@ def choose_buckets(df: DataFrame) -> int:
     return min(pieces(input_bytes(df), MIN_BUCKET_BYTES, BUCKET_BYTES), max_buckets(df.sparkSession))
 
 
+def publish(spark: SparkSession, sf_dir: str, base: str, buckets: int | None = None) -> int:
+    """Derive, validate and publish the dimensions and facts of ``sf_dir``
+    under ``base``, without the panels. Returns the bucket count."""
+    star = derive_star(spark, sf_dir, stage=checkpoint)
+    n = buckets or choose_buckets(star.fato_populacao_municipio)
+    write_star(star, base, source=sf_dir, origins=origins(sf_dir), buckets=n, validate=enforce(TPCH_WAIVED))
+    return n
+
+
 def build(spark: SparkSession, sf_dir: str, base: str | None = None, bands: Bands = registry.TPCH_BANDS,
           buckets: int | None = None) -> Star:
     """Run the ETL for ``sf_dir``: derive, validate and publish the star, then
     build the materialised panels. Returns the star reading the written
     tables."""
     base = base or scratch_path(spark, "star")
-    star = derive_star(spark, sf_dir, stage=checkpoint)
-    n = buckets or choose_buckets(star.fato_populacao_municipio)
-    write_star(star, base, source=sf_dir, origins=origins(sf_dir), buckets=n, validate=enforce(TPCH_WAIVED))
-    return refresh_panels(spark, base, bands, buckets=n)
+    return refresh_panels(spark, base, bands, buckets=publish(spark, sf_dir, base, buckets))
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return spark.sparkContext.applicationId, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
 
 
+def _published(spark: SparkSession, sf_dir: str) -> tuple[Star, str, int]:
+    """(star without panels, base, buckets) of ``sf_dir``; under the lock."""
+    key = _key(spark, sf_dir)
+    if key not in _FACTS:
+        base = scratch_path(spark, "star")
+        n = publish(spark, sf_dir, base)
+        _FACTS[key] = (Star(**read_snapshot(spark, base)), base, n)
+    return _FACTS[key]
+
+
+def facts_for(spark: SparkSession, sf_dir: str) -> Star:
+    """The dimensions and facts of ``sf_dir`` for this application (published
+    once, the same tables that ``star_for`` reads): for what reads no panel,
+    so that none is built for it."""
+    with _LOCK:
+        return _published(spark, sf_dir)[0]
+
+
 def star_for(spark: SparkSession, sf_dir: str) -> Star:
     """The materialised star of ``sf_dir`` for this application (built once)."""
     key = _key(spark, sf_dir)
     with _LOCK:  # concurrent callers share one ETL run
         if key not in _STARS:
-            base = scratch_path(spark, "star")
-            _STARS[key] = (build(spark, sf_dir, base), base)
+            _, base, n = _published(spark, sf_dir)
+            _STARS[key] = (refresh_panels(spark, base, registry.TPCH_BANDS, buckets=n), base)
     return _STARS[key][0]
 
 

@@ -195,3 +195,43 @@ def test_large_collection_is_split(spark, tmp_dir):
     with open(f"{tmp_dir}/empty.json", "w") as f:
         json.dump({"type": "FeatureCollection", "features": []}, f)
     assert geo.read_large_features(spark, f"{tmp_dir}/empty.json").count() == 0
+
+
+def test_redelivered_series_builds_no_panel_and_groups_its_facts_once(spark, tmp_dir, monkeypatch):
+    """The deliveries are made of the published facts: no panel is built for
+    them, and each fact is read once for all its variables and copies."""
+    from datetime import datetime
+
+    from terrapanel.plans import warehouse
+    from terrapanel.plans.operator_queries import QUERIES, delivered_twice, payloads
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_dir}/{name}.parquet")
+
+    write("region", [(0, "AFRICA")], "r_regionkey int, r_name string")
+    write("nation", [(3, "KENYA", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("customer", [(1, "one", 3, 10.0, "A"), (2, "two", 3, 0.0, "B")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    write("part", [(1, "MEDIUM TIN")], "p_partkey long, p_type string")
+    write("orders", [(1, 1, datetime(1995, 5, 1)), (2, 1, datetime(1996, 5, 1)), (3, 2, datetime(1995, 6, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    write("lineitem", [(1, 1, 5.0, 100.0, 0.0), (2, 1, 6.0, 200.0, 0.5), (3, 9, 7.0, 300.0, 0.0)], "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_tax double")
+
+    def no_panels(*args, **kwargs):
+        raise AssertionError("a panel is built")
+
+    monkeypatch.setattr(warehouse, "refresh_panels", no_panels)
+    df = QUERIES["src_series_dedupe"](spark, tmp_dir)
+    got = {(r.localidade_id, r.ano, r.variavel_id): r.valor for r in df.collect()}
+    assert df.count() == len(got) == 3 + 2 + 3 + 3
+    assert {k: v for k, v in got.items() if k[0].endswith("1")} == {
+        ("0000001", 1995, 93): 5.0, ("0000001", 1996, 93): 6.0, ("0000001", 1995, 37): 100.0,
+        ("0000001", 1996, 37): 300.0, ("0000001", 1995, 516): 100.0, ("0000001", 1996, 516): 200.0}
+    assert got[("0000002", 1995, 516)] is None and got[("3", 1995, 93)] == 12.0
+    once, twice = payloads(spark, tmp_dir), delivered_twice(payloads(spark, tmp_dir))
+    assert sorted(r.payload for r in twice.collect()) == sorted(2 * [r.payload for r in once.collect()])
+    read = [f for f in df.inputFiles() if "/fato_pib_municipio.parquet/" in f]
+    scans = df._jdf.queryExecution().optimizedPlan().toString().count("vab_servicos")
+    assert read and scans == 1, df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    star = warehouse.star_for(spark, tmp_dir)
+    assert star.mv_painel_municipio.count() == 2
+    assert warehouse.facts_for(spark, tmp_dir).fato_pib_municipio.inputFiles() == star.fato_pib_municipio.inputFiles()
