@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import socket
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -47,17 +48,35 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _make(spark: SparkSession, folder: str) -> str:
+    """Make, in the driver, a folder that tasks write to; returns its place
+    with its scheme, where it lies if it is named through a mount table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    return files.resolvePath(path).toString()
+
+
 def archive_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for archives under the shared checkpoint folder, with
-    its scheme: Python workers and the JVM then mean the same file system. A
-    folder named without a scheme that turns out to be a machine's own disk is
-    refused on a cluster; a shared mount is named with ``file:``."""
-    folder = scratch_path(spark, name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if whole.startswith("file:") and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{folder} lies on each machine's own disk: give spark.checkpoint.dir a scheme (file: for a shared mount)")
-    return whole
+    its scheme: Python workers and the JVM then mean the same file system. One
+    named without a scheme may well be a mount that all machines share, so no
+    name is refused; each task sees for itself (``_made``)."""
+    return _make(spark, scratch_path(spark, name))
+
+
+def _made(folder: str):
+    """As ``_filesystem``, for a folder that the driver made. A task that
+    doesn't find it would write to its machine's own disk, where the others
+    can't read: it is refused."""
+    from pyarrow import fs
+
+    files, base = _filesystem(folder)
+    if not isinstance(files, fs.LocalFileSystem):
+        files.create_dir(base, recursive=True)
+    elif files.get_file_info(base).type != fs.FileType.Directory:
+        raise ValueError(f"{folder}, which the driver made, isn't on {socket.gethostname()}: spark.checkpoint.dir has to be a folder that all machines share")
+    return files, base
 
 
 def payload_digest(payload: Column) -> Column:
@@ -116,8 +135,7 @@ def write_monolithic(records: DataFrame, folder: str, *, date: str = "2000-01-01
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        files, base = _filesystem(folder)
-        files.create_dir(base, recursive=True)
+        files, base = _made(folder)
         name, out, gz, size, done = "", None, None, 0, []
         for batch in batches:
             for id_, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -139,6 +157,7 @@ def write_monolithic(records: DataFrame, folder: str, *, date: str = "2000-01-01
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "n_records"])
 
+    _make(records.sparkSession, folder)
     chosen = records.select("id", "url", "payload", "digest", "refers_to")
     return checkpoint(chosen.mapInArrow(run, "path string, n_records long"), "archives")
 
@@ -214,8 +233,7 @@ def normalise(archives: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
         from pyspark import TaskContext
 
         attempt = TaskContext.get().taskAttemptId()
-        files, base = _filesystem(folder)
-        files.create_dir(base, recursive=True)
+        files, base = _made(folder)
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 name = source.rpartition("/")[2].removesuffix(".warc.gz") + f"-{attempt}.warc.gz"
@@ -236,6 +254,7 @@ def normalise(archives: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
                             rows = []
                 yield _index_batch(f"{folder}/{name}", rows)
 
+    _make(archives.sparkSession, folder)
     paths = archives.select("path").repartition(max(1, archives.count()))
     return checkpoint(paths.mapInArrow(run, "path string, offset long, length long, record_id string, record_type string"), "offset-index")
 

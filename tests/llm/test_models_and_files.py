@@ -241,6 +241,31 @@ def test_every_record_is_its_own_member(spark):
     assert payloads["8"] == b"z" * 3_000_000
 
 
+def test_a_shared_folder_needs_no_scheme_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert ":" not in scratch_path(spark, "w")
+    assert warc.archive_folder(spark, "w").startswith("file:/")
+    assert warc.round_trip(pages(spark)).count() == len(PAGES)
+
+
+def test_a_mount_table_is_followed(spark, tmp_dir, monkeypatch):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.warc.link./in", f"file://{tmp_dir}")
+    monkeypatch.setattr(warc, "scratch_path", lambda _, name: f"viewfs://warc/in/{name}")
+    assert warc.archive_folder(spark, "w") == f"file:{tmp_dir}/w"
+    assert warc.round_trip(pages(spark)).count() == len(PAGES)
+
+
+@pytest.mark.parametrize("step", ["write", "normalise"])
+def test_tasks_refuse_a_folder_that_only_the_driver_has(spark, tmp_dir, monkeypatch, step):
+    archives = warc.write_monolithic(warc.with_revisits(pages(spark)), scratch_path(spark, "w"))
+    monkeypatch.setattr(warc, "_make", lambda *_: None)  # made on another disk
+    with pytest.raises(Exception, match="all machines share"):
+        if step == "write":
+            warc.write_monolithic(warc.with_revisits(pages(spark)), f"{tmp_dir}/other")
+        else:
+            warc.normalise(archives, f"file:{tmp_dir}/other")
+
+
 def test_broken_archives_are_refused():
     good = warc.record("1", "u", b"abc", "D", None, "2000-01-01T00:00:00Z")
     for bad in (good[:-2], good[:40], b"x" + good):
